@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalloom.llm.common import TOTAL_BUCKETS, materialise, running_total, text_bytes
-from signalloom.llm.tokenise import encoder, tokenizer_path
+from signalloom.llm.common import TOTAL_BUCKETS, materialise, running_total
+from signalloom.llm.tokenise import encoder, tokenizer_path, with_end
 
 VOCABULARY = "byte_bpe_50k.json"
 WINDOW = 1024
@@ -36,17 +36,19 @@ RANK_BITS = 44
 
 def _cut(path: str, end_id: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(path).encode, np.asarray([end_id], dtype="<u4").tobytes()
+        encode = encoder(path).encode
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(text_bytes(batch.column(1))), strict=True):
-                ids += end
-                total = len(ids) // 4
-                for start in range(0, total, window):
-                    piece = ids[4 * start : 4 * (start + window)]
-                    for column, value in zip(out, (doc_id, start, len(piece) // 4, zlib.crc32(piece), total), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            for first, ids, counts in encode(batch.column(1)):
+                ids, at = with_end(ids, counts, end_id)
+                total = np.diff(at)
+                pieces = -(-total // window)
+                doc = np.repeat(np.arange(len(total)), pieces)
+                start = (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * window
+                length = np.minimum(total[doc] - start, window)
+                begin = at[:-1][doc] + start
+                crc = [zlib.crc32(ids[a : a + n]) for a, n in zip(begin.tolist(), length.tolist(), strict=True)]
+                columns = [batch.column(0).slice(first, len(total)).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(total[doc])]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return run
 

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from signalloom.llm.common import shared_path, text_bytes
-from signalloom.llm.tokenise import encoder, tokenizer_path
+from signalloom.llm.common import shared_path
+from signalloom.llm.tokenise import encoder, tokenizer_path, with_end
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
@@ -45,25 +45,14 @@ def _encode(path: str, end_id: int):
         from pyspark import TaskContext
 
         part, offset, encode = TaskContext.get().partitionId(), 0, encoder(path).encode
-        end = np.asarray([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            packed = [ids + end for ids in encode(text_bytes(batch.column(1)))]
-            counts = np.fromiter((len(x) // 4 for x in packed), dtype=np.int64, count=len(packed))
-            ends = np.concatenate([[0], np.cumsum(counts)])
-            starts = offset + ends[:-1]
-            offset += int(ends[-1])
-            # lists hold 32-bit offsets: cut the batch where their ids would pass 2**30
-            cut = 0
-            while cut < len(packed):
-                upto = max(cut + 1, int(np.searchsorted(ends, ends[cut] + (1 << 30), side="right")) - 1)
-                values = pa.array(np.frombuffer(b"".join(packed[cut:upto]), dtype="<u4").astype(np.int32))
-                lists = pa.ListArray.from_arrays(pa.array((ends[cut : upto + 1] - ends[cut]).astype(np.int32)), values)
-                n = upto - cut
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(cut, n), pa.array(np.full(n, part, np.int32)), pa.array(starts[cut:upto]), pa.array(counts[cut:upto]), lists],
-                    names=["doc_id", "part", "offset", "n_tokens", "tokens"],
-                )
-                cut = upto
+            for first, ids, counts in encode(batch.column(1)):
+                ids, at = with_end(ids, counts, end_id)
+                n = len(counts)
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.view(np.int32)))
+                columns = [batch.column(0).slice(first, n), pa.array(np.full(n, part, np.int32)), pa.array(offset + at[:-1]), pa.array(np.diff(at)), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "offset", "n_tokens", "tokens"])
+                offset += int(at[-1])
 
     return run
 
@@ -81,12 +70,13 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_start(spark: SparkSession, path: str) -> DataFrame:
-    """The files' rows with `start`, the ids of all earlier documents. Reads two metadata columns to place the parts."""
+    """The files' rows with `start`, the ids of all earlier documents. Reads two metadata columns to place the parts,
+    of which there is one row per file: what is broadcast is bounded by the number of write tasks."""
     rows = read_tokens(spark, path)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("__n"))
     parts = parts.select("part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    return rows.join(parts, "part").withColumn("start", F.col("offset") + F.col("__before")).drop("__before")
+    return rows.join(F.broadcast(parts), "part").withColumn("start", F.col("offset") + F.col("__before")).drop("__before")
 
 
 def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
