@@ -7,7 +7,8 @@ voter says yes or no to every document.
 Label model. The votes of all documents of the training folds are counted by pattern (at most 2 ** voters of them). The
 model has a class prior and, in each class, a tree of dependencies between voters: the tree of largest mutual information
 given the class, so voters that copy each other do not count twice. Expectation-maximisation estimates prior, accuracies
-and correlations; labels play no part in it.
+and correlations; labels play no part in it. Every voter speaks for the toxic class by design, so to begin with each yes is
+evidence for it, and in the clean class a yes is taken to be rare (CLEAN_YES, worth PRIOR_DOCS documents) whatever its parent says.
 
 Classifier. Logistic regression over hit counts and rates, fitted to the posteriors of all documents of the training folds
 by Newton steps whose sums are taken over partitions.
@@ -36,9 +37,14 @@ THRESHOLD = 0.5
 MINING_ROWS = 40_000
 LEXICON_SIZE = 4_000
 MIN_SUPPORT = 4
-MIN_PRECISION = 0.9
+MIN_PRECISION = 0.75
 HELD_UNITS = 300_000
 EM_ROUNDS = 60
+MIN_RATE = 1 / 140
+OFTEN_RATE = 1 / 80
+CLEAN_YES = 0.01
+PRIOR_DOCS = 50.0
+FIRST_BELIEF = 0.5
 NEWTON_STEPS = 12
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Insults of the four languages of the corpus.
@@ -48,15 +54,16 @@ INSULTS = frozenset(
     estúpido idiota imbécil tonto basura payaso cretino asqueroso patético escoria
     dummkopf trottel idiotisch blödmann arschloch abschaum versager widerlich schwachkopf depp""".split()
 )
-KINDS = ("word", "begin5", "begin4", "begin3")
-VOTERS = ("insult", "word", "begin5", "begin4", "begin3", "word_often", "begin4_often", "two_kinds", "shouted_hit")
+BEGINNINGS = {"begin7": 7, "begin6": 6, "begin5": 5, "begin4": 4}
+KINDS = ("word", *BEGINNINGS)
+VOTERS = ("insult", "word", "begin7", "begin6", "begin5", "begin4", "word_often", "begin_often", "two_kinds", "shouted_hit")
 FEATURES = tuple(f"{k}_{x}" for k in ("insult", *KINDS) for x in ("any", "log", "rate")) + ("shouting", "log_words")
 
 
 def units(words: Counter) -> dict[str, Counter]:
     """The text's distinct units of each kind with their counts."""
     out: dict[str, Counter] = {"word": words}
-    for kind, size in (("begin5", 5), ("begin4", 4), ("begin3", 3)):
+    for kind, size in BEGINNINGS.items():
         cut: Counter = Counter()
         for w, c in words.items():
             if len(w) >= size:
@@ -117,16 +124,16 @@ class Voters:
         words = Counter(map(str.lower, raw))
         n = max(len(raw), 1)
         hits = {"insult": sum(c for w, c in words.items() if w in INSULTS)}
-        for kind, size in (("word", None), ("begin5", 5), ("begin4", 4), ("begin3", 3)):
+        for kind, size in (("word", None), *BEGINNINGS.items()):
             lexicon = self.lexicons[kind]
             hits[kind] = sum(c for w, c in words.items() if w[:size] in lexicon) if lexicon else 0
         shouting = sum(map(str.isupper, raw)) / n
-        kinds = (hits["insult"] > 0) + (hits["word"] > 0) + (hits["begin4"] > 0)
-        votes = (
-            hits["insult"] > 0, hits["word"] > 0, hits["begin5"] > 0, hits["begin4"] > 0, hits["begin3"] > 0, hits["word"] >= max(2, n / 200),
-            hits["begin4"] >= max(2, n / 200), kinds > 1, shouting > 0.5 and kinds > 0,
-        )
-        features = [x for h in hits.values() for x in (float(h > 0), float(np.log1p(h)), min(1.0, 20 * h / n))]
+        # a lexicon word now and then is chance in a long text: a voter asks for a share of the words
+        some, often = max(1, n * MIN_RATE), max(2, n * OFTEN_RATE)
+        begun = max(hits[k] for k in BEGINNINGS)
+        kinds = (hits["insult"] >= some) + (hits["word"] >= some) + (begun >= some)
+        votes = (hits["insult"] >= some, hits["word"] >= some, *(hits[k] >= some for k in BEGINNINGS), hits["word"] >= often, begun >= often, kinds > 1, shouting > 0.5 and kinds > 0)
+        features = [x for h in hits.values() for x in (float(h >= some), float(np.log1p(h)), min(1.0, 20 * h / n))]
         return sum(1 << i for i, v in enumerate(votes) if v), [*features, shouting, float(np.log1p(len(raw)))]
 
 
@@ -149,8 +156,7 @@ class LabelModel:
         self.keys = np.asarray(sorted(patterns), dtype=np.int64)
         weight = np.asarray([patterns[int(k)] for k in self.keys], dtype=np.float64)
         votes = (self.keys[:, None] >> np.arange(voters)) & 1
-        # to begin with, a pattern is toxic as far as its voters agree on it; afterwards no voter is privileged
-        post = np.clip(votes.mean(1), 0.01, 0.99)
+        post = np.clip(1 - (1 - FIRST_BELIEF) ** votes.sum(1), 0.001, 0.999)
         total = max(weight.sum(), 1.0)
         self.parents, self.prior = [-1] * voters, 0.5
         self.tables = np.full((voters, 2, 2), 0.5)
@@ -191,13 +197,14 @@ class LabelModel:
         return parents
 
     def _fit(self, votes: np.ndarray, mass: np.ndarray) -> np.ndarray:
-        """P(vote = 1 | vote of the parent, class), with half a document added to each count."""
+        """P(vote = 1 | vote of the parent, class), with the prior's documents in the clean class and one in the toxic class."""
         out = np.zeros((votes.shape[1], 2, 2))
         for j, parent in enumerate(self.parents):
             for y in range(2):
                 for a in range(2):
                     at = votes[:, parent] == a if parent >= 0 else np.ones(len(votes), dtype=bool)
-                    out[j, a, y] = (mass[y][at & (votes[:, j] == 1)].sum() + 0.5) / (mass[y][at].sum() + 1)
+                    yes, docs = (0.5, 1.0) if y else (CLEAN_YES * PRIOR_DOCS, PRIOR_DOCS)
+                    out[j, a, y] = (mass[y][at & (votes[:, j] == 1)].sum() + yes) / (mass[y][at].sum() + docs)
         return out
 
     def _posterior(self, votes: np.ndarray) -> np.ndarray:
