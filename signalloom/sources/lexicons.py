@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,17 +19,21 @@ DOMAIN_VOCAB = {
 
 
 def numbered_lines(spark: SparkSession, paths: Sequence[str], encoding: str = "utf-8") -> DataFrame:
-    """(file_no, line_no, line) of text files in any encoding, numbered within each file.
+    """(file_no, line_no, line) of text files in any encoding, numbered within each file; bytes that do not decode become
+    replacement marks. Spark's own readers know seven encodings only, so each file (a dictionary of a few megabytes) is
+    decoded as one row of an Arrow batch on an executor."""
 
-    Each file is one row, so that lines keep their numbers; a dictionary is a few megabytes."""
-    frames = [
-        spark.read.format("binaryFile").load(p).select(F.lit(i).alias("file_no"), F.posexplode(F.split(F.decode("content", encoding), "\r\n|\n|\r")).alias("line_no", "line"))
-        for i, p in enumerate(paths)
-    ]
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
-    return out.withColumn("line", F.trim(F.regexp_replace("line", r"^[﻿]", "")))
+    def lines(batches):
+        for pdf in batches:
+            for content in pdf["content"]:
+                found = [x.strip() for x in bytes(content).decode(encoding, errors="replace").lstrip("\ufeff").splitlines()]
+                yield pd.DataFrame({"line_no": range(len(found)), "line": found})
+
+    out = None
+    for i, p in enumerate(paths):
+        rows = spark.read.format("binaryFile").load(p).select("content").mapInPandas(lines, "line_no long, line string").withColumn("file_no", F.lit(i))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def fold_duplicates(rows: DataFrame) -> DataFrame:
@@ -47,7 +52,7 @@ def label_score(label):
     return F.when(label == "p", 1.0).when(label == "n", -1.0).otherwise(0.0)
 
 
-def colon_lexicon(spark: SparkSession, path: str, encoding: str = "windows-31j") -> DataFrame:
+def colon_lexicon(spark: SparkSession, path: str, encoding: str = "cp932") -> DataFrame:
     """word:reading:pos:score lines; shorter lines are skipped, repeated words folded."""
     parts = F.split("line", ":", -1)
     lines = numbered_lines(spark, [path], encoding).filter(F.size(parts) >= 4)
