@@ -160,7 +160,7 @@ class LabelModel:
         total = max(weight.sum(), 1.0)
         self.parents, self.prior = [-1] * voters, 0.5
         self.tables = np.full((voters, 2, 2), 0.5)
-        for step in range(rounds):
+        for step in range(rounds if len(votes) else 0):
             mass = np.stack([weight * (1 - post), weight * post])
             self.prior = float(np.clip(mass[1].sum() / total, 1e-6, 1 - 1e-6))
             if step % 10 == 0:
