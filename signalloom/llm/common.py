@@ -19,6 +19,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of text that travel to a Python worker at once, whatever the lengths of the documents.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches to BATCH_BYTES, unless the session already asks for less. Spark's own limit is eight times as much."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).lower()
+    if not (now.removesuffix("b").isdigit() and 0 < int(now.removesuffix("b")) <= BATCH_BYTES):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def text_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of documents, null text as empty, ready to be mapped in Arrow batches of bounded size."""
+    bounded_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; an own one only where the session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -57,6 +75,26 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
+#: A key is hot when it holds more than one in so many rows, so there are fewer hot keys than this, whatever the input.
+HOT_SHARE = 4000
+
+
+def hot_keys(rows: DataFrame, key: str) -> DataFrame:
+    """The keys that hold more than 1 / HOT_SHARE of the rows, written down: fewer than HOT_SHARE rows, safe to broadcast."""
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    total = rows.count()
+    return materialise(counts.filter(F.col("__n") * HOT_SHARE > total).select(key), "hot")
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """Inner join of rows with `groups`, one row per key. Rows of hot keys stay where they are and look their few groups up
+    in a broadcast of bounded size; only the others are shuffled, and none of their keys holds many rows."""
+    hot = hot_keys(rows, key)
+    few = groups.join(F.broadcast(hot), key, "left_semi")
+    many = rows.join(F.broadcast(hot), key, "left_anti").join(groups, key)
+    return rows.join(F.broadcast(few), key).unionByName(many)
+
+
 def running_total(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], value: str, out: str) -> DataFrame:
     """Per key, the running total of `value` in the order (bucket, *order), both ends included.
 

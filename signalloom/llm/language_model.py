@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalloom.llm.common import fold_of, materialise, text_bytes
+from signalloom.llm.common import fold_of, materialise, text_bytes, text_rows
 
 FOLDS = 10
 BLOCK_TOKENS = 1_000_000
@@ -327,7 +327,7 @@ def _scores(model: Interpolation, documents: int):
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = text_rows(docs)
     blocks = materialise(rows.mapInArrow(_blocks, BLOCKS), "blocks")
     sizes = blocks.agg(F.sum("n_tokens")).first()[0] or 0
     parts = max(8, -(-sizes // PART_ENTRIES))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalloom.llm.common import TOTAL_BUCKETS, materialise, running_total
+from signalloom.llm.common import TOTAL_BUCKETS, materialise, running_total, text_rows
 from signalloom.llm.tokenise import encoder, tokenizer_path, with_end
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -55,7 +55,7 @@ def _cut(path: str, end_id: int, window: int):
 
 def cut_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, window: int = WINDOW) -> DataFrame:
     """Pieces of at most `window` ids: doc_id, start, length, ids_crc32, doc_tokens."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = text_rows(docs)
     return rows.mapInArrow(_cut(tokenizer or tokenizer_path(VOCABULARY), end_id, window), PIECES)
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalloom.llm.common import fold, materialise, text_bytes
+from signalloom.llm.common import bounded_batches, fold, materialise, text_bytes, text_rows
 from signalloom.llm.linear import matrix, partition_sums
 from signalloom.llm.quality_rules import BYTE_CLASS, CLASSES, SYMBOL_BYTES, byte_histogram, repeated_words
 
@@ -67,7 +67,7 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def document_statistics(docs: DataFrame) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = text_rows(docs)
     return rows.mapInArrow(_statistics, "doc_id long, features array<double>")
 
 
@@ -180,6 +180,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, *
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
     """The documents that the classifier accepts, with all their columns. Texts are scored where they lie, without a shuffle."""
+    bounded_batches(docs.sparkSession)
     train = materialise(labelled(document_statistics(docs), labels, "quality"), "labelled")
     model = fit(train, **options)
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalloom.llm.common import text_bytes
+from signalloom.llm.common import text_bytes, text_rows
 
 COMMON = 100
 MIN_CHARS = 200
@@ -33,6 +33,7 @@ MAX_WORD_DISTANCE = 0.33
 SCATTER = 1.25
 MIN_BASE_WORDS = 50
 HELD_WORDS = 200_000
+SALTS = 64
 SYMBOLS = b"#*$%&|<>"
 CLASSES = ("lower", "upper", "digit", "blank", "newline", "stop", "mark", "symbol", "control", "letter_beyond_ascii")
 
@@ -125,8 +126,10 @@ def references(docs: DataFrame, common: int = COMMON) -> DataFrame:
     summed = counted.groupBy("lang", "word", "kind").agg(F.sum("n").alias("n"))
     classes = summed.filter("word is null").withColumn("total", F.lit(None).cast("long"))
     words = summed.filter("word is not null")
-    # the limit on a rank is applied in each task before the shuffle; the totals are partial sums
-    ranked = words.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "word"))).filter(F.col("nth") <= common)
+    # first within SALTS parts of a language, then among what is left of them: no task ranks all words of a language
+    order, salt = [F.col("n").desc(), F.col("word")], F.pmod(F.xxhash64("word"), F.lit(SALTS))
+    ranked = words.withColumn("salt", salt).withColumn("nth", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).filter(F.col("nth") <= common)
+    ranked = ranked.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("nth") <= common).drop("salt")
     totals = words.groupBy(F.col("lang").alias("__lang")).agg(F.sum("n").alias("total"))
     top = ranked.join(totals, F.col("lang").eqNullSafe(F.col("__lang"))).drop("nth", "__lang")
     return classes.unionByName(top)
@@ -212,5 +215,5 @@ def _judge(known: References):
 def judge(docs: DataFrame) -> DataFrame:
     """Base counts, verdict and both distances of every document."""
     known = References(references(docs).collect())  # COMMON words and ten classes for each language
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = text_rows(docs)
     return rows.mapInArrow(_judge(known), RESULT)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalloom.llm.common import materialise, text_bytes
+from signalloom.llm.common import join_groups, materialise, text_bytes, text_rows
 from signalloom.llm.components import connected_components
 
 SHINGLE = 3
@@ -88,7 +88,7 @@ def _fingerprints(size: int):
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): the 64-bit fingerprint of each text as a long."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = text_rows(docs)
     return rows.mapInArrow(_fingerprints(size), "doc_id long, fp long")
 
 
@@ -228,8 +228,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, bucket: int = BUCKET)
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     named = linked.join(least, "root").select(F.col("fp").alias("__fp"), "component_id")
     alone = prints.join(named, F.col("fp") == F.col("__fp"), "left")
-    classes = alone.select(F.col("fp").alias("__fp"), F.coalesce("component_id", "first").alias("component_id"))
-    return rows.join(classes, F.col("fp") == F.col("__fp")).select("doc_id", "fp", "component_id")
+    classes = materialise(alone.select("fp", F.coalesce("component_id", "first").alias("component_id")), "classes")
+    return join_groups(rows, classes, "fp").select("doc_id", "fp", "component_id")
 
 
 def fingerprint_hex(fp) -> Column:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from signalloom.llm.common import shared_path
+from signalloom.llm.common import shared_path, text_rows
 from signalloom.llm.tokenise import encoder, tokenizer_path, with_end
 
 VOCABULARY = "word_bpe_49k.json"
@@ -59,7 +59,7 @@ def _encode(path: str, end_id: int):
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID) -> None:
     """Tokenise whole texts and write the token files to `path`."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = text_rows(docs)
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     rows.mapInArrow(_encode(tokenizer or tokenizer_path(VOCABULARY), end_id), SCHEMA).write.options(**WRITER).parquet(path)
 

@@ -26,10 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalloom.llm.common import fold, materialise
+from signalloom.llm.common import fold, materialise, text_rows
 from signalloom.llm.linear import matrix, partition_sums
 
 FOLDS = 5
@@ -102,15 +102,13 @@ def mine_lexicons(docs: DataFrame, labels: DataFrame, rows: int = MINING_ROWS) -
         return [frozenset() for _ in KINDS]
     part = int(1_000_000 * min(1.0, rows / there))
     chosen = known.filter(F.pmod(F.xxhash64("__doc"), F.lit(1_000_000)) < part)  # at most about `rows` rows of two numbers: small enough to broadcast
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__doc"))
+    joined = text_rows(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("__doc"))
     counted = joined.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(_mine, "kind int, unit string, toxic long, clean long")
     summed = counted.groupBy("kind", "unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     strong = summed.filter((F.col("toxic") >= MIN_SUPPORT) & (F.col("toxic") / (F.col("toxic") + F.col("clean") + 0.5) >= MIN_PRECISION))
-    out = []
-    for i in range(len(KINDS)):
-        best = strong.filter(F.col("kind") == i).orderBy(F.col("toxic").desc(), "unit").limit(LEXICON_SIZE)
-        out.append(frozenset(r["unit"] for r in best.select("unit").collect()))
-    return out
+    best = Window.partitionBy("kind").orderBy(F.col("toxic").desc(), "unit")
+    rows = strong.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= LEXICON_SIZE).select("kind", "unit").collect()
+    return [frozenset(r["unit"] for r in rows if r["kind"] == i) for i in range(len(KINDS))]
 
 
 class Voters:
@@ -252,7 +250,7 @@ def _score(w: np.ndarray):
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     lexicons = mine_lexicons(docs, labels)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = text_rows(docs)
     looked = materialise(rows.mapInArrow(_look(lexicons), "doc_id long, votes int, features array<double>"), "votes")
     train = looked.filter(fold(F.col("doc_id"), FOLDS) != 0)
     patterns = {r["votes"]: r["n"] for r in train.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 2 ** voters rows
