@@ -2,7 +2,8 @@
 
 The index is a table bucketed and sorted by digest. New rows are reduced to one row per digest (partial aggregation before
 the shuffle), anti-joined with the index by sort-merge, and the digests that are new are appended. A digest is the SHA-256
-of the text's UTF-8 bytes; a null text counts as empty.
+of the text's UTF-8 bytes; a null text counts as empty. Texts are read and hashed once; all else works on (id, digest). Rows
+find their group without a shuffle where a digest holds many of them (`join_groups`).
 
 Cases: an empty table gives an empty result; equal texts form one group whatever their other columns; the row with the
 largest doc_id of a group stays (a null id is smaller than any other); rows that repeat both id and text are one document
@@ -17,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalloom.llm.common import shared_path
+from signalloom.llm.common import join_groups, materialise, shared_path
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -42,17 +43,17 @@ class DigestIndex:
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def append(self, docs: DataFrame) -> None:
-        """Store every digest of `docs` that the index lacks, with its largest doc_id and the number of its rows."""
-        groups = digests(docs).groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    def append(self, rows: DataFrame) -> None:
+        """Store every digest of the (doc_id, digest) rows that the index lacks, with its largest doc_id and its number."""
+        groups = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         fresh = groups.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
         dealt = fresh.select("digest", "keep_id", "group_size").repartition(self.buckets, "digest")
         dealt.write.insertInto(self.name)
         self.spark.catalog.refreshTable(self.name)
 
-    def label(self, docs: DataFrame) -> DataFrame:
-        """Each row of `docs` with the group that the index holds for its digest."""
-        held = digests(docs).join(self.rows(), "digest")
+    def label(self, rows: DataFrame) -> DataFrame:
+        """Each (doc_id, digest) row with the group that the index holds for its digest."""
+        held = join_groups(rows, self.rows(), "digest")
         return held.select(
             "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
         )
@@ -61,17 +62,20 @@ class DigestIndex:
 def deduplicate(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256. The index gains what is new."""
     index = index or DigestIndex(docs.sparkSession)
-    index.append(docs)
-    return index.label(docs)
+    rows = materialise(digests(docs), "digests")
+    index.append(rows)
+    return index.label(rows)
 
 
 def keep_distinct(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns; a repeat of one id and text stays once."""
+    """The documents that stay, with all their columns; a repeat of one id and text stays once. The join is on digest and id
+    together, so a large group of equal texts is spread by id."""
     index = DigestIndex(docs.sparkSession)
-    index.append(docs)
-    digest = F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256))
-    held = index.rows().select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep"))
-    kept = docs.withColumn("__digest", digest).join(held, "__digest").filter(F.col("doc_id").cast("long").eqNullSafe(F.col("__keep")))
-    repeats = digests(docs).groupBy("doc_id", "digest").count().filter("count > 1").limit(1)
-    kept = kept if repeats.isEmpty() else kept.dropDuplicates(["__keep", "__digest"])
+    rows = materialise(digests(docs), "digests")
+    index.append(rows)
+    keyed = docs.withColumns({"__digest": F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)), "__doc": F.col("doc_id").cast("long")})
+    held = index.rows().select(F.col("digest").alias("__d"), F.col("keep_id").alias("__k"))
+    kept = keyed.join(held, (F.col("__digest") == F.col("__d")) & F.col("__doc").eqNullSafe(F.col("__k")), "left_semi")
+    repeats = rows.groupBy("doc_id", "digest").count().filter("count > 1").limit(1)
+    kept = kept if repeats.isEmpty() else kept.dropDuplicates(["__doc", "__digest"])
     return kept.select(*docs.columns)

@@ -103,5 +103,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     space = r"\x20\x09-\x0D"
     first = F.array_join(F.slice(F.split(F.col("text"), rf"(?<=[^{space}])(?=[{space}])", -1), F.lit(1), F.col("__taken").cast("int")), "")
     text = F.when(F.col("__taken") < F.col("__size"), first).otherwise(F.col("text"))
-    ordered = joined.withColumn("text", text).orderBy("__finish", "__source", "__doc", "__repeat")
+    joined = joined.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        joined = joined.withColumn("n_chars", F.when(F.col("__taken") < F.col("__size"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    ordered = joined.orderBy("__finish", "__source", "__doc", "__repeat")
     return ordered.select(*docs.columns)

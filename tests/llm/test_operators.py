@@ -387,6 +387,12 @@ def test_main_texts(spark):
     assert html_extract.main_texts(pages(spark).limit(0)).count() == 0
 
 
+def test_an_article_posted_many_times_is_no_template(spark):
+    rows = [(i, "https://h.example/x", PAGE % {"n": 1}) for i in range(30)] + [(100 + i, "https://h.example/y", PAGE % {"n": 2 + i}) for i in range(6)]
+    got = {r.page_id: r.text for r in html_extract.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert all(got[i] == "Title 1 & more\nFirst paragraph 1 bold café.\nSecond one here <tag>\nitem 1\ntwo" for i in range(30))
+
+
 def test_tree_matching_aligns_most_nodes():
     w = lambda key, *children: html_extract.Wrapper(key, 1, {0: 1}, list(children))
     left, right = [w("p"), w("div", w("a"), w("b")), w("ul")], [w("ul"), w("div", w("b")), w("p")]
