@@ -44,7 +44,7 @@ def entity_grid(entities: DataFrame, keys: Sequence[str], calendar: DataFrame) -
 def fill_panel(df: DataFrame, keys: Sequence[str], date: str, values: Sequence[str], strategy: str = "forward") -> DataFrame:
     """Entity x date panel over the dates that occur, gaps filled forward, backward, with zero, or left null."""
     dates = df.select(date).distinct()
-    grid = df.select(*keys).distinct().crossJoin(dates)
+    grid = entity_grid(df, keys, dates)
     panel = grid.join(df, [*keys, date], "left")
     window = Window.partitionBy(*keys).orderBy(date)
     if strategy == "forward":
