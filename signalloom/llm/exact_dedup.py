@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalloom.llm.common import join_groups, materialise, shared_path
+from signalloom.llm.common import free_names, join_groups, materialise, shared_path
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -46,7 +46,9 @@ class DigestIndex:
     def append(self, rows: DataFrame) -> None:
         """Store every digest of the (doc_id, digest) rows that the index lacks, with its largest doc_id and its number."""
         groups = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        fresh = groups.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
+        known = self.rows().select(F.col("digest").alias("__known")).hint("merge")
+        # the second condition always holds; as it reads an aggregate, the planner cannot move the join below the aggregation
+        fresh = groups.join(known, (F.col("digest") == F.col("__known")) & (F.col("group_size") > 0), "left_anti")
         dealt = fresh.select("digest", "keep_id", "group_size").repartition(self.buckets, "digest")
         dealt.write.insertInto(self.name)
         self.spark.catalog.refreshTable(self.name)
@@ -73,9 +75,10 @@ def keep_distinct(docs: DataFrame) -> DataFrame:
     index = DigestIndex(docs.sparkSession)
     rows = materialise(digests(docs), "digests")
     index.append(rows)
-    keyed = docs.withColumns({"__digest": F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)), "__doc": F.col("doc_id").cast("long")})
-    held = index.rows().select(F.col("digest").alias("__d"), F.col("keep_id").alias("__k"))
-    kept = keyed.join(held, (F.col("__digest") == F.col("__d")) & F.col("__doc").eqNullSafe(F.col("__k")), "left_semi")
+    own_digest, own_id, digest, keep = free_names(docs, "__digest", "__id", "__known", "__keep")
+    keyed = docs.withColumns({own_digest: F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)), own_id: F.col("doc_id").cast("long")})
+    held = index.rows().select(F.col("digest").alias(digest), F.col("keep_id").alias(keep))
+    kept = keyed.join(held, (F.col(own_digest) == F.col(digest)) & F.col(own_id).eqNullSafe(F.col(keep)), "left_semi")
     repeats = rows.groupBy("doc_id", "digest").count().filter("count > 1").limit(1)
-    kept = kept if repeats.isEmpty() else kept.dropDuplicates(["__doc", "__digest"])
+    kept = kept if repeats.isEmpty() else kept.dropDuplicates([own_id, own_digest])
     return kept.select(*docs.columns)
