@@ -2,11 +2,12 @@
 
 References. For each value of `lang`, the characters of all documents are counted by class and their words by word; the
 COMMON most frequent words of a language, with one bin for all others, make its word histogram. Counts cover every document
-and are pre-aggregated in each task; the references are one short row per language.
+and are pre-aggregated in each task; the references are one short row per language. A text that many rows repeat (more than
+one in HOT_SHARE) counts once for each language, or one page posted everywhere would be the language.
 
 Verdict. A document that passes the base rules is compared with every reference by Jensen-Shannon distance (base 2, so 0 to
 1), and the nearest language decides. Both distances must lie below their limits. Short texts scatter more, so a limit grows
-by SCATTER / sqrt(n), and a histogram of fewer than MIN_CHARS characters or MIN_WORDS words is no evidence: it is not tested.
+by SCATTER (characters) or WORD_SCATTER (words) / sqrt(n), and a histogram of fewer than MIN_CHARS characters or MIN_WORDS words is no evidence: it is not tested.
 
 Cases: null and empty texts have zero counts and fail the base rules; lang may be null (a reference of its own) and is used
 for nothing but the references; an empty table gives an empty result; rows that repeat an id are judged each for itself;
@@ -23,14 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalloom.llm.common import text_bytes, text_rows
+from signalloom.llm.common import bounded_batches, hot_keys, text_bytes, text_rows
 
 COMMON = 100
 MIN_CHARS = 200
 MIN_WORDS = 50
 MAX_CHAR_DISTANCE = 0.20
-MAX_WORD_DISTANCE = 0.33
+MAX_WORD_DISTANCE = 0.35
 SCATTER = 1.25
+WORD_SCATTER = 1.5
 MIN_BASE_WORDS = 50
 HELD_WORDS = 200_000
 SALTS = 64
@@ -122,7 +124,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def references(docs: DataFrame, common: int = COMMON) -> DataFrame:
     """lang, kind, word, n: class counts (word null) and the `common` most frequent words of each language with `total`."""
-    counted = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(_count, "lang string, word binary, kind int, n long")
+    bounded_batches(docs.sparkSession)
+    rows = docs.select(F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumn("key", F.xxhash64("text"))
+    hot = hot_keys(rows, "key")
+    once = rows.join(F.broadcast(hot), "key", "left_semi").groupBy("lang", "key").agg(F.max("text").alias("text"))
+    single = rows.join(F.broadcast(hot), "key", "left_anti").select("lang", "text").unionByName(once.select("lang", "text"))
+    counted = single.mapInArrow(_count, "lang string, word binary, kind int, n long")
     summed = counted.groupBy("lang", "word", "kind").agg(F.sum("n").alias("n"))
     classes = summed.filter("word is null").withColumn("total", F.lit(None).cast("long"))
     words = summed.filter("word is not null")
@@ -188,7 +196,7 @@ class References:
 
 def accept(n_chars: int, n_words: int, chars: float, words: float) -> bool:
     char_ok = n_chars < MIN_CHARS or chars <= MAX_CHAR_DISTANCE + SCATTER / n_chars**0.5
-    return char_ok and (n_words < MIN_WORDS or words <= MAX_WORD_DISTANCE + SCATTER / n_words**0.5)
+    return char_ok and (n_words < MIN_WORDS or words <= MAX_WORD_DISTANCE + WORD_SCATTER / n_words**0.5)
 
 
 RESULT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double"
