@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalloom.llm.common import TOTAL_BUCKETS, n_words, running_total
+from signalloom.llm.common import TOTAL_BUCKETS, free_names, n_words, running_total
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -95,16 +95,17 @@ def taken_words(docs: DataFrame, **options) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix in mixing order, repeats included; a copy cut at the budget keeps its first words."""
-    sequence = schedule(sizes_of(docs), **options).filter("taken > 0").select(
-        F.col("doc_id").alias("__doc"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("taken").alias("__taken"), F.col("virtual_finish").alias("__finish"), F.col("repeat").alias("__repeat")
-    )
-    sequence = sequence.dropDuplicates(["__doc", "__source", "__size", "__repeat"])
-    joined = docs.join(sequence, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & F.col("source").cast("string").eqNullSafe(F.col("__source")) & (n_words(F.col("text")) == F.col("__size")))
+    doc, source, size, taken, finish, repeat = free_names(docs, "__doc", "__source", "__size", "__taken", "__finish", "__repeat")
+    sequence = schedule(sizes_of(docs), **options).filter("taken > 0")
+    sequence = sequence.dropDuplicates(["doc_id", "source", "size", "repeat"]).select(
+        F.col("doc_id").alias(doc), F.col("source").alias(source), F.col("size").alias(size), F.col("taken").alias(taken), F.col("virtual_finish").alias(finish), F.col("repeat").alias(repeat)
+    )
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & F.col("source").cast("string").eqNullSafe(F.col(source)) & (n_words(F.col("text")) == F.col(size))
+    joined = docs.join(sequence, same)
     space = r"\x20\x09-\x0D"
-    first = F.array_join(F.slice(F.split(F.col("text"), rf"(?<=[^{space}])(?=[{space}])", -1), F.lit(1), F.col("__taken").cast("int")), "")
-    text = F.when(F.col("__taken") < F.col("__size"), first).otherwise(F.col("text"))
-    joined = joined.withColumn("text", text)
+    first = F.array_join(F.slice(F.split(F.col("text"), rf"(?<=[^{space}])(?=[{space}])", -1), F.lit(1), F.col(taken).cast("int")), "")
+    cut = F.col(taken) < F.col(size)
+    joined = joined.withColumn("text", F.when(cut, first).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("__taken") < F.col("__size"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    ordered = joined.orderBy("__finish", "__source", "__doc", "__repeat")
-    return ordered.select(*docs.columns)
+        joined = joined.withColumn("n_chars", F.when(cut, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return joined.orderBy(finish, source, doc, repeat).select(*docs.columns)

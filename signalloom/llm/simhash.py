@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalloom.llm.common import join_groups, materialise, text_bytes, text_rows
+from signalloom.llm.common import free_names, join_groups, materialise, text_bytes, text_rows
 from signalloom.llm.components import connected_components
 
 SHINGLE = 3
@@ -238,5 +238,6 @@ def fingerprint_hex(fp) -> Column:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The document with the smallest id of each group, with all its columns."""
-    groups = near_duplicates(docs).select(F.col("doc_id").alias("__doc"), "component_id").filter(F.col("__doc").eqNullSafe(F.col("component_id"))).select("__doc").distinct()
-    return docs.join(groups, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")), "left_semi")
+    (doc,) = free_names(docs, "__doc")
+    first = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(doc)).distinct()
+    return docs.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)), "left_semi")
