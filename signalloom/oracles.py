@@ -1,6 +1,6 @@
 """DuckDB twins of the registered queries, as bodies after a WITH clause of their relations."""
 
-DAY = "(date - DATE '1970-01-01')"
+from signalloom.operators.semantic import STOP_WORDS
 
 ROLLING_LIVE = """, cal AS (SELECT unnest(generate_series((SELECT min(date) FROM uncertainty), (SELECT max(date) FROM uncertainty), INTERVAL 1 DAY))::DATE AS date),
 u AS (SELECT qid, date, value, false AS g FROM uncertainty UNION ALL
@@ -253,6 +253,50 @@ ROBUST_NORM = COMPOSITES + ", md AS (SELECT *, " + ", ".join(f"median({c}) OVER
     f"median(abs({c} - m_{c})) OVER (PARTITION BY filing_date) AS d_{c}" for c in NORM_COLS
 ) + " FROM md) SELECT qid, filing_date, " + ", ".join(f"({_rank(c)}) / nullif(count({c}) OVER (PARTITION BY filing_date), 0) AS {c}_rank, ({c} - m_{c}) / (d_{c} + 1e-10) AS {c}_robust_zscore" for c in NORM_COLS) + " FROM ma"
 
+STOPS = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
+SEMANTIC = CLEAN + f""", tw AS (SELECT qid, filing_date, list_filter(string_split(regexp_replace(lower(clean_text), '[^a-z]+', ' ', 'g'), ' '), lambda w: length(w) >= 2 AND NOT list_contains({STOPS}, w)) AS w FROM pp),
+tt AS (SELECT qid, filing_date, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM tw),
+tc AS (SELECT qid, filing_date, term, count(*) AS tf FROM tt GROUP BY ALL),
+nd AS (SELECT qid, count(*) AS n FROM (SELECT DISTINCT qid, filing_date FROM tc) GROUP BY qid),
+vc AS (SELECT qid, term, count(*) AS df, row_number() OVER (PARTITION BY qid ORDER BY sum(tf) DESC, term) AS top FROM tc GROUP BY qid, term),
+wv AS (SELECT tc.qid, tc.filing_date, tc.term, tc.tf * (ln((1 + nd.n) / (1 + vc.df)::DOUBLE) + 1) AS x FROM tc JOIN vc ON tc.qid = vc.qid AND tc.term = vc.term AND vc.top <= 1000 JOIN nd ON tc.qid = nd.qid),
+fl AS (SELECT qid, filing_date, row_number() OVER (PARTITION BY qid ORDER BY filing_date) AS i FROM (SELECT DISTINCT qid, filing_date FROM pp)),
+ve AS (SELECT w.qid, f.i, w.term, w.x / sum(w.x) OVER (PARTITION BY w.qid, w.filing_date) AS p FROM wv w JOIN fl f ON w.qid = f.qid AND w.filing_date = f.filing_date),
+lv AS (SELECT DISTINCT qid, i FROM ve), pr AS (SELECT a.qid, a.i, b.i AS j FROM lv a JOIN lv b ON a.qid = b.qid AND b.i < a.i AND b.i >= a.i - 5),
+un AS (SELECT pr.qid, pr.i, pr.j, v.term, v.p AS p, 0::DOUBLE AS q FROM pr JOIN ve v ON v.qid = pr.qid AND v.i = pr.i UNION ALL SELECT pr.qid, pr.i, pr.j, v.term, 0, v.p FROM pr JOIN ve v ON v.qid = pr.qid AND v.i = pr.j),
+gt AS (SELECT qid, i, j, term, sum(p) AS p, sum(q) AS q FROM un GROUP BY ALL),
+js AS (SELECT qid, i, j, sqrt(greatest(sum(CASE WHEN p > 0 THEN p / 2 * ln(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q / 2 * ln(2 * q / (p + q)) ELSE 0 END), 0)) AS d FROM gt GROUP BY ALL)
+SELECT fl.qid, fl.filing_date, coalesce(avg(js.d), 0) AS semantic_entropy FROM fl LEFT JOIN js ON fl.qid = js.qid AND fl.i = js.i GROUP BY fl.qid, fl.filing_date"""
+
+
+def _part(source: str, bucket: str, out: str, extra: str = "") -> str:
+    return f"""(SELECT qid, filing_date, {ENTROPY} + 0.0 AS {out}{extra} FROM (SELECT *, sum(n) OVER (PARTITION BY qid, filing_date) AS t FROM
+ (SELECT qid, filing_date, {bucket} AS b, count(*)::DOUBLE AS n FROM {source} GROUP BY ALL)) GROUP BY qid, filing_date)"""
+
+
+FACTORS = ("word_entropy", "length_entropy", "filing_freq_entropy", "semantic_entropy", "composite_entropy", "info_change_intensity", "info_complexity", "info_density", "info_volatility", "info_trend")
+WORDS = "(SELECT * FROM wd WHERE word != '')"
+_SEM_CTES, _SEM_BODY = SEMANTIC.split("\nSELECT fl.qid", 1)
+ENTROPY_ENGINE = _SEM_CTES + f""", se AS (SELECT fl.qid{_SEM_BODY}), we AS {_part(WORDS, "word", "word_entropy")}, le AS {_part("pw", "word_count // 10", "length_entropy", ", sum(n)::BIGINT AS total_sentences")},
+fe AS {_part("pw", "document_id", "filing_freq_entropy", ", count(*) AS num_documents")},
+mg AS (SELECT qid, filing_date, coalesce(word_entropy, 0) AS word_entropy, coalesce(length_entropy, 0) AS length_entropy, coalesce(total_sentences, 0) AS total_sentences, coalesce(filing_freq_entropy, 0) AS filing_freq_entropy,
+ coalesce(num_documents, 0) AS num_documents, coalesce(semantic_entropy, 0) AS semantic_entropy FROM we FULL JOIN le USING (qid, filing_date) FULL JOIN fe USING (qid, filing_date) FULL JOIN se USING (qid, filing_date)),
+er AS (SELECT *, avg(word_entropy) OVER r AS word_entropy_rolling_mean, stddev_samp(word_entropy) OVER r AS word_entropy_rolling_std, avg(length_entropy) OVER r AS length_entropy_rolling_mean,
+ word_entropy / nullif(lag(word_entropy) OVER w, 0) - 1 AS word_entropy_change, length_entropy / nullif(lag(length_entropy) OVER w, 0) - 1 AS length_entropy_change FROM mg
+ WINDOW w AS (PARTITION BY qid ORDER BY filing_date), r AS (PARTITION BY qid ORDER BY filing_date RANGE BETWEEN INTERVAL 89 DAYS PRECEDING AND CURRENT ROW)),
+en AS (SELECT *, word_entropy * 0.4 + length_entropy * 0.3 + semantic_entropy * 0.3 AS composite_entropy, abs(word_entropy_change) * 0.5 + abs(length_entropy_change) * 0.5 AS info_change_intensity,
+ word_entropy + filing_freq_entropy AS info_complexity, abs(word_entropy - word_entropy_rolling_mean) / (word_entropy_rolling_std + 1e-10) AS word_entropy_anomaly, word_entropy / (num_documents + 1) AS info_density,
+ word_entropy_rolling_std AS info_volatility, word_entropy - word_entropy_rolling_mean AS info_trend FROM er)
+SELECT *, """ + ", ".join(f"{_rank(c)} AS {c}_rank, ({c} - avg({c}) OVER (PARTITION BY filing_date)) / (stddev_samp({c}) OVER (PARTITION BY filing_date) + 1e-10) AS {c}_zscore" for c in FACTORS) + " FROM en"
+_SCALED = COMPOSITES.replace("\nff AS (", "\nff0 AS (").replace(", tf AS (", f""", ae AS {_part(WORDS, "('0x' || substr(md5(word), 25, 8))::BIGINT % 10000", "approx_word_entropy")},
+ff AS (SELECT f.* REPLACE (coalesce(std_vocabulary_diversity, 0) AS std_vocabulary_diversity, coalesce(filing_std_sentence_length, 0) AS filing_std_sentence_length, coalesce(avg_vocabulary_diversity, 0) AS avg_vocabulary_diversity),
+ coalesce(approx_word_entropy, 0) AS approx_word_entropy FROM ff0 f LEFT JOIN ae USING (qid, filing_date)), tf AS (""")
+SCALABLE_ENGINE = _SCALED + ", md AS (SELECT *, " + ", ".join(f"median({c}) OVER (PARTITION BY filing_date) AS m_{c}" for c in SEVEN) + " FROM cp), ma AS (SELECT *, " + ", ".join(
+    f"median(abs({c} - m_{c})) OVER (PARTITION BY filing_date) AS d_{c}" for c in SEVEN
+) + " FROM md) SELECT * EXCLUDE (" + ", ".join(f"{k}_{c}" for c in SEVEN for k in "md") + "), " + ", ".join(
+    f"({_rank(c)}) / nullif(count({c}) OVER (PARTITION BY filing_date), 0) AS {c}_rank, ({c} - m_{c}) / (d_{c} + 1e-10) AS {c}_robust_zscore" for c in SEVEN
+) + " FROM ma"
+
 EVENTS = """, dd AS (SELECT qid, data_date, list_sort(list(DISTINCT data_date)) AS x FROM event_signals GROUP BY qid, data_date),
 ds AS (SELECT qid, data_date, row_number() OVER (PARTITION BY qid ORDER BY data_date) AS k FROM (SELECT DISTINCT qid, data_date FROM event_signals)),
 gp AS (SELECT qid, data_date, k, data_date AS kept FROM ds WHERE k = 1 UNION ALL
@@ -325,6 +369,9 @@ SELECT word, arg_max(m, k) AS score FROM f GROUP BY word"""
 
 #: The columns of each query that hold doubles, which twins round.
 DOUBLES = {
+    "entropy_engine": "word_entropy length_entropy filing_freq_entropy semantic_entropy word_entropy_rolling_mean word_entropy_rolling_std length_entropy_rolling_mean word_entropy_change length_entropy_change composite_entropy info_change_intensity info_complexity word_entropy_anomaly info_density info_volatility info_trend word_entropy_rank length_entropy_rank filing_freq_entropy_rank semantic_entropy_rank composite_entropy_rank info_change_intensity_rank info_complexity_rank info_density_rank info_volatility_rank info_trend_rank word_entropy_zscore length_entropy_zscore filing_freq_entropy_zscore semantic_entropy_zscore composite_entropy_zscore info_change_intensity_zscore info_complexity_zscore info_density_zscore info_volatility_zscore info_trend_zscore",
+    "scalable_entropy_engine": "document_size_entropy avg_vocabulary_diversity std_vocabulary_diversity filing_punctuation_complexity filing_conjunction_complexity filing_avg_sentence_length filing_std_sentence_length approx_word_entropy entropy_rolling_mean entropy_rolling_std diversity_rolling_mean entropy_change_rate diversity_change_rate entropy_cross_rank diversity_cross_rank entropy_momentum diversity_momentum information_complexity information_change_intensity information_anomaly information_density information_momentum relative_complexity_position information_volatility information_complexity_rank information_change_intensity_rank information_anomaly_rank information_density_rank information_momentum_rank relative_complexity_position_rank information_volatility_rank information_complexity_robust_zscore information_change_intensity_robust_zscore information_anomaly_robust_zscore information_density_robust_zscore information_momentum_robust_zscore relative_complexity_position_robust_zscore information_volatility_robust_zscore",
+    "semantic_entropy": "semantic_entropy",
     "rolling_live_signal": "rolling_sum rolling_mean",
     "weighted_pnl": "weighted_return",
     "cum_pnl": "weighted_return cum",

@@ -207,9 +207,9 @@ def _(r):
     return rows.select("qid", "filing_date", *[f"{c}_{x}" for c in Q.NORM_COLS for x in ("rank", "robust_zscore")])
 
 
-query("semantic_entropy", "sentences", None)(lambda r: semantic.semantic_entropy(_clean(r)))
-query("entropy_engine", "sentences", None)(lambda r: pipelines.entropy_engine(r("sentences")))
-query("scalable_entropy_engine", "sentences", None)(lambda r: pipelines.scalable_entropy_engine(r("sentences")))
+query("semantic_entropy", "sentences", Q.SEMANTIC)(lambda r: semantic.semantic_entropy(_clean(r)))
+query("entropy_engine", "sentences", Q.ENTROPY_ENGINE, 4)(lambda r: pipelines.entropy_engine(r("sentences")))
+query("scalable_entropy_engine", "sentences", Q.SCALABLE_ENGINE, 4)(lambda r: pipelines.scalable_entropy_engine(r("sentences")))
 
 
 @query("rolling_pca", "sentences", None)
