@@ -393,6 +393,22 @@ def test_an_article_posted_many_times_is_no_template(spark):
     assert all(got[i] == "Title 1 & more\nFirst paragraph 1 bold café.\nSecond one here <tag>\nitem 1\ntwo" for i in range(30))
 
 
+LAYOUTS = {
+    '<div id="header">Site</div><div id="menu"><a href=x>one</a></div><div id="main-content"><h1>T</h1><p>Body one.</p><p>Two <a href=y>link</a>.</p></div><div id="sidebar">side</div>': "T\nBody one.\nTwo link.",
+    "<TABLE><TR><TD class=nav>menu</TD><TD><P>Long text in a cell goes on.<P>More of it</TD></TR></TABLE>": "Long text in a cell goes on.\nMore of it",
+    '<article><h1>T</h1><div class="notice">N!</div><p>A</p><aside>x</aside><p>B</p></article><div class="comments"><article class="comment"><p>hi there reader</p></article></div>': "T\nA\nB",
+    '<main><section><h2>One</h2><p>aa</p></section><section class="comments"><p>zz</p></section></main>': "One\naa",
+    "<body><nav>n</nav><p>First.</p><p>Second &amp; &#8212; &nbsp;x&hellip;</p><footer>f</footer></body>": "First.\nSecond & — x…",
+    '<div class="ads"><p>x</p></div><h1>Title</h1><div class="text"><p>long long long long text</p><p>second long para</p></div>': "Title\nlong long long long text\nsecond long para",
+    "<article>A<!-- c -->B <b>c</b>d<i>e</i><p hidden>no</p><template>t</template></article>": "AB cde",
+}
+
+
+@pytest.mark.parametrize("html", LAYOUTS)
+def test_layouts_without_a_wrapper(html):
+    assert html_extract.extract(html) == LAYOUTS[html]
+
+
 def test_tree_matching_aligns_most_nodes():
     w = lambda key, *children: html_extract.Wrapper(key, 1, {0: 1}, list(children))
     left, right = [w("p"), w("div", w("a"), w("b")), w("ul")], [w("ul"), w("div", w("b")), w("p")]
