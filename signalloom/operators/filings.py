@@ -52,13 +52,19 @@ def daily_differences(records: DataFrame, start: str, end: str, lookback_days: i
     """D-34: for every entity and day, the latest record, its difference to the one before and to the mean of all earlier
     records not older than `lookback_days` before the day."""
     w = Window.partitionBy("qid").orderBy("date", "length")
-    numbered = records.select("qid", F.col("date").alias("rec_date"), "length", F.row_number().over(w).alias("nth"))
-    grid = entity_grid(records, ["qid"], date_range(records.sparkSession, start, end))
-    current = asof_backward(grid, numbered, ["qid"], "date", "rec_date", ["length", "nth"], tie=["nth"])
-    history = numbered.select(F.col("qid").alias("__q"), F.col("rec_date").alias("__d"), F.col("length").alias("__l"), F.col("nth").alias("__n"))
-    inside = (F.col("qid") == F.col("__q")) & (F.col("__n") < F.col("nth")) & (F.col("__d") >= F.date_sub("date", lookback_days))
-    joined = current.join(history, inside, "left").groupBy("qid", "date", "length").agg(F.max_by("__l", "__n").alias("__prev"), F.avg("__l").alias("__mean"))
-    return joined.select("qid", "date", "length", (F.col("length") - F.col("__prev")).alias("diff_vs_previous"), (F.col("length") - F.col("__mean")).alias("diff_vs_avg_previous"))
+    up_to = w.rowsBetween(Window.unboundedPreceding, 0)
+    numbered = records.select(
+        "qid", F.col("date").alias("rec_date"), "length", F.row_number().over(w).alias("nth"), F.sum("length").over(up_to).alias("total"), F.lag("length").over(w).alias("before"), F.lag("date").over(w).alias("before_date")
+    )
+    grid = entity_grid(records, ["qid"], date_range(records.sparkSession, start, end)).withColumn("edge", F.date_sub("date", lookback_days + 1))
+    current = asof_backward(grid, numbered, ["qid"], "date", "rec_date", ["length", "nth", "total", "before", "before_date"], tie=["nth"])
+    # what lies too far back is a prefix, too: the mean of the records between is a difference of two running sums
+    old = numbered.select("qid", "rec_date", F.col("nth").alias("old_nth"), F.col("total").alias("old_total"))
+    both = asof_backward(current, old, ["qid"], "edge", "rec_date", ["old_nth", "old_total"], tie=["old_nth"])
+    n = F.col("nth") - 1 - F.coalesce("old_nth", F.lit(0))
+    mean = F.when(n > 0, safe_div(F.col("total") - F.col("length") - F.coalesce("old_total", F.lit(0.0)), n))
+    previous = F.when(F.col("before_date") > F.col("edge"), F.col("before"))
+    return both.select("qid", "date", "length", (F.col("length") - previous).alias("diff_vs_previous"), (F.col("length") - mean).alias("diff_vs_avg_previous"))
 
 
 def rolling_sections_list(sections: DataFrame, days: int = 180) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalloom.functions.columns import fill_forward, safe_div
+from signalloom.functions.columns import day, fill_forward, safe_div
 from signalloom.operators.ewma import irregular_ewma
 
 OPEN_END = "2099-12-31"
@@ -49,16 +49,37 @@ def sliding_sector(pit: DataFrame, days: int = 30, mode: str = "forward", guard:
     """D-14, D-18: per sector and day, statistics of the observations in a window of `days` days.
 
     forward: the window begins on the day (as the reference computes it, looking ahead); trailing: it ends on the day. Windows
-    begin at the sector's first date. `guard` leaves the sentiment null unless the weights sum above 0."""
-    sign = 1 if mode == "forward" else -1
-    first = pit.groupBy("sectorId").agg(F.min("date").alias("__first"))
-    offsets = F.explode(F.sequence(F.lit(0), F.lit(days - 1)))
-    spread = pit.join(first, "sectorId").withColumn("__k", offsets).withColumn("signal_date", F.date_sub("date", F.col("__k") * sign)).filter("signal_date >= __first")
-    weight = F.sum("weight")
-    ratio = safe_div(F.sum("weighted_sentiment"), weight)
-    return spread.groupBy("sectorId", F.col("signal_date").alias("date")).agg(
-        (F.when(weight > 0, ratio) if guard else ratio).alias("sector_sentiment"), weight.alias("weight_coverage"), F.countDistinct("id").alias("n_companies"),
-        F.count("sentiment").alias("n_docs"), F.stddev_samp("sentiment").alias("sentiment_std"), F.max("weight").alias("max_single_weight"),
+    begin at the sector's first date. `guard` leaves the sentiment null unless the weights sum above 0.
+
+    No row is spread over its windows: observations are summed per sector and day, and frames run over those sums. Companies
+    are counted by a sweep: an observation makes its company present from where the one before it stops to do so, so each
+    adds one arrival and one departure, and a running sum of these is the distinct count.
+    """
+    x = F.col("sentiment")
+    daily = pit.groupBy("sectorId", "date").agg(
+        F.sum("weighted_sentiment").alias("ws"), F.sum("weight").alias("w"), F.max("weight").alias("top"), F.count(x).alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("q")
+    )
+    before = F.lag("date").over(Window.partitionBy("sectorId", "id").orderBy("date"))
+    spans = pit.select("sectorId", "id", "date").distinct().withColumn("__p", before)
+    if mode == "forward":
+        arrive, leave, first, last = F.greatest(F.date_sub("date", days - 1), F.date_add("__p", 1)), F.date_add("date", 1), 0, days - 1
+    else:
+        arrive, leave, first, last = F.greatest(F.col("date"), F.date_add("__p", days)), F.date_add("date", days), 1 - days, 0
+    moves = spans.select("sectorId", F.explode(F.array(F.struct(arrive.alias("date"), F.lit(1).alias("d")), F.struct(leave.alias("date"), F.lit(-1).alias("d")))).alias("m"))
+    moves = moves.groupBy("sectorId", F.col("m.date").alias("date")).agg(F.sum("m.d").alias("d"))
+    bounds = pit.groupBy("sectorId").agg(F.min("date").alias("a"), F.date_add(F.max("date"), 0 if mode == "forward" else days - 1).alias("b"))
+    grid = bounds.select("sectorId", F.explode(F.sequence("a", "b", F.expr("interval 1 day"))).alias("date"), F.lit(True).alias("g"))
+    keys = ["sectorId", "date"]
+    rows = grid.join(daily, keys, "full").join(moves, keys, "full")
+    ordered = Window.partitionBy("sectorId").orderBy(day("date"))
+    frame, so_far = ordered.rangeBetween(first, last), ordered.rangeBetween(Window.unboundedPreceding, 0)
+    total = {c: F.sum(c).over(frame) for c in ("ws", "w", "n", "s", "q")}
+    rows = rows.select(*keys, "g", *[v.alias(f"t_{c}") for c, v in total.items()], F.max("top").over(frame).alias("max_single_weight"), F.sum("d").over(so_far).alias("n_companies"))
+    ratio, n = safe_div(F.col("t_ws"), F.col("t_w")), F.col("t_n")
+    spread = F.sqrt(F.greatest(safe_div(F.col("t_q") - safe_div(F.col("t_s") * F.col("t_s"), n), n - 1), F.lit(0.0)))
+    return rows.filter("g and n_companies > 0").select(
+        *keys, (F.when(F.col("t_w") > 0, ratio) if guard else ratio).alias("sector_sentiment"), F.col("t_w").alias("weight_coverage"), "n_companies",
+        n.alias("n_docs"), F.when(n > 1, spread).alias("sentiment_std"), "max_single_weight",
     )
 
 
