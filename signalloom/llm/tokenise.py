@@ -7,7 +7,8 @@ of units whose ids do not depend on their neighbours:
   like. Texts with any other white space, or with spaces in a row, are encoded whole.
 - word level (white space collapses and is then dropped): words between ASCII white space.
 
-Marks that end a word after a letter are a unit of their own, as both pre-tokenizers part letters from marks. Any other
+Marks that end a word after a letter are a unit of their own, as both pre-tokenizers part letters from marks. A text that holds
+the content of an added token (such as an end mark), which the library turns into that token's id, is encoded whole. Any other
 tokenizer encodes whole texts. Texts are split and their units numbered by Arrow; only distinct units are looked up, in a
 memo of two generations of at most MEMO_UNITS units (a unit met again moves to the young one, the old one is given up when
 the young one is full), which bounds a worker's memory and changes no result. New units are encoded together in one text,
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,14 +41,23 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.kind = self._kind(json.loads(self.tokenizer.to_str()))
+        spec = json.loads(self.tokenizer.to_str())
+        added = [x["content"] for x in spec.get("added_tokens") or [] if x["content"]]
+        self.kind = self._kind(spec)
+        #: RE2 pattern of what makes any text be encoded whole: the added tokens, and what would be one when a unit is lower-cased.
+        self.added = "|".join(re.sub(r"([^\w\s])", r"\\\1", x, flags=re.ASCII) for x in added)
+        if self.kind == "word" and added:
+            self.added = f"(?i:{self.added})"
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
     @staticmethod
     def _kind(spec: dict) -> str:
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
+        for x in spec.get("added_tokens") or []:
+            # found in normalized text, or made where units are put together with blanks
+            if (norm and x.get("normalized")) or not x["content"].isascii() or re.search(r"[\s\x00]", x["content"]):
+                return "whole"
         if pre.get("type") == "ByteLevel" and norm is None and pre.get("use_regex") and not pre.get("add_prefix_space"):
             return "byte"
         steps = [x.get("type") for x in pre.get("pretokenizers", [])]
@@ -125,6 +136,8 @@ class Encoder:
             whole = np.zeros(len(texts), dtype=bool)
         else:
             whole = pc.match_substring_regex(texts, ODD_BLANKS).to_numpy(zero_copy_only=False) | (pc.binary_length(texts).to_numpy() == 0)
+        if self.kind != "whole" and self.added:
+            whole = whole | pc.match_substring_regex(texts, self.added).to_numpy(zero_copy_only=False)
         split = texts if not whole.any() else texts.filter(pa.array(~whole))
         lists = self._unit_lists(split) if len(split) else None
         if lists is not None and len(lists.flatten()):

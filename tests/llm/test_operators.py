@@ -142,6 +142,21 @@ def test_encoder_equals_the_library(name):
     assert all(a.tolist() == b.ids for a, b in zip(mine, theirs, strict=True))
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_added_tokens_have_the_ids_that_a_fresh_library_tokenizer_gives(name):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(tokenizer_path(name))
+    rng = random.Random(11)
+    parts = ["foo", " ", "\n", "é", ".", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "endoftext", "0", "Bar"]
+    texts = ["end <|endoftext|> next", "x<|endoftext|>y", "plain words here.", *("".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(2000))]
+    mine = []
+    for _, ids, counts in Encoder(tokenizer_path(name)).encode(pa.array(texts)):
+        mine += np.split(ids, np.cumsum(counts)[:-1])
+    assert [x.tolist() for x in mine] == [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+    assert fresh.token_to_id("<|endoftext|>") in mine[0].tolist()
+
+
 def test_packing_round_trip(spark, docs):
     encoder = Encoder(tokenizer_path(packing.VOCABULARY))
     ids = {i: np.asarray([*e.ids, 0], dtype="<u4") for (i, _), e in zip(plain(docs).items(), encoder.tokenizer.encode_batch(list(plain(docs).values()), add_special_tokens=False), strict=True)}
