@@ -26,7 +26,7 @@ RELATIONS: dict[str, str] = {
     "sector_info": """SELECT o_custkey AS qid, CAST(o_orderdate AS DATE) AS date, round(sum(o_totalprice) / 100000.0 + 0.0000001, 3) AS weight, max(c_mktsegment) AS sector
         FROM {orders} JOIN {customer} ON o_custkey = c_custkey GROUP BY o_custkey, CAST(o_orderdate AS DATE)""",
     "holdings": """SELECT c_mktsegment AS factset_entity_id, c_nationkey AS qid, round(sum(o_totalprice) + 0.001, 0) AS shares, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS report_date
-        FROM {orders} JOIN {customer} ON o_custkey = c_custkey WHERE o_orderdate >= TIMESTAMP '1996-01-01 00:00:00'
+        FROM {orders} JOIN {customer} ON o_custkey = c_custkey
         GROUP BY c_mktsegment, c_nationkey, CAST(date_trunc('quarter', o_orderdate) AS DATE)""",
     "doc_sentiment": """SELECT c_nationkey AS qid, CAST(l_shipdate AS DATE) AS date, l_orderkey AS document_id, (l_discount - 0.05) * 20.0 AS sentiment, l_linenumber AS numOfSentences
         FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey""",

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from signalloom import adapters
 from signalloom.functions import columns as C
 from signalloom.operators import backtest, calendars, event_study, execution, filings, intervals, lexicon_sentiment, semantic, signals
 from signalloom.operators.asof import asof_backward
@@ -62,6 +63,15 @@ def test_daily_differences(spark):
     assert got[2, "2024-10-01"] == (12, -3, -3)
 
 
+def test_etf_sentiment_uses_all_snapshots_and_falls_back_to_the_first(spark, sf_dir, duck):
+    held = frame(spark, [("E", 1, 2.0, d("2024-04-01")), ("E", 2, 6.0, d("2024-04-01")), ("E", 1, 5.0, d("2024-07-01"))], "factset_entity_id string, qid long, shares double, report_date date")
+    docs = frame(spark, [(1, d("2024-01-05"), 7, 1.0, 1), (2, d("2024-01-05"), 7, 0.0, 1), (1, d("2024-08-01"), 8, 0.5, 1)], "qid long, date date, document_id long, sentiment double, numOfSentences int")
+    got = {r.document_id: (r.etf_sentiment, r.covered_shares) for r in signals.etf_sentiment(held, docs).collect()}
+    assert got == {7: (0.25, 8.0), 8: (0.5, 5.0)}  # document 7 is older than every snapshot
+    quarters = {r[0] for r in adapters.frame(spark, sf_dir, "holdings").select("report_date").distinct().collect()}
+    assert quarters == {r[0] for r in duck.execute("SELECT DISTINCT date_trunc('quarter', o_orderdate)::DATE FROM orders").fetchall()}
+
+
 def test_sector_intervals_and_pit(spark):
     snapshots = [(1, "A", "2024-01-01", 0.4), (1, "B", "2024-01-01", 0.4), (1, "C", "2024-01-01", 0.2), (1, "A", "2024-02-01", 0.3), (1, "B", "2024-02-01", 0.3), (1, "C", "2024-02-01", 0.2), (1, "D", "2024-02-01", 0.2), (2, "C", "2024-01-01", 0.6), (2, "D", "2024-01-01", 0.4), (2, "A", "2024-01-01", 0.0)]
     held = intervals.intervals_observed(frame(spark, [(a, b, d(c), w) for a, b, c, w in snapshots], "sectorId long, qid string, date date, weight double"))
