@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from signalloom.functions.columns import day, over_days, safe_div
 from signalloom.operators.asof import asof_backward
-from signalloom.operators.calendars import daily_calendar, date_range, entity_grid, weekdays
+from signalloom.operators.calendars import daily_calendar, entity_grid, weekdays
 
 
 def _event_stream(filings: DataFrame, leave_after: int, frame_days: int, keep_repeats: bool) -> DataFrame:
@@ -48,15 +48,17 @@ def signal_asof(queries: DataFrame, events: DataFrame) -> DataFrame:
     return asof_backward(queries, events, ["qid"], "date", "date", ["signal"], tie=["signal"])
 
 
-def daily_differences(records: DataFrame, start: str, end: str, lookback_days: int = 180) -> DataFrame:
+def daily_differences(records: DataFrame, start: str | None = None, end: str | None = None, lookback_days: int = 180) -> DataFrame:
     """D-34: for every entity and day, the latest record, its difference to the one before and to the mean of all earlier
-    records not older than `lookback_days` before the day."""
+    records not older than `lookback_days` before the day. Days run from the data's first to its last date unless given."""
     w = Window.partitionBy("qid").orderBy("date", "length")
     up_to = w.rowsBetween(Window.unboundedPreceding, 0)
     numbered = records.select(
         "qid", F.col("date").alias("rec_date"), "length", F.row_number().over(w).alias("nth"), F.sum("length").over(up_to).alias("total"), F.lag("length").over(w).alias("before"), F.lag("date").over(w).alias("before_date")
     )
-    grid = entity_grid(records, ["qid"], date_range(records.sparkSession, start, end)).withColumn("edge", F.date_sub("date", lookback_days + 1))
+    bounds = records.agg(F.coalesce(F.lit(start).cast("date"), F.min("date")).alias("__a"), F.coalesce(F.lit(end).cast("date"), F.max("date")).alias("__b"))
+    days = bounds.select(F.explode(F.sequence("__a", "__b", F.expr("interval 1 day"))).alias("date"))
+    grid = entity_grid(records, ["qid"], days).withColumn("edge", F.date_sub("date", lookback_days + 1))
     current = asof_backward(grid, numbered, ["qid"], "date", "rec_date", ["length", "nth", "total", "before", "before_date"], tie=["nth"])
     # what lies too far back is a prefix, too: the mean of the records between is a difference of two running sums
     old = numbered.select("qid", "rec_date", F.col("nth").alias("old_nth"), F.col("total").alias("old_total"))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from signalloom import adapters
+from signalloom import adapters, queries
 from signalloom.functions import columns as C
 from signalloom.operators import backtest, calendars, event_study, execution, filings, intervals, lexicon_sentiment, semantic, signals
 from signalloom.operators.asof import asof_backward
@@ -63,6 +63,20 @@ def test_daily_differences(spark):
     assert got[2, "2024-10-01"] == (12, -3, -3)
 
 
+def test_daily_differences_cover_every_day_of_the_data(spark, sf_dir, duck):
+    records = frame(spark, [(1, d("2024-01-01"), 2.0), (2, d("2024-01-03"), 5.0), (1, d("2024-12-31"), 3.0)], "qid long, date date, length double")
+    got = filings.daily_differences(records).collect()
+    assert len(got) == 2 * 366 and (min(r.date for r in got), max(r.date for r in got)) == (d("2024-01-01"), d("2024-12-31"))
+    # the registered query: all days, and on the days that the SQL has, the SQL's rows
+    query = queries.queries()["daily_differences"](spark, sf_dir).select("qid", "date", "length", "diff_vs_previous", "diff_vs_avg_previous")
+    first, last, entities = duck.execute("SELECT min(o_orderdate)::DATE, max(o_orderdate)::DATE, count(DISTINCT o_custkey) FROM orders").fetchone()
+    assert query.count() == entities * ((last - first).days + 1)
+    sql = queries._rounded_sql(queries.Query(None, ["filings"], queries.Q.DAILY_DIFFERENCES, 2), queries.Q.DOUBLES["daily_differences"])
+    plain = lambda rows: sorted((str(tuple(r)) for r in rows))
+    theirs = plain(duck.execute(f"SELECT qid, date, length, diff_vs_previous, diff_vs_avg_previous FROM ({sql})").fetchall())
+    assert theirs and plain(query.filter("date between '1997-01-01' and '1997-03-31'").collect()) == theirs
+
+
 def test_etf_sentiment_uses_all_snapshots_and_falls_back_to_the_first(spark, sf_dir, duck):
     held = frame(spark, [("E", 1, 2.0, d("2024-04-01")), ("E", 2, 6.0, d("2024-04-01")), ("E", 1, 5.0, d("2024-07-01"))], "factset_entity_id string, qid long, shares double, report_date date")
     docs = frame(spark, [(1, d("2024-01-05"), 7, 1.0, 1), (2, d("2024-01-05"), 7, 0.0, 1), (1, d("2024-08-01"), 8, 0.5, 1)], "qid long, date date, document_id long, sentiment double, numOfSentences int")
