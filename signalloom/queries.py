@@ -216,8 +216,7 @@ query("scalable_entropy_engine", "sentences", Q.SCALABLE_ENGINE, 4)(lambda r: pi
 @query("rolling_pca", "sentences", None)
 def _(r):
     rows = r("sentences").select("qid", F.col("filing_date").alias("date"), F.col("sentence_text").alias("sentence"))
-    targets = calendars.date_range(rows.sparkSession, "2023-01-01", "2024-06-30").filter(F.dayofmonth("date") == 1)
-    return semantic.rolling_components(rows, targets)
+    return semantic.rolling_components(rows, calendars.daily_calendar(rows))
 
 
 # --- event study

@@ -281,3 +281,37 @@ def test_streaming_windows(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert {(r.sector_sentiment, r.n_docs) for r in spark.table("sliding").collect()} == {(0.5, 1)} and spark.table("sliding").count() == 3
+
+
+def test_rolling_pca_answers_every_day(spark, sf_dir):
+    sentences = adapters.frame(spark, sf_dir, "sentences").select("qid", F.col("filing_date").alias("date"), F.col("sentence_text").alias("sentence"))
+    first, last = sentences.agg(F.min("date"), F.max("date")).first()
+    got = queries.queries()["rolling_pca"](spark, sf_dir).collect()
+    assert {r.date for r in got} == {first + dt.timedelta(days=i) for i in range((last - first).days + 1)}
+
+
+def test_window_sums_shared_between_days_equal_each_window_alone(spark):
+    rng = random.Random(3)
+    rows = [(f"q{rng.randint(0, 4)}", d("2024-01-01") + dt.timedelta(days=rng.randint(0, 60)), " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega", "zeta", "kappa"]) for _ in range(6))) for _ in range(40)]
+    sentences = frame(spark, rows, "qid string, date date, sentence string")
+    got = {(r.date, r.qid): r for r in semantic.rolling_components(sentences, calendars.daily_calendar(sentences), max_features=12, lookback_days=20).collect()}
+    for back in (0, 5, 20, 21, 33, 45):
+        t = max(r[1] for r in rows) - dt.timedelta(days=back)
+        inside = [r for r in rows if t - dt.timedelta(days=20) <= r[1] <= t]
+        names = sorted({r[0] for r in inside})
+        assert sorted(q for at, q in got if at == t) == names and names
+        counts = {}  # (qid, term) -> n, over the texts of each day, as one text has
+        for q, _, text in inside:
+            words = text.split()
+            for term in [*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))]:
+                counts[q, term] = counts.get((q, term), 0) + 1
+        df = {w: sum((q, w) in counts for q in names) for _, w in counts}
+        kept = [w for w in df if 2 <= df[w] <= 0.95 * len(names)]
+        kept = sorted(kept, key=lambda w: (-sum(counts.get((q, w), 0) for q in names), w))[:12]
+        x = np.asarray([[counts.get((q, w), 0) * (math.log((1 + len(names)) / (1 + df[w])) + 1) for w in kept] for q in names]).reshape(len(names), -1)
+        if len(names) < 2 or not kept:
+            continue
+        norm = np.linalg.norm(x, axis=1, keepdims=True)
+        want = semantic.principal(x / np.where(norm > 0, norm, 1), 2)
+        mine = [[getattr(got[t, q], f"pc_{i}") for i in (1, 2)] for q in names]
+        assert np.allclose(np.asarray(mine, dtype=float), want, atol=1e-9, equal_nan=True)
