@@ -2,8 +2,8 @@
 
 References. For each value of `lang`, the characters of all documents are counted by class and their words by word; the
 COMMON most frequent words of a language, with one bin for all others, make its word histogram. Counts cover every document
-and are pre-aggregated in each task; the references are one short row per language. A text that many rows repeat (more than
-one in HOT_SHARE) counts once for each language, or one page posted everywhere would be the language.
+and every copy of it, whatever the number of rows, and are pre-aggregated in each task; the references are one short row per
+language.
 
 Verdict. A document that passes the base rules is compared with every reference by Jensen-Shannon distance (base 2, so 0 to
 1), and the nearest language decides. Both distances must lie below their limits. Short texts scatter more, so a limit grows
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalloom.llm.common import bounded_batches, hot_keys, text_bytes, text_rows
+from signalloom.llm.common import bounded_batches, text_bytes, text_rows
 
 COMMON = 100
 MIN_CHARS = 200
@@ -126,11 +126,7 @@ def references(docs: DataFrame, common: int = COMMON) -> DataFrame:
     """lang, kind, word, n: class counts (word null) and the `common` most frequent words of each language with `total`."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("key", F.xxhash64("text"))
-    hot = hot_keys(rows, "key")
-    once = rows.join(F.broadcast(hot), "key", "left_semi").groupBy("lang", "key").agg(F.max("text").alias("text"))
-    single = rows.join(F.broadcast(hot), "key", "left_anti").select("lang", "text").unionByName(once.select("lang", "text"))
-    counted = single.mapInArrow(_count, "lang string, word binary, kind int, n long")
+    counted = rows.mapInArrow(_count, "lang string, word binary, kind int, n long")
     summed = counted.groupBy("lang", "word", "kind").agg(F.sum("n").alias("n"))
     classes = summed.filter("word is null").withColumn("total", F.lit(None).cast("long"))
     words = summed.filter("word is not null")

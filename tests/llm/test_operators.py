@@ -99,6 +99,13 @@ def test_quality_base_counts(spark, docs):
         assert not (r.kept and r.base_failed)
 
 
+def test_references_count_every_row_at_any_size(spark):
+    rows = [(i, "same text", "en") for i in range(30)] + [(100 + i, f"other{i}", "en") for i in range(10)]
+    got = quality_rules.references(spark.createDataFrame(rows, "doc_id long, text string, lang string")).filter("word is not null").collect()
+    counts = {bytes(r.word): r.n for r in got}
+    assert counts[b"same"] == counts[b"text"] == 30 and {r.total for r in got} == {70}
+
+
 def test_jensen_shannon():
     p, q = np.array([0.5, 0.5, 0]), np.array([[0.5, 0.5, 0], [0, 0, 1]])
     assert np.allclose(quality_rules.jensen_shannon(p, q), [0, 1])
