@@ -46,6 +46,8 @@ RELATIONS: dict[str, str] = {
         FROM {orders} JOIN {customer} ON o_custkey = c_custkey GROUP BY c_nationkey, CAST(o_orderdate AS DATE), CAST(date_trunc('month', o_orderdate) AS DATE)""",
     "panel_values": """SELECT c_nationkey AS qid, CAST(date_trunc('month', o_orderdate) AS DATE) AS date, round(avg(o_totalprice) + 0.0001, 2) AS value, round(sum(o_totalprice) + 0.0001, 2) AS weight
         FROM {orders} JOIN {customer} ON o_custkey = c_custkey GROUP BY c_nationkey, CAST(date_trunc('month', o_orderdate) AS DATE)""",
+    "review_texts": """SELECT doc_id AS review_id, source AS company_id, lang AS sector, DATE '2020-01-01' + CAST(doc_id * 13 % 700 AS INT) AS review_date, text AS wlb,
+        split_part(text, chr(10), 1) AS long_term_development, split_part(text, chr(10), 2) AS reason_to_quit FROM {documents}""",
     "reviews": """SELECT doc_id AS review_id, source AS company_id, lang AS sector, DATE '2020-01-01' + CAST(doc_id * 13 % 700 AS INT) AS review_date, text AS wlb FROM {documents}""",
 }
 #: Documents cut at newlines; the two dialects unnest differently.

@@ -131,17 +131,21 @@ def tilt_test(table: DataFrame, high: str = "Q5", low: str = "Q1") -> DataFrame:
     return rows.mapInPandas(p_values, "horizon string, spread double, t_stat double, df long, p_value double").withColumn("stars", stars(F.col("p_value")))
 
 
+#: Weights of a Poisson bootstrap: a unit number below the n-th bound gives weight n (probabilities exp(-1) / n!).
+POISSON_BOUNDS = tuple(sum(math.exp(-1) / math.factorial(i) for i in range(n + 1)) for n in range(8))
+
+
 def bootstrap_spread(tilts: DataFrame, value: str = "tilt_long", high: str = "Q5", low: str = "Q1", draws: int = DRAWS, seed: int = SEED) -> DataFrame:
     """D-63: 5% and 95% points of the mean spread over resampled events.
 
-    Each draw of each leg takes as many events as the leg has, with replacement: draw i of place j is the event numbered by a
-    seeded hash of (draw, place). Resampled means are sums of a count-weighted join, spread over draws."""
-    legs = tilts.filter(F.col("quantile").isin(high, low)).select("quantile", F.col(value).alias("x"), "qid", "data_date")
-    w = Window.partitionBy("quantile").orderBy("qid", "data_date")
-    numbered = legs.withColumns({"j": F.row_number().over(w) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy("quantile"))})
-    places = numbered.select("quantile", "n", F.col("j").alias("place")).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    picks = places.withColumn("j", F.pmod(F.xxhash64("draw", "place", "quantile", F.lit(seed)), F.col("n")).cast("int"))
-    means = picks.groupBy("quantile", "draw", "j").agg(F.count(F.lit(1)).alias("c")).join(numbered.select("quantile", "j", "x"), ["quantile", "j"])
-    means = means.groupBy("quantile", "draw").agg((F.sum(F.col("x") * F.col("c")) / F.sum("c")).alias("m"))
-    spread = means.groupBy("draw").agg((F.max(F.when(F.col("quantile") == high, F.col("m"))) - F.max(F.when(F.col("quantile") == low, F.col("m")))).alias("s"))
-    return spread.agg(F.percentile("s", F.lit(0.05)).alias("ci_low"), F.percentile("s", F.lit(0.95)).alias("ci_high"), F.count("s").alias("draws"))
+    A Poisson bootstrap: in each draw an event counts as often as a Poisson number of mean 1, taken from a seeded hash of the
+    event and the draw, says. Events need no numbers and never meet: each task sums its own events for every draw, and only
+    those sums travel."""
+    legs = tilts.filter(F.col("quantile").isin(high, low)).select("quantile", F.col(value).alias("x"), F.concat_ws(":", F.lit(str(seed)), "qid", "data_date").alias("__event"))
+    spread = legs.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    unit = F.conv(F.substring(F.md5(F.concat_ws(":", "__event", "draw").cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
+    weight = sum((F.when(unit >= b, 1).otherwise(0) for b in POISSON_BOUNDS), F.lit(0))
+    weighted = spread.withColumn("w", weight)
+    mean = lambda q: safe_div(F.sum(F.when(F.col("quantile") == q, F.col("x") * F.col("w"))), F.sum(F.when(F.col("quantile") == q, F.col("w"))))
+    means = weighted.groupBy("draw").agg((mean(high) - mean(low)).alias("s"))
+    return means.agg(F.percentile("s", F.lit(0.05)).alias("ci_low"), F.percentile("s", F.lit(0.95)).alias("ci_high"), F.count("s").alias("draws"))

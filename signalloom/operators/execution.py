@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,21 +38,41 @@ def rebalance_buffer(target: DataFrame, previous: DataFrame, threshold: float =
     return joined.withColumn("weight", new).withColumn("weight", safe_div(F.col("weight"), F.sum("weight").over(Window.partitionBy("date")))).drop("__prev")
 
 
-def rebalance_path(weights: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """D-29: the buffer applied day after day, each day starting from the weights of the day before.
-
-    The normaliser couples all sectors of a day, so the days are a true recurrence: a fold over the ordered array of days, each
-    holding its sectors. The array has days x sectors numbers; a portfolio has some hundred sectors."""
-    rows = weights.filter("weight is not null").groupBy("date").agg(F.array_sort(F.collect_list(F.struct("sector_id", "weight"))).alias("w"))
-    path = rows.agg(F.array_sort(F.collect_list(F.struct("date", "w"))).alias("days"))
-    held = "coalesce(try_element_at(map_from_entries(coalesce(try_element_at(acc, -1).w, array())), e.sector_id), 0D)"
-    step = f"transform(d.w, e -> struct(e.sector_id, case when abs(e.weight - {held}) > {threshold} then e.weight else {held} end as weight))"
-    scaled = "transform(m, e -> struct(e.sector_id, try_divide(e.weight, aggregate(m, 0D, (t, x) -> t + x.weight)) as weight))"
-    kind = dict(path.dtypes)["days"]
-    folded = path.selectExpr(
-        f"aggregate(days, cast(array() as {kind}), (acc, d) -> concat(acc, array(named_struct('date', d.date, 'w', element_at(transform(array({step}), m -> {scaled}), 1))))) as path"
-    )
-    return folded.select(F.explode("path").alias("p")).select(F.col("p.date").alias("date"), F.explode("p.w").alias("e")).select("date", "e.sector_id", "e.weight")
+def rebalance_path(weights: DataFrame, threshold: float = THRESHOLD, portfolio: str | None = None) -> DataFrame:
+    """D-29: the buffer applied day after day, each day starting from the weights of the day before, for each `portfolio` if
+    that column is named.
+
+    The normaliser couples all sectors of a day, so the days of a portfolio are a true recurrence: one task walks them in
+    order and holds the weights of one day, whatever the number of days."""
+    keys = [portfolio] if portfolio else []
+    rows = weights.filter("weight is not null").select(*keys, "date", "sector_id", "weight")
+    kind = dict(rows.dtypes)
+    rows = rows.repartition(*keys) if keys else rows.repartition(1)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, today = None, {}, {}
+
+        def close() -> list:
+            new = {s: w if abs(w - held.get(s, 0.0)) > threshold else held.get(s, 0.0) for s, w in today.items()}
+            total = math.fsum(new.values())
+            return [(*at, s, w / total if total else None) for s, w in new.items()]
+
+        for batch in batches:
+            out: list = []
+            for *place, sector, weight in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if place != at:
+                    if at is not None:
+                        out += (rows_of_day := close())
+                        held = {r[-2]: r[-1] or 0.0 for r in rows_of_day} if place[:-1] == at[:-1] else {}
+                    at, today = place, {}
+                today[sector] = weight
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [()] * len(batch.schema), batch.schema, strict=True)], schema=batch.schema)
+            schema = batch.schema
+        if at is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*close(), strict=True), schema, strict=True)], schema=schema)
+
+    columns = [*keys, "date", "sector_id", "weight"]
+    return rows.sortWithinPartitions(*columns[:-1]).mapInArrow(walk, ", ".join(f"{c} {kind[c]}" for c in columns))
 
 
 def weights_to_shares(weights: DataFrame, prices: DataFrame, nav: float = NAV) -> DataFrame:

@@ -109,6 +109,16 @@ def rolling_sections_months(sections: DataFrame, months: int = 6) -> DataFrame:
     return rows.select("id", "date", F.array_sort(F.array_distinct(F.transform(inside, lambda x: x["section"]))).alias("sections")).withColumn("unique_count", F.size("sections"))
 
 
+def window_labels(rows: DataFrame, window_days: int = 90, key: str = "qid", date: str = "date") -> DataFrame:
+    """J12: each row once for every later filing date of its entity at most `window_days` ahead (`window_date`, historical), or
+    once without one (current). Later dates come from a frame over the entity's distinct dates, not from a join with itself."""
+    days = rows.select(key, date).distinct()
+    ahead = Window.partitionBy(key).orderBy(day(date)).rangeBetween(1, window_days)
+    later = days.withColumn("__later", F.collect_list(date).over(ahead)).select(key, date, F.explode_outer("__later").alias("window_date"))
+    label = F.when(F.col("window_date").isNotNull(), "historical").otherwise("current")
+    return rows.join(later, [key, date]).withColumn("data_type", label)
+
+
 def filing_delay(filings: DataFrame, period_end: str = "period_end", filed: str = "date") -> DataFrame:
     """Days from the end of the period to the filing, against the entity's own average before."""
     w = Window.partitionBy("qid").orderBy(filed).rowsBetween(Window.unboundedPreceding, -1)

@@ -31,12 +31,15 @@ def score_texts(df: DataFrame, lexicon: DataFrame, text: str, key: str, tokens=N
     tokens is a negation. `key` identifies rows. Blank texts get nulls and zeros."""
     tokens = tokens_by_words(F.col(text)) if tokens is None else tokens
     rows = df.select(F.col(key), F.col(text).alias("__text"), F.when(F.trim(F.col(text)) != "", tokens).alias("__tok"))
-    lemmas = F.transform("__tok", lambda t: t["lemma"])
-    negations = F.array(*[F.lit(w) for w in negation])
-    each = rows.withColumn("__lem", lemmas).select(key, "__lem", F.posexplode("__tok").alias("i", "t"))
-    each = each.filter(F.col("t.pos").isNull() | F.col("t.pos").isin(*TARGET_POS))
-    ahead = F.slice("__lem", F.col("i") + 2, F.lit(window))
-    each = each.select(key, F.col("t.lemma").alias("word"), F.arrays_overlap(ahead, negations).alias("__neg"))
+    # whether a negation follows is an array beside the tokens, made by shifting: no token carries the text's array with it
+    turns = F.transform("__tok", lambda t: F.coalesce(t["lemma"].isin(*negation), F.lit(False)))
+    shifted = lambda k: F.slice(turns, k + 1, F.greatest(F.size("__tok"), F.lit(0)))
+    ahead = shifted(1)
+    for k in range(2, window + 1):
+        ahead = F.zip_with(ahead, shifted(k), lambda a, b: a | F.coalesce(b, F.lit(False)))
+    flagged = F.zip_with("__tok", ahead, lambda t, n: F.struct(t["lemma"].alias("word"), t["pos"].alias("pos"), F.coalesce(n, F.lit(False)).alias("__neg")))
+    each = rows.select(key, F.inline(flagged))
+    each = each.filter(F.col("pos").isNull() | F.col("pos").isin(*TARGET_POS)).drop("pos")
     small = lexicon.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
     found = each.join(F.broadcast(lexicon) if small else lexicon, "word", "left")
     polarity = F.when(F.col("__neg"), -F.col("score")).otherwise(F.col("score"))

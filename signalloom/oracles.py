@@ -1,5 +1,8 @@
 """DuckDB twins of the registered queries, as bodies after a WITH clause of their relations."""
 
+import math
+import re
+
 from signalloom.operators.semantic import STOP_WORDS
 
 ROLLING_LIVE = """, cal AS (SELECT unnest(generate_series((SELECT min(date) FROM uncertainty), (SELECT max(date) FROM uncertainty), INTERVAL 1 DAY))::DATE AS date),
@@ -23,6 +26,11 @@ SECTOR_SHARPE = WEIGHTED + " SELECT sector, avg(weighted_return) AS mean, stddev
 SECTOR_SENTIMENT = """, e AS (SELECT qid, date, avg(s) AS sentiment FROM (SELECT qid, date, document_id, avg(sentiment) AS s FROM reports GROUP BY ALL) GROUP BY ALL),
 k AS (SELECT e.*, i.weight, i.sector FROM e ASOF JOIN sector_info i ON e.qid = i.qid AND e.date >= i.date),
 ss AS (SELECT date, sector, sum(sentiment * weight) / nullif(sum(weight), 0) AS sector_sentiment, sum(weight) AS total_weight, count(DISTINCT qid) AS n_qids, list_sort(list(qid)) AS qids_list FROM k GROUP BY date, sector)"""
+SECTOR_LATE = {
+    how: SECTOR_SENTIMENT.replace("avg(sentiment) AS s", f"{how}(sentiment) AS s").replace("ASOF JOIN sector_info i", "ASOF LEFT JOIN (SELECT * REPLACE (date + 200 AS date) FROM sector_info) i").replace("i.weight, i.sector", "coalesce(i.weight, 0.1) AS weight, coalesce(i.sector, 'Unknown') AS sector")
+    + " SELECT date, sector, sector_sentiment, total_weight, n_qids, array_to_string(qids_list, ',') AS qids FROM ss"
+    for how in ("median", "sum")
+}
 SECTOR_SENTIMENT_Q = SECTOR_SENTIMENT + " SELECT date, sector, sector_sentiment, total_weight, n_qids, array_to_string(qids_list, ',') AS qids FROM ss"
 PANEL = SECTOR_SENTIMENT + """, grid AS (SELECT s.sector, d.date FROM (SELECT DISTINCT sector FROM ss) s CROSS JOIN (SELECT DISTINCT date FROM ss) d),
 p AS (SELECT g.sector, g.date, ss.sector_sentiment AS v FROM grid g LEFT JOIN ss USING (sector, date))"""
@@ -146,6 +154,9 @@ path AS (SELECT 0::BIGINT AS k, NULL::DATE AS date, MAP {}::MAP(VARCHAR, DOUBLE)
    (SELECT y.key, y.v, sum(y.v) OVER () AS t FROM (SELECT e.key AS key, CASE WHEN abs(e.value - coalesce(p.w[e.key], 0)) > 0.02 THEN e.value ELSE coalesce(p.w[e.key], 0) END AS v
      FROM (SELECT unnest(map_entries(d.w)) AS e)) y) x) FROM path p JOIN days d ON d.k = p.k + 1)
 SELECT date, e.key AS sector_id, e.value AS weight FROM (SELECT date, unnest(map_entries(w)) AS e FROM path WHERE date IS NOT NULL)"""
+REBALANCE_STEP = weights("rank_linear") + """, pw AS (SELECT sector_id, weight AS p FROM wt WHERE date = (SELECT min(date) FROM wt)),
+st AS (SELECT t.sector_id, date, signal_value, CASE WHEN abs(weight - coalesce(p, 0)) > 0.02 THEN weight ELSE coalesce(p, 0) END AS v FROM wt t LEFT JOIN pw USING (sector_id))
+SELECT sector_id, date, signal_value, v / nullif(sum(v) OVER (PARTITION BY date), 0) AS weight FROM st"""
 SHARES = weights("zscore") + """, sh AS (SELECT t.sector_id, t.date, floor(weight * 1000000.0 / nullif(close, 0))::BIGINT AS shares, close FROM wt t LEFT JOIN prices p ON t.sector_id = p.sector_id AND t.date = p.date)"""
 SHARES_Q = SHARES + " SELECT sector_id, date, shares, shares * close AS notional FROM sh"
 TRADES = SHARES + """, nx AS (SELECT date, lead(date) OVER (ORDER BY date) AS next FROM (SELECT DISTINCT date FROM sh)),
@@ -186,6 +197,12 @@ SECTION_GRID = """, b AS (SELECT min(date) AS a, max(date) AS z FROM sections),
 u AS (SELECT id, date, section, false AS g FROM sections UNION ALL SELECT q.id, c.date, NULL, true FROM (SELECT DISTINCT id FROM sections) q CROSS JOIN cal c),
 r AS (SELECT id, date, g, count(section) OVER w AS n, list(section) OVER w AS l FROM u WINDOW w AS (PARTITION BY id ORDER BY date RANGE BETWEEN INTERVAL 180 DAYS PRECEDING AND CURRENT ROW))
 SELECT id, date, array_to_string(list_sort(list_distinct(l)), '|') AS sections, n AS total_count, len(list_distinct(l)) AS unique_count FROM r WHERE g AND n > 0"""
+SECTION_GRID_OWN = SECTION_GRID.replace("SELECT min(date) AS a, max(date) AS z FROM sections", "SELECT id, min(date) AS a, max(date) AS z FROM sections GROUP BY id").replace("SELECT d::DATE AS date FROM (SELECT unnest(generate_series(a, z, INTERVAL 1 DAY)) AS d FROM b)", "SELECT id, d::DATE AS date FROM (SELECT id, unnest(generate_series(a, z, INTERVAL 1 DAY)) AS d FROM b)").replace(
+    "SELECT q.id, c.date, NULL, true FROM (SELECT DISTINCT id FROM sections) q CROSS JOIN cal c", "SELECT id, date, NULL, true FROM cal"
+)
+WINDOW_LABELS = """ SELECT f.qid, f.document_id, f.date, f.length, d.date AS window_date, CASE WHEN d.date IS NULL THEN 'current' ELSE 'historical' END AS data_type
+FROM filings f LEFT JOIN (SELECT DISTINCT qid, date FROM filings) d ON f.qid = d.qid AND d.date > f.date AND d.date - f.date <= 90"""
+EXCHANGE_WEEKS = " SELECT max(date) AS date FROM filings WHERE date BETWEEN DATE '1995-01-01' AND DATE '2001-12-31' GROUP BY date_trunc('week', date)"
 SECTION_MONTHS = """, b AS (SELECT min(date) AS a, max(date) AS z FROM sections), cal AS (SELECT d::DATE AS date FROM (SELECT unnest(generate_series(a, z, INTERVAL 1 DAY)) AS d FROM b) WHERE isodow(d) <= 5),
 grid AS (SELECT q.id, c.date FROM (SELECT DISTINCT id FROM sections) q CROSS JOIN cal c)
 SELECT g.id, g.date, coalesce(array_to_string(list_sort(list_distinct(list(s.section))), '|'), '') AS sections, count(DISTINCT s.section) AS unique_count
@@ -326,6 +343,16 @@ TILT_SUMMARY = TILTS + " SELECT * FROM tt"
 TILT_TEST = TILTS + """ SELECT h.horizon, h.mean - l.mean AS spread, (h.mean - l.mean) / sqrt(((h.n - 1) * h.std * h.std + (l.n - 1) * l.std * l.std) / (h.n + l.n - 2) * (1.0 / h.n + 1.0 / l.n)) AS t_stat, h.n + l.n - 2 AS df
 FROM tt h JOIN tt l ON h.horizon = l.horizon AND h.quantile = 'Q5' AND l.quantile = 'Q1'"""
 
+# the p-value by Simpson's rule on the density of Student's t
+TILT_SIGNIFICANCE = TILTS + ", tw AS (" + TILT_TEST[len(TILTS) :] + """), pv AS (SELECT *, greatest(0, 1 - 2 * abs(t_stat) / 2000 / 3 * exp(lgamma((df + 1) / 2.0::DOUBLE) - lgamma(df / 2.0::DOUBLE)) / sqrt(df * pi()) *
+ list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * pow(1 + pow(abs(t_stat) * i / 2000, 2) / df, -(df + 1) / 2.0::DOUBLE)))) AS p_value FROM tw)
+SELECT *, CASE WHEN p_value < 0.01 THEN '***' WHEN p_value < 0.05 THEN '**' WHEN p_value < 0.10 THEN '*' ELSE '' END AS stars FROM pv"""
+BOOTSTRAP = TILTS + """, lg AS (SELECT quantile, tilt_long AS x, concat_ws(':', '42', qid::VARCHAR, data_date::VARCHAR) AS event FROM tl WHERE quantile IN ('Q1', 'Q5')),
+un AS (SELECT *, ('0x' || substr(md5(event || ':' || draw), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM lg CROSS JOIN (SELECT unnest(range(1, 501)) AS draw)),
+po AS (SELECT *, len(list_filter([{bounds}], lambda b: u >= b)) AS w FROM un),
+mn AS (SELECT draw, sum(x * w) FILTER (quantile = 'Q5') / nullif(sum(w) FILTER (quantile = 'Q5'), 0) - sum(x * w) FILTER (quantile = 'Q1') / nullif(sum(w) FILTER (quantile = 'Q1'), 0) AS s FROM po GROUP BY draw)
+SELECT quantile_cont(s, 0.05) AS ci_low, quantile_cont(s, 0.95) AS ci_high, count(s) AS draws FROM mn""".replace("{bounds}", ", ".join(f"{sum(math.exp(-1) / math.factorial(i) for i in range(n + 1))!r}::DOUBLE" for n in range(8)))
+
 LEX = {"the": 0.2, "of": -0.1, "thing": 0.6, "that": -0.3, "stupid": -1.0, "worthless": -0.9, "der": 0.1, "die": -0.2, "und": 0.3, "de": 0.1, "la": -0.1, "que": 0.4, "les": 0.5, "con": -0.4, "end": -0.6}
 NEGATIONS = ("a", "in", "ist", "un", "el")
 HEDGES = ("thth", "een", "ou")
@@ -359,6 +386,24 @@ SIGNAL_GRID = {
     "exact": GRID.replace("{pick}", "(SELECT max(review_date) FROM lv WHERE lv.company_id = c.company_id AND review_date <= fr.signal_date AND review_date IN (SELECT signal_date FROM fr))"),
     "asof": GRID.replace("{pick}", "(SELECT max(review_date) FROM lv WHERE lv.company_id = c.company_id AND review_date <= fr.signal_date)"),
 }
+REVIEW_COLUMNS = ("wlb", "long_term_development", "reason_to_quit")
+
+
+def _review_of(column: str) -> str:
+    """The chain from texts to averages for one text column, its parts named after the column."""
+    chain = re.sub(r"\b(tk|ps|hit|sm|sr|qf|nn|o|ew|rw)\b", rf"\1_{column}", REVIEW.replace("FROM reviews", "FROM review_texts"))
+    chain = chain.replace("wlb", column)
+    return chain if column == REVIEW_COLUMNS[0] else ", " + chain[chain.index(f"tk_{column}") :]
+
+
+REVIEW_PIPELINE = "".join(map(_review_of, REVIEW_COLUMNS)) + """, rw AS (SELECT a.company_id, a.review_date, a.n_cumulative, a.e AS e0, b.e AS e1, c.e AS e2
+ FROM rw_wlb a JOIN rw_long_term_development b USING (review_id) JOIN rw_reason_to_quit c USING (review_id)),
+fr AS (SELECT d::DATE AS signal_date FROM (SELECT unnest(generate_series(DATE '2020-01-01', DATE '2022-06-30', INTERVAL 1 DAY)) AS d) WHERE isodow(d) = 5),
+lv AS (SELECT company_id, review_date, max(n_cumulative) AS n_cumulative, arg_max({'e0': e0, 'e1': e1, 'e2': e2}, n_cumulative) AS e FROM rw GROUP BY company_id, review_date),
+gr AS (SELECT c.company_id, fr.signal_date, (SELECT max(review_date) FROM lv WHERE lv.company_id = c.company_id AND review_date <= fr.signal_date AND review_date IN (SELECT signal_date FROM fr)) AS at
+ FROM (SELECT DISTINCT company_id FROM rw) c CROSS JOIN fr)
+SELECT g.company_id, g.signal_date, l.n_cumulative, CASE WHEN g.signal_date - g.at <= 180 THEN l.e.e0 END AS wlb_sentiment_score_ewma, CASE WHEN g.signal_date - g.at <= 180 THEN l.e.e1 END AS long_term_development_sentiment_score_ewma,
+ CASE WHEN g.signal_date - g.at <= 180 THEN l.e.e2 END AS reason_to_quit_sentiment_score_ewma FROM gr g JOIN lv l ON l.company_id = g.company_id AND l.review_date = g.at WHERE l.n_cumulative >= 5"""
 SECTOR_Z = QUALITY + """ SELECT review_id, sector, (wlb_sentiment_score - avg(wlb_sentiment_score) OVER w) / (stddev_samp(wlb_sentiment_score) OVER w + 1e-8) AS z FROM qf WINDOW w AS (PARTITION BY sector, review_date)"""
 LEXICON_MERGE = """, ordered AS (SELECT r_name AS word, 0.5::DOUBLE AS score, 0 AS p FROM region UNION ALL SELECT n_name, -0.5::DOUBLE, 1 FROM nation UNION ALL SELECT DISTINCT c_mktsegment, 0.1::DOUBLE, 2 FROM customer
  UNION ALL SELECT 'ASIA', -1.0::DOUBLE, 2 UNION ALL SELECT 'CHINA', 1.0::DOUBLE, 2)
@@ -437,6 +482,13 @@ DOUBLES = {
     "signal_grid_exact": "wlb_sentiment_score_ewma",
     "signal_grid_asof": "wlb_sentiment_score_ewma",
     "sector_zscore": "z",
+    "review_pipeline": "wlb_sentiment_score_ewma long_term_development_sentiment_score_ewma reason_to_quit_sentiment_score_ewma",
+    "rebalance_step": "signal_value weight",
+    "sector_sentiment_median": "sector_sentiment total_weight",
+    "sector_sentiment_sum": "sector_sentiment total_weight",
+    "window_labels": "length",
+    "tilt_significance": "spread t_stat p_value",
+    "bootstrap": "ci_low ci_high",
     "lexicon_merge": "score",
     "lexicon_fold": "score",
 }

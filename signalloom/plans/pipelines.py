@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from signalloom.operators import backtest, event_study, intervals, lexicon_sentiment, semantic, text_features
+from signalloom.sources.shared import materialise
 
 
 @dataclass(frozen=True)
@@ -29,7 +30,8 @@ def run_backtest(signal: DataFrame, returns: DataFrame, config: BacktestConfig =
 
 
 def run_event_study(events: DataFrame, returns: DataFrame, market: DataFrame, pre: int = event_study.PRE, short: int = event_study.SHORT, long: int = event_study.LONG, n: int = event_study.QUANTILES, gap_days: int = event_study.GAP) -> dict[str, DataFrame]:
-    panel = event_study.assign_quantiles(event_study.event_panel(events, returns, market, pre, long, gap_days), n)
+    """The panel is written once; every frame of the study is derived from it."""
+    panel = materialise(event_study.assign_quantiles(materialise(event_study.event_panel(events, returns, market, pre, long, gap_days), "panel"), n), "quantiles")
     curves, tilts = event_study.car(panel), event_study.event_tilts(panel, short, long)
     table = event_study.tilt_by_quantile(tilts)
     return {

@@ -71,6 +71,14 @@ def _sector(r):
 
 
 query("sector_sentiment_asof", SECTOR, Q.SECTOR_SENTIMENT_Q)(lambda r: _sector(r).withColumn("qids", F.array_join("qids_list", ",")).drop("qids_list"))
+for _how in ("median", "sum"):  # weights known 200 days late, so that some are missing
+
+    @query(f"sector_sentiment_{_how}", SECTOR, Q.SECTOR_LATE[_how])
+    def _(r, how=_how):
+        late = r("sector_info").withColumn("date", F.date_add("date", 200))
+        return signals.sector_sentiment_asof(r("reports"), late, how, 0.1).withColumn("qids", F.array_join("qids_list", ",")).drop("qids_list")
+
+
 for _name, _how in (("ffill", "forward"), ("bfill", "backward"), ("zero", "zero"), ("null", "null")):
     query(f"sector_panel_{_name}", SECTOR, Q.PANELS[_name])(lambda r, how=_how: calendars.fill_panel(_sector(r).select("sector", "date", "sector_sentiment"), ["sector"], "date", ["sector_sentiment"], how))
 
@@ -141,6 +149,12 @@ for _name in Q.WEIGHTS:
 query("rebalance", "trade_signals", Q.REBALANCE)(lambda r: execution.rebalance_path(execution.signal_to_weight(r("trade_signals"), "rank_linear")))
 
 
+@query("rebalance_step", "trade_signals", Q.REBALANCE_STEP)
+def _(r):
+    target = execution.signal_to_weight(r("trade_signals"), "rank_linear")
+    return execution.rebalance_buffer(target, target.join(target.agg(F.min("date").alias("date")), "date", "left_semi"))
+
+
 def _shares(r):
     return execution.weights_to_shares(execution.signal_to_weight(r("trade_signals")), r("prices"))
 
@@ -166,6 +180,16 @@ _joined = lambda df: df.withColumn("sections", F.array_join("sections", "|"))  #
 query("rolling_sections_list", "sections", Q.SECTION_LIST)(lambda r: _joined(filings.rolling_sections_list(r("sections"))))
 query("rolling_sections_distinct", "sections", Q.SECTION_DISTINCT)(lambda r: _joined(filings.rolling_sections_distinct(r("sections"))))
 query("rolling_sections_grid", "sections", Q.SECTION_GRID)(lambda r: _joined(filings.rolling_sections_grid(r("sections"))))
+query("rolling_sections_own_grid", "sections", Q.SECTION_GRID_OWN)(lambda r: _joined(filings.rolling_sections_grid(r("sections"), per_entity=True)))
+query("window_labels", "filings", Q.WINDOW_LABELS, 2)(lambda r: filings.window_labels(r("filings")))
+
+
+@query("signal_dates_exchange", "filings", Q.EXCHANGE_WEEKS)
+def _(r):
+    days = r("filings").select("date")
+    return calendars.signal_dates(days.sparkSession, "1995-01-01", "2001-12-31", exchange_days=days)
+
+
 query("rolling_sections_months", "sections", Q.SECTION_MONTHS)(lambda r: _joined(filings.rolling_sections_months(r("sections"))))
 query("longterm_percentile", "panel_values", Q.LONGTERM)(lambda r: signals.longterm_percentile(r("panel_values").drop("weight")))
 query("cross_section_summary", "panel_values", Q.CROSS_SECTION, 4)(lambda r: signals.cross_section_summary(r("panel_values"), ["date"]))
@@ -238,8 +262,8 @@ query("car_spread", EVENT, Q.CAR_SPREAD)(lambda r: _study(r)["spread"])
 query("car_band", EVENT, Q.CAR_BAND)(lambda r: _study(r)["band"])
 query("tilt_summary", EVENT, Q.TILT_SUMMARY)(lambda r: _study(r)["tilt_table"])
 query("tilt_test", EVENT, Q.TILT_TEST)(lambda r: _study(r)["test"].drop("p_value", "stars"))
-query("tilt_significance", EVENT, None)(lambda r: _study(r)["test"])
-query("bootstrap", EVENT, None)(lambda r: _study(r)["bootstrap"])
+query("tilt_significance", EVENT, Q.TILT_SIGNIFICANCE)(lambda r: _study(r)["test"])
+query("bootstrap", EVENT, Q.BOOTSTRAP)(lambda r: _study(r)["bootstrap"])
 
 # --- lexicons and reviews
 
@@ -272,6 +296,14 @@ query("signal_grid_exact", "reviews", Q.SIGNAL_GRID["exact"])(lambda r: _grid(r,
 query("signal_grid_asof", "reviews", Q.SIGNAL_GRID["asof"])(lambda r: _grid(r, "asof"))
 
 
+@query("review_pipeline", "review_texts", Q.REVIEW_PIPELINE)
+def _(r):
+    reviews = r("review_texts")
+    dates = calendars.signal_dates(reviews.sparkSession, "2020-01-01", "2022-06-30")
+    lexicon = lexicons.domain_lexicon(reviews.sparkSession, Q.LEX)
+    return pipelines.review_pipeline(reviews, lexicon, dates, Q.REVIEW_COLUMNS, negation=Q.NEGATIONS, hedges=Q.HEDGES)
+
+
 @query("sector_zscore", "reviews", Q.SECTOR_Z, 4)
 def _(r):
     rows = _kept(r).withColumnRenamed("wlb_sentiment_score", "wlb_sentiment_score_ewma").withColumnRenamed("review_date", "signal_date")

@@ -11,8 +11,11 @@ DATA = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     from signalloom.session import build_session
+    from signalloom.sources.shared import clear_shared
 
-    return build_session("4", 4, "4g")
+    session = build_session("4", 4, "4g")
+    yield session
+    clear_shared(session)
 
 
 @pytest.fixture(scope="session")

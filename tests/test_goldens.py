@@ -102,15 +102,16 @@ def test_explicit_ends_join_up(spark):
     assert [(r.startDate.isoformat(), r.endDate.isoformat()) for r in got] == [("2024-01-01", "2024-01-31"), ("2024-02-01", "2099-12-31")]
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_ewma_equals_the_loop(spark, seed):
-    rng = random.Random(seed)
-    rows, day = [], dt.date(2020, 1, 1)
-    for i in range(60):
-        day += dt.timedelta(days=rng.choice([0, 1, 3, 20]))
+@pytest.mark.parametrize("halflife, years", [(30, 2), (1, 40), (5, 40), (7, 40), (180, 40)])
+def test_ewma_equals_the_loop(spark, halflife, years):
+    rng = random.Random(halflife)
+    rows, day, i = [], dt.date(1985, 1, 1), 0
+    while day < dt.date(1985 + years, 1, 1):
         rows.append(("a", day, i, None if rng.random() < 0.3 else rng.uniform(-1, 1)))
-    got = [r.e for r in irregular_ewma(frame(spark, rows, "k string, date date, i int, v double"), "k", "date", "v", 30, "e", ["i"]).orderBy("i").collect()]
-    state, last, rate = None, None, math.log(2) / 30
+        day, i = day + dt.timedelta(days=rng.choice([0, 1, 3, 20, 60, 900 if years > 2 else 20])), i + 1
+    got = [r.e for r in irregular_ewma(frame(spark, rows, "k string, date date, i int, v double"), "k", "date", "v", halflife, "e", ["i"]).orderBy("i").collect()]
+    assert not any(e is not None and math.isnan(e) for e in got)
+    state, last, rate = None, None, math.log(2) / halflife
     for (_, at, _, v), mine in zip(rows, got, strict=True):
         if v is not None:
             if state is None:

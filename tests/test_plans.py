@@ -33,7 +33,24 @@ def test_scans_read_only_what_is_used(spark, sf_dir):
     assert "o_totalprice" not in schema and "o_orderpriority" in schema
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.REGISTRY) - {"bootstrap"}))
+@pytest.mark.parametrize("name", sorted(queries.REGISTRY))
 def test_no_row_by_row_python_and_no_large_cross_product(spark, sf_dir, name):
     text = plan(queries.queries()[name](spark, sf_dir))
     assert "BatchEvalPython" not in text and "CartesianProduct" not in text
+
+
+#: Scans and shuffles of the final plan, at most; what is written on the way counts once, as a scan.
+MOST = {"bootstrap": (2, 4), "car": (2, 4), "tilt_test": (4, 8), "semantic_entropy": (12, 30), "rebalance": (3, 6)}
+
+
+@pytest.mark.parametrize("name", MOST)
+def test_scans_and_exchanges(spark, sf_dir, name):
+    text = plan(queries.queries()[name](spark, sf_dir))
+    scans, shuffles = len(re.findall(r"FileScan", text)), len(re.findall(r"Exchange (?:hash|range|Round|Single)", text))
+    assert scans <= MOST[name][0] and shuffles <= MOST[name][1], (scans, shuffles)
+
+
+def test_no_token_carries_the_array_of_its_text(spark, sf_dir):
+    text = plan(queries.queries()["lexicon_score"](spark, sf_dir))
+    generated = [line for line in text.splitlines() if "Generate" in line]
+    assert generated and all("__lem" not in line and "__tok" not in line.split("], ")[-1] for line in generated)

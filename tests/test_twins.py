@@ -12,7 +12,7 @@ TWINS = sorted(base.oracle_sql())
 
 def plain(value):
     if isinstance(value, float):
-        return None if math.isnan(value) else round(value, 9) + 0.0
+        return "NaN" if math.isnan(value) else round(value, 9) + 0.0
     if isinstance(value, datetime.datetime):
         return value.date() if value.time() == datetime.time() else value
     return value
