@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from signalloom.sources.shared import materialise, shared_path  # noqa: F401 (the operators take them from here)
+
 #: A word is a run of characters other than space and the controls 9 to 13, whatever the language.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Buckets of a distributed running total: each task orders 1/4096 of a key's rows, however hot the key is.
@@ -48,24 +49,6 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; an own one only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(named or 'file:///tmp/checkpoints').rstrip('/')}/signalloom"
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write `df` once to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_bytes(column) -> list[bytes]:
     """UTF-8 bytes of an Arrow string column, null as empty."""
     import pyarrow as pa

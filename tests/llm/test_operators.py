@@ -1,5 +1,6 @@
 """Each operator against brute force on small documents, and the defined results of odd input."""
 
+import hashlib
 import json
 import math
 import os
@@ -125,8 +126,9 @@ def test_mixing_targets_and_cuts(spark, docs):
     assert sum(t for t, _ in target.values()) == pytest.approx(1.5 * sum(sizes))
     for name, (t, size) in target.items():
         assert t <= 2 * size + 1e-9 and taken[name] == math.floor(t)
-    sequence = mixing.mix(docs).collect()
-    assert [r.virtual_finish for r in sequence] == sorted(r.virtual_finish for r in sequence)
+    sequence = mixing.mix(mixing.sizes_of(docs)).orderBy(*mixing.ORDER).collect()
+    assert [r.place for r in sequence] == sorted(r.place for r in sequence) and max(r.virtual_finish for r in sequence) == 1
+    assert sum(r.words for r in sequence) == sum(taken.values())
     mixed = mixing.mixed_documents(docs).collect()
     per = Counter()
     for r in mixed:
@@ -134,6 +136,58 @@ def test_mixing_targets_and_cuts(spark, docs):
     assert {k: v for k, v in per.items() if v} == {r.doc_id: r.taken for r in rows if r.taken}
 
 
+def queue_simulation(sizes, weights=(3, 1, 2)):
+    """Words of each (doc_id, copy) by serving all queues word for word at rates of their targets until the budget is used up."""
+    source_size = Counter()
+    for _, source, size in sizes:
+        source_size[source] += size
+    names = sorted(source_size, key=lambda x: (x is None, (x or "").encode()))
+    weight, budget, target, level_open = {n: weights[i % 3] for i, n in enumerate(names)}, 1.5 * sum(source_size.values()), {}, set(names)
+    while level_open:
+        level = (budget - sum(target.values())) / sum(weight[n] for n in level_open)
+        full = {n for n in level_open if level * weight[n] > 2 * source_size[n]}
+        target |= {n: 2.0 * source_size[n] for n in full} if full else {n: level * weight[n] for n in level_open}
+        level_open -= full or level_open
+    taken = Counter()
+    for name in names:
+        key = lambda r: (hashlib.md5(f"mix-1:{'' if r[0] is None else r[0]}".encode()).hexdigest(), r[0] is not None, r[0] or 0, r[2])
+        left = math.floor(target[name])
+        for doc, _, size in sorted((r for r in sizes if r[1] == name), key=key) * 2:
+            taken[doc, size] += min(left, size)
+            left -= min(left, size)
+    return taken
+
+
+def test_mixing_equals_a_simulated_queue_with_repeated_rows(spark, docs):
+    rows = [(r["doc_id"], r["source"], r["text"]) for r in docs.collect()]
+    rng = random.Random(4)
+    rows += [rows[rng.randrange(len(rows))] for _ in range(40)] + [(7, "s2", "other words under a known id"), (None, None, "no id and no source"), (None, None, "no id and no source")]
+    odd = spark.createDataFrame([(i, t, s) for i, s, t in rows], "doc_id long, text string, source string")
+    want = queue_simulation([(i, s, len((t or "").encode().split())) for i, s, t in rows])
+    got = Counter()
+    for r in mixing.taken_words(odd).collect():
+        got[r.doc_id, r.size] += r.taken
+    assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
+    words = Counter()
+    for r in mixing.mixed_documents(odd).collect():
+        words[r.doc_id] += len((r.text or "").encode().split())
+    per = Counter()
+    for (i, _), v in want.items():
+        per[i] += v
+    assert {k: v for k, v in words.items() if v} == {k: v for k, v in per.items() if v}
+
+
+def test_mixing_sorts_by_range_and_cuts(spark, docs, monkeypatch):
+    plans = []
+    write = mixing.materialise
+    monkeypatch.setattr(mixing, "materialise", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name))
+    sizes = mixing.sizes_of(docs)
+    copies = mixing.schedule(sizes).filter("words > 0").count()
+    kept = mixing.mix(sizes)
+    assert any("rangepartitioning(virtual_finish" in p for p in plans)
+    assert 0 < kept.count() < copies
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json", "byte_bpe_50k.json"])
 def test_encoder_equals_the_library(name):
     rng = random.Random(7)
