@@ -310,6 +310,65 @@ def test_large_group_tree_equals_pairwise(monkeypatch):
     assert (pairwise == hashed).all()
 
 
+def edited(rng, words, share):
+    return [rng.choice(["edit", "other", "word"]) + str(rng.randrange(99)) if rng.random() < share else w for w in words]
+
+
+def five_word_similarity(a, b):
+    left, right = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (a.split(), b.split()))
+    return len(left & right) / len(left | right)
+
+
+def test_keep_one_of_near_copies(spark):
+    """One of each group of copies of similarity 0.8 or more stays, the one with the smallest id; unrelated texts all stay."""
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+    texts, close = [], []
+    for g in range(40):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(60, 300))]
+        texts.append(" ".join(words))
+        for _ in range(3):
+            copy = " ".join(edited(rng, words, 0.015))
+            if five_word_similarity(texts[4 * g if len(texts) > 4 * g else -1], copy) >= 0.8:
+                close.append((4 * g, len(texts)))
+            texts.append(copy)
+    texts += ["", None, "one", "one", "x " * 40_000]
+    rows = [(i, t, "a", "b") for i, t in enumerate(texts)] + [(0, texts[4], "a", "b"), (0, texts[0], "a", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest string, node string")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    stay = Counter((r.doc_id, r.text or "") for r in kept.collect())
+    ids = {i for i, _ in stay}
+    assert max(stay.values()) == 1 and {4 * g for g in range(40)} <= ids | {4}
+    caught = [b not in ids for a, b in close]
+    assert len(close) > 60 and sum(caught) >= 0.95 * len(caught)
+    # of an id that two texts share only the row that stands for its group stays
+    assert [t for i, t in stay if i == 0] in ([texts[0]], [texts[4]], [texts[0], texts[4]], [texts[4], texts[0]])
+
+
+@pytest.mark.parametrize("shifts", [2, 32])
+def test_bucket_links_connect_as_all_pairs_do(monkeypatch, shifts):
+    monkeypatch.setattr(simhash, "SHIFTS", shifts)
+    rng = np.random.default_rng(3)
+    centres = rng.integers(0, 2**64, (12, simhash.LONG_WORDS), dtype=np.uint64)
+    prints = centres[rng.integers(0, 12, 300)].copy()
+    for row in prints:
+        for bit in rng.integers(0, 192, rng.integers(0, 30)):
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    key = np.sort(rng.integers(0, 25, 300)).astype(np.int32)
+    i, j = simhash.bucket_links(key, prints)
+
+    def roots(pairs):
+        at = list(range(300))
+        find = lambda x: x if at[x] == x else find(at[x])
+        for a, b in pairs:
+            at[find(int(a))] = find(int(b))
+        return [min(k for k in range(300) if find(k) == find(x)) for x in range(300)]
+
+    every = [(a, b) for a in range(300) for b in range(a) if key[a] == key[b] and np.bitwise_count(prints[a] ^ prints[b]).sum() <= simhash.LONG_DISTANCE]
+    assert roots(zip(i, j, strict=True)) == roots(every)
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "u long, v long")
     got = {r.node: r.root for r in connected_components(edges).collect()}
