@@ -5,7 +5,8 @@ line). Standardised, they are mapped to cosines of random projections, whose inn
 the normal equations of ridge regression on them are summed over partitions and solved on the driver. The raw ridge value is
 turned into a probability by isotonic regression on a histogram of the training rows' values.
 
-Labels are read from the rows whose fold is not 0 and serve for nothing else; lang, source and doc_id are no inputs.
+Labels are read from the rows whose fold is not 0 and serve for nothing else; lang, source and doc_id are no inputs. The model
+is fitted to at most about TRAINING_ROWS of them, chosen by hash of the id.
 
 Cases: null and empty texts have all-zero statistics and get a score like any other; without labelled rows, or with labels
 of one kind only, every score is that share (one half if there is none); repeated rows get equal scores; a doc_id with more
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalloom.llm.common import bounded_batches, fold, materialise, text_bytes, text_rows
+from signalloom.llm.common import bounded_batches, fold, free_names, materialise, text_bytes, text_rows
 from signalloom.llm.linear import matrix, partition_sums
 from signalloom.llm.quality_rules import BYTE_CLASS, CLASSES, SYMBOL_BYTES, byte_histogram, repeated_words
 
@@ -33,6 +34,8 @@ BANDWIDTH = 3.0
 RIDGE = 1e-3
 SEED = 11
 BINS = 400
+#: Labelled rows of the training folds that the model is fitted to, about, at most.
+TRAINING_ROWS = 500_000
 STATISTICS = (
     "log_words", "word_length", "word_spread", "unique_share", "top_word_share", "echo_share", "window_share", "dup_line_share", "log_line", "single_share",
     "symbols_per_word", "marks_per_word", "upper_heavy_share", "symbol_word_share", *CLASSES,
@@ -155,11 +158,18 @@ def fit(rows: DataFrame, **options) -> Model:
     return model
 
 
-def labelled(statistics_rows: DataFrame, labels: DataFrame, column: str, folds: int = FOLDS) -> DataFrame:
-    """(features, label) of the rows whose fold is not 0 and whose label is known."""
+def training_labels(labels: DataFrame, column: str, folds: int = FOLDS, rows: int = TRAINING_ROWS) -> DataFrame:
+    """(__doc, label) of the ids whose fold is not 0 and whose label is known: all of them, or beyond `rows` about so many,
+    chosen by a hash of the id. Small enough to broadcast whatever the input."""
     known = labels.filter(F.col(column).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("__doc")).agg(F.min(column).cast("double").alias("label"))
-    train = statistics_rows.filter(fold(F.col("doc_id"), folds) != 0)
-    return train.join(known, F.col("doc_id") == F.col("__doc")).select("features", "label")
+    known = materialise(known.filter(fold(F.col("__doc"), folds) != 0), "training_labels")
+    part = int(1_000_000 * min(1.0, rows / max(known.count(), 1)))
+    return known.filter(F.pmod(F.xxhash64("__doc"), F.lit(1_000_000)) < part)
+
+
+def labelled(statistics_rows: DataFrame, known: DataFrame) -> DataFrame:
+    """(features, label) of the rows with a training label."""
+    return statistics_rows.join(F.broadcast(known), F.col("doc_id") == F.col("__doc")).select("features", "label")
 
 
 def _score(model: Model):
@@ -173,7 +183,7 @@ def _score(model: Model):
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     rows = materialise(document_statistics(docs), "statistics")
-    train = materialise(labelled(rows, labels, "quality"), "labelled")
+    train = materialise(labelled(rows, training_labels(labels, "quality")), "labelled")
     scored = rows.mapInArrow(_score(fit(train, **options)), "doc_id long, score double")
     return scored.select("doc_id", (fold(F.col("doc_id"), FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
@@ -181,7 +191,12 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, *
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
     """The documents that the classifier accepts, with all their columns. Texts are scored where they lie, without a shuffle."""
     bounded_batches(docs.sparkSession)
-    train = materialise(labelled(document_statistics(docs), labels, "quality"), "labelled")
+    known = training_labels(labels, "quality")
+    # only texts with a training label are looked at for the fit; their ids are a bounded broadcast, so no text is shuffled
+    (doc,) = free_names(docs, "__doc")
+    ids = F.broadcast(known.select(F.col("__doc").alias(doc)))
+    own = docs.join(ids, F.col("doc_id").cast("long") == F.col(doc), "left_semi")
+    train = materialise(labelled(document_statistics(own), known), "labelled")
     model = fit(train, **options)
 
     def accepted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
