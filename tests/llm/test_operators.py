@@ -501,7 +501,7 @@ def test_isotonic_is_monotone():
 PAGE = """<!doctype html><html><head><title>t</title><style>p{x:y}</style><script>var a="</p>";</script></head><body class="page-body">
 <header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie-notice">We use cookies</div>
 <div class="layout with-sidebar"><article><h2>Title %(n)d &amp; more</h2><p>First  paragraph\n %(n)d <b>bold</b> caf&eacute;.<p>Second one<br>here &lt;tag&gt;
-<div class="share">Share this</div><p class="tagline">Read us daily</p><ul><li>item %(n)d<li>two</ul><form><input><label>Mail</label></form><section id="comments"><p>reader %(n)d says</p></section></article>
+<div class="share">Share this</div><p class="tagline">Read us daily</p><ul><li>item %(n)d<li>two %(n)d</ul><form><input><label>Mail</label></form><section id="comments"><p>reader %(n)d says</p></section></article>
 <aside>Side %(n)d</aside></div><div class="ad">Buy %(n)d</div><footer>&copy; x</footer></body></html>"""
 
 
@@ -515,7 +515,7 @@ def test_main_texts(spark):
     got = {r.page_id: r for r in html_extract.main_texts(pages(spark)).collect()}
     assert len(got) == 14
     for i in range(8):
-        assert got[i].text == f"Title {i} & more\nFirst paragraph {i} bold café.\nSecond one here <tag>\nitem {i}\ntwo"
+        assert got[i].text == f"Title {i} & more\nFirst paragraph {i} bold café.\nSecond one here <tag>\nitem {i}\ntwo {i}"
         assert got[i].n_chars == len(got[i].text)
     assert got[100].text == got[101].text == "" and got[102].text == "plain text only"
     assert got[103].text.startswith("Alone word") and "f" not in got[103].text.split("\n")[-1].split() and got[None].text == "deep"
@@ -525,7 +525,7 @@ def test_main_texts(spark):
 def test_an_article_posted_many_times_is_no_template(spark):
     rows = [(i, "https://h.example/x", PAGE % {"n": 1}) for i in range(30)] + [(100 + i, "https://h.example/y", PAGE % {"n": 2 + i}) for i in range(6)]
     got = {r.page_id: r.text for r in html_extract.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
-    assert all(got[i] == "Title 1 & more\nFirst paragraph 1 bold café.\nSecond one here <tag>\nitem 1\ntwo" for i in range(30))
+    assert all(got[i] == "Title 1 & more\nFirst paragraph 1 bold café.\nSecond one here <tag>\nitem 1\ntwo 1" for i in range(30))
 
 
 LAYOUTS = {
@@ -544,11 +544,96 @@ def test_layouts_without_a_wrapper(html):
     assert html_extract.extract(html) == LAYOUTS[html]
 
 
+def tree(key, *children, digest=0):
+    return html_extract.Wrapper(key, 1, {digest: 1}, list(children))
+
+
 def test_tree_matching_aligns_most_nodes():
-    w = lambda key, *children: html_extract.Wrapper(key, 1, {0: 1}, list(children))
-    left, right = [w("p"), w("div", w("a"), w("b")), w("ul")], [w("ul"), w("div", w("b")), w("p")]
-    pairs = html_extract.simple_tree_matching(left, right)
-    assert pairs == [(1, 1)]
+    left = tree("x", tree("p"), tree("div", tree("a"), tree("b")), tree("ul"))
+    right = tree("x", tree("ul"), tree("div", tree("b")), tree("p"))
+    assert html_extract.Matching().children(left, right)[1] == [(1, 1)]
+
+
+def brute_matching(a, b):
+    """Simple tree matching by its textbook recursion."""
+    if a.key != b.key:
+        return 0
+    best = [[0] * (len(b.children) + 1) for _ in range(len(a.children) + 1)]
+    for i, x in enumerate(a.children):
+        for j, y in enumerate(b.children):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + brute_matching(x, y))
+    return best[-1][-1] + 1
+
+
+def test_matching_of_distinct_runs_is_the_textbook_one():
+    rng = random.Random(6)
+
+    def random_tree(depth):
+        keys = rng.sample("abcdef", rng.randint(0, 4)) if depth else []
+        return tree("r" if depth == 3 else rng.choice("uv"), *[html_extract.Wrapper(k, 1, {rng.random(): 1}, random_tree(depth - 1).children) for k in keys])
+
+    for _ in range(200):
+        a, b = random_tree(3), random_tree(3)
+        assert html_extract.Matching().worth(a, b) - (1 if a.seen.keys() & b.seen.keys() else 0) == brute_matching(a, b)
+
+
+def test_summaries_lose_no_frequent_content():
+    rng = random.Random(1)
+    total = {}
+    for _ in range(400):
+        digest = 7 if rng.random() < 0.6 else rng.randrange(1000, 9000)
+        total = html_extract.summary({**total, digest: total.get(digest, 0) + 1})
+    assert 7 in total and len(total) <= html_extract.SUMMARY
+
+
+def nameless(i, rng):
+    """A page whose parts carry no telling tags or names: menu, notice, advert, article, footer are plain divs."""
+    say = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    body = [f"<p>{say(rng.randint(20, 60))}</p>" for _ in range(rng.randint(2, 6))]
+    want = [f"Title {i}", *(x[3:-4] for x in body)]
+    if i % 4 == 0:  # a passage that a quarter of the articles share is no template
+        body.append("<p>" + " ".join(f"shared{k}" for k in range(55)) + "</p>")
+        want.append(body[-1][3:-4])
+    advert = f"<div>{say(8)}</div>"
+    html = (
+        "<html><body><div><div><a href=/a>Home page</a> <a href=/b>News of the day</a></div></div><div>We keep your settings on this machine. Read on if you agree.</div>"
+        f"{advert}<div><h1>Title {i}</h1>{''.join(body)}<p>Read us again tomorrow.</p></div><div>All rights reserved by the house</div></body></html>"
+    )
+    return html, "\n".join(want)
+
+
+def test_the_wrapper_alone_finds_the_article(spark):
+    """Adverts, menus and notices without telling names vanish only by the wrapper."""
+    rng = random.Random(12)
+    pages_, want = [], {}
+    for i in range(60):
+        html, want[i] = nameless(i, rng)
+        pages_.append((i, f"http://plain.example/{i}", html))
+    rare = [(100 + k, f"http://few.example/{k}", nameless(k, rng)[0]) for k in range(2)]
+    frame = spark.createDataFrame(pages_ + rare, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.main_texts(frame.repartition(5)).collect()}
+    assert {i: got[i] for i in want} == want
+    assert html_extract.extract(pages_[0][2]) != want[0]  # without the wrapper notices and adverts stay
+
+
+def test_a_wrapper_does_not_depend_on_the_number_of_rare_variants(spark):
+    """A notice on nine of ten pages is template however many different ones the other pages have."""
+    rng = random.Random(3)
+    rows = [(i, "http://h.example/", f"<body><div><p>notice {'of the house' if i % 10 else rng.random()}</p></div><div><p>text {rng.random()} of page {i} " + "and more words " * 9 + "</p><p>second</p></div></body>") for i in range(80)]
+    got = {r.page_id: r.text for r in html_extract.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)).collect()}
+    assert all("of the house" not in t and t.startswith("text") for t in got.values())
+
+
+def test_very_long_pages_are_aligned_in_time():
+    import time
+
+    def page(n, salt):
+        return html_extract.tree_of(html_extract.parse("<body>" + "".join(f"<{t}><{u}>{salt} {k}</{u}></{t}>" for k in range(n) for t, u in [(("div", "p"), ("section", "ul"), ("div", "ol"))[(k * k + salt) % 3]]) + "</body>"))
+
+    began = time.time()
+    merged = html_extract.merge(page(20_000, 1), page(20_000, 2))
+    merged = html_extract.merge(merged, page(30, 3))
+    assert merged.pages == 3 and time.time() - began < 30
 
 
 def test_registry_matches_its_twins(spark, sf_dir, duck):
