@@ -500,7 +500,7 @@ def test_isotonic_is_monotone():
 
 PAGE = """<!doctype html><html><head><title>t</title><style>p{x:y}</style><script>var a="</p>";</script></head><body class="page-body">
 <header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie-notice">We use cookies</div>
-<div class="layout with-sidebar"><article><h2>Title %(n)d &amp; more</h2><p>First  paragraph\n %(n)d <b>bold</b> caf&eacute;.<p>Second one<br>here &lt;tag&gt;
+<div class="layout with-sidebar"><article><h2>Title %(n)d &amp; more</h2><p>First  paragraph\n %(n)d <b>bold</b> caf&eacute;.<p>Second one<br>here &lt;tag&gt; %(n)d
 <div class="share">Share this</div><p class="tagline">Read us daily</p><ul><li>item %(n)d<li>two %(n)d</ul><form><input><label>Mail</label></form><section id="comments"><p>reader %(n)d says</p></section></article>
 <aside>Side %(n)d</aside></div><div class="ad">Buy %(n)d</div><footer>&copy; x</footer></body></html>"""
 
@@ -515,7 +515,7 @@ def test_main_texts(spark):
     got = {r.page_id: r for r in html_extract.main_texts(pages(spark)).collect()}
     assert len(got) == 14
     for i in range(8):
-        assert got[i].text == f"Title {i} & more\nFirst paragraph {i} bold café.\nSecond one here <tag>\nitem {i}\ntwo {i}"
+        assert got[i].text == f"Title {i} & more\nFirst paragraph {i} bold café.\nSecond one here <tag> {i}\nitem {i}\ntwo {i}"
         assert got[i].n_chars == len(got[i].text)
     assert got[100].text == got[101].text == "" and got[102].text == "plain text only"
     assert got[103].text.startswith("Alone word") and "f" not in got[103].text.split("\n")[-1].split() and got[None].text == "deep"
@@ -525,7 +525,7 @@ def test_main_texts(spark):
 def test_an_article_posted_many_times_is_no_template(spark):
     rows = [(i, "https://h.example/x", PAGE % {"n": 1}) for i in range(30)] + [(100 + i, "https://h.example/y", PAGE % {"n": 2 + i}) for i in range(6)]
     got = {r.page_id: r.text for r in html_extract.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
-    assert all(got[i] == "Title 1 & more\nFirst paragraph 1 bold café.\nSecond one here <tag>\nitem 1\ntwo 1" for i in range(30))
+    assert all(got[i] == "Title 1 & more\nFirst paragraph 1 bold café.\nSecond one here <tag> 1\nitem 1\ntwo 1" for i in range(30))
 
 
 LAYOUTS = {
