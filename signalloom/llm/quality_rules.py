@@ -9,8 +9,9 @@ Verdict. A document that passes the base rules is compared with every reference
 1), and the nearest language decides. Both distances must lie below their limits. Short texts scatter more, so a limit grows
 by SCATTER (characters) or WORD_SCATTER (words) / sqrt(n), and a histogram of fewer than MIN_CHARS characters or MIN_WORDS words is no evidence: it is not tested.
 
-Cases: null and empty texts have zero counts and fail the base rules; lang may be null (a reference of its own) and is used
-for nothing but the references; an empty table gives an empty result; rows that repeat an id are judged each for itself;
+Cases: null and empty texts have zero counts and fail the base rules; very long texts are counted whole; words of equal
+frequency rank by their bytes, languages at equal distance by name; lang may be null (a reference of its own) and is used for
+nothing but the references; a value of lang with less than 1 / LANGUAGE_SHARE of all words is no reference; an empty table gives an empty result; rows that repeat an id are judged each for itself;
 columns besides doc_id, text and lang are ignored.
 """
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalloom.llm.common import bounded_batches, text_bytes, text_rows
+from signalloom.llm.common import bounded_batches, materialise, text_bytes, text_rows
 
 COMMON = 100
 MIN_CHARS = 200
@@ -36,6 +37,7 @@ WORD_SCATTER = 1.5
 MIN_BASE_WORDS = 50
 HELD_WORDS = 200_000
 SALTS = 64
+LANGUAGE_SHARE = 1000
 SYMBOLS = b"#*$%&|<>"
 CLASSES = ("lower", "upper", "digit", "blank", "newline", "stop", "mark", "symbol", "control", "letter_beyond_ascii")
 
@@ -127,7 +129,7 @@ def references(docs: DataFrame, common: int = COMMON) -> DataFrame:
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     counted = rows.mapInArrow(_count, "lang string, word binary, kind int, n long")
-    summed = counted.groupBy("lang", "word", "kind").agg(F.sum("n").alias("n"))
+    summed = materialise(counted.groupBy("lang", "word", "kind").agg(F.sum("n").alias("n")), "word_counts")  # read for classes, words and totals
     classes = summed.filter("word is null").withColumn("total", F.lit(None).cast("long"))
     words = summed.filter("word is not null")
     # first within SALTS parts of a language, then among what is left of them: no task ranks all words of a language
@@ -135,7 +137,11 @@ def references(docs: DataFrame, common: int = COMMON) -> DataFrame:
     ranked = words.withColumn("salt", salt).withColumn("nth", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).filter(F.col("nth") <= common)
     ranked = ranked.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("nth") <= common).drop("salt")
     totals = words.groupBy(F.col("lang").alias("__lang")).agg(F.sum("n").alias("total"))
+    # a value of lang with hardly any words is no language; so there are fewer references than LANGUAGE_SHARE, whatever the column holds
+    whole = totals.agg(F.sum("total").alias("__whole"))  # one row
+    totals = totals.crossJoin(F.broadcast(whole)).filter(F.col("total") * LANGUAGE_SHARE > F.col("__whole")).drop("__whole")
     top = ranked.join(totals, F.col("lang").eqNullSafe(F.col("__lang"))).drop("nth", "__lang")
+    classes = classes.join(totals.select("__lang"), F.col("lang").eqNullSafe(F.col("__lang")), "left_semi")
     return classes.unionByName(top)
 
 
@@ -153,12 +159,13 @@ class References:
 
     def __init__(self, rows: list):
         langs = sorted({r["lang"] for r in rows}, key=lambda x: (x is None, x or ""))
+        place = {lang: i for i, lang in enumerate(langs)}
         self.chars = np.zeros((len(langs), len(CLASSES)))
         self.words: list[dict[bytes, int]] = [{} for _ in langs]
         counts: list[list[float]] = [[] for _ in langs]
         totals = [0] * len(langs)
         for r in sorted(rows, key=lambda r: (-r["n"], bytes(r["word"] or b""))):
-            i = langs.index(r["lang"])
+            i = place[r["lang"]]
             if r["word"] is None:
                 self.chars[i, r["kind"]] = r["n"]
             else:
