@@ -8,14 +8,17 @@ training texts, and the held-out words say how far each order can be trusted. Sc
 Exchange. Words and bigrams outnumber what a row each could carry, so documents travel in blocks. A block holds its words as
 local numbers, and sends to each part of the hash space one packed message: the sorted hashes of its distinct words or bigrams
 and their counts. A part adds up the counts of all blocks and answers each message with the totals in the same order. A block
-scores its documents with the answers. Counts of a hot word are summed within each block first, so no word is hot. All rows
-of all texts are counted; blocks and parts have bounded sizes, and their numbers grow with the corpus.
+scores its documents with the answers. Counts of a hot word are summed within each block first: it costs its part one entry
+for each block. All rows of all texts are counted. Blocks and parts hold BLOCK_TOKENS and PART_ENTRIES up to SIZED_TOKENS tokens,
+and grow with the fourth root of the corpus beyond, so that the number of messages, blocks times parts, grows with its power
+1.5 (at 10^12 tokens a block holds 8 million tokens, and 120,000 blocks meet 60,000 parts). Sizes change no result.
 
 A text's tokens are its words, lower-cased in A-Z, and one end; its first context is a start that is no token.
 
 Cases: null and empty texts are the end alone; a null doc_id is folded as the empty text; repeated rows are documents of
 their own; without training texts every score falls back to the uniform estimate; an empty table gives an empty result;
-columns besides doc_id and text are ignored.
+very long texts are scored whole, and a block passes its size by the end of one document at most; equal counts weigh equally,
+there is no order among ties; columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +37,8 @@ from signalloom.llm.common import fold_of, materialise, text_bytes, text_rows
 FOLDS = 10
 BLOCK_TOKENS = 1_000_000
 PART_ENTRIES = 2_000_000
-CONTEXT_BUCKETS = 24
+CONTEXT_BUCKETS = 64  # powers of two of a 64-bit count: no context shares a bucket for want of one
+SIZED_TOKENS = 200_000_000
 RATIO_BINS = 512
 RATIO_SPAN = 64.0  # binary orders of magnitude that the bins of a ratio cover
 EM_ROUNDS = 200
@@ -118,7 +122,19 @@ class BlockBuilder:
         return out
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def growth(tokens: float) -> float:
+    """How much larger than their least sizes blocks and parts are."""
+    return max(1.0, tokens / SIZED_TOKENS) ** 0.25
+
+
+def _blocks(block_tokens: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _into_blocks(batches, block_tokens)
+
+    return run
+
+
+def _into_blocks(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
@@ -130,7 +146,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
             block = building[role_of(doc_id)]
             block.add(doc_id, text.lower().split())
-            if block.size >= BLOCK_TOKENS:
+            if block.size >= block_tokens:
                 yield wrap(block.row())
     for block in building:
         if block.size:
@@ -328,9 +344,11 @@ def _scores(model: Interpolation, documents: int):
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     rows = text_rows(docs)
-    blocks = materialise(rows.mapInArrow(_blocks, BLOCKS), "blocks")
+    # a token takes five bytes or more with its blank; the sum only sets sizes
+    large = growth((rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 5)
+    blocks = materialise(rows.mapInArrow(_blocks(int(BLOCK_TOKENS * large)), BLOCKS), "blocks")
     sizes = blocks.agg(F.sum("n_tokens")).first()[0] or 0
-    parts = max(8, -(-sizes // PART_ENTRIES))
+    parts = max(8, int(-(-sizes // (PART_ENTRIES * large))))
     messages = blocks.mapInArrow(_messages(parts), MESSAGES)
     answers = materialise(messages.groupBy("part", "kind").applyInArrow(_answer, ANSWERS), "answers")
     told = answers.filter("kind = 0").agg(F.sum("n_tokens"), F.sum("n_types"), F.sum("n_rest"), F.sum("rest_types")).first()

@@ -107,6 +107,54 @@ def test_references_count_every_row_at_any_size(spark):
     assert counts[b"same"] == counts[b"text"] == 30 and {r.total for r in got} == {70}
 
 
+def brute_references(rows):
+    """Shares of character classes and of the common words and the rest, by language."""
+    kinds = lambda c: (
+        "letter_beyond_ascii" if ord(c) >= 0xC0 or ord(c) >= 0x80 else "upper" if "A" <= c <= "Z" else "lower" if "a" <= c <= "z" else "digit" if "0" <= c <= "9" else "newline" if c == "\n"
+        else "blank" if c in " \t" else "stop" if c in ".," else "mark" if c in "!?;:'\"-()" else "symbol" if ord(c) > 32 else "control"
+    )
+    out = {}
+    for lang in {r[2] for r in rows}:
+        text = [r[1] or "" for r in rows if r[2] == lang]
+        chars, words = Counter(kinds(c) for t in text for c in t), Counter(w for t in text for w in t.encode().split())
+        top = sorted(words.items(), key=lambda x: (-x[1], x[0]))[: quality_rules.COMMON]
+        out[lang] = (chars, dict(top), sum(words.values()))
+    return kinds, out
+
+
+def entropy_distance(p, q):
+    h = lambda d: -sum(x * math.log2(x) for x in d if x > 0)
+    return math.sqrt(max(0.0, h([(a + b) / 2 for a, b in zip(p, q, strict=True)]) - (h(p) + h(q)) / 2))
+
+
+def test_verdicts_equal_brute_force(spark, docs):
+    rng = random.Random(2)
+    rows = [(r["doc_id"], r["text"], ["en", "fr", None][r["doc_id"] % 3]) for r in docs.collect()]
+    rows += [(900 + i, " ".join(rng.choice(["#$%|", "<<>>", "zq" * 9]) + str(rng.randrange(9)) for _ in range(90)), "en") for i in range(4)]
+    kinds, known = brute_references(rows)
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    for i, text, _ in rows:
+        text = text or ""
+        r, words = got[i], text.encode().split()
+        chars, far = Counter(map(kinds, text)), (0.0, 0.0)
+        if text:
+            options = []
+            for lang in sorted(known, key=lambda x: (x is None, x or "")):
+                all_chars, common, total = known[lang]
+                left = [chars[c] / len(text) for c in quality_rules.CLASSES]
+                right = [all_chars[c] / sum(all_chars.values()) for c in quality_rules.CLASSES]
+                own = [sum(w == x for x in words) for w in common]
+                mine = [x / max(len(words), 1) for x in [*own, len(words) - sum(own)]]
+                theirs = [x / total for x in [*common.values(), total - sum(common.values())]]
+                options.append((entropy_distance(left, right), entropy_distance(mine, theirs) if words else 0.0))
+            far = min(options, key=sum)
+        assert (r.char_distance, r.word_distance) == pytest.approx(far, abs=1e-6), i
+        kept = not r.base_failed
+        kept &= r.word_chars < quality_rules.MIN_CHARS or far[0] <= quality_rules.MAX_CHAR_DISTANCE + quality_rules.SCATTER / math.sqrt(r.word_chars)
+        kept &= r.n_words < quality_rules.MIN_WORDS or far[1] <= quality_rules.MAX_WORD_DISTANCE + quality_rules.WORD_SCATTER / math.sqrt(r.n_words)
+        assert r.kept == kept
+
+
 def test_jensen_shannon():
     p, q = np.array([0.5, 0.5, 0]), np.array([[0.5, 0.5, 0], [0, 0, 1]])
     assert np.allclose(quality_rules.jensen_shannon(p, q), [0, 1])
@@ -421,11 +469,11 @@ def test_language_model_equals_brute_force(spark, docs):
                 starts += 1
         return words, pairs, starts
 
-    bucket = lambda n: 0 if n == 0 else min(int(math.log2(n)) + 1, 23)
+    bucket = lambda n: 0 if n == 0 else int(math.log2(n)) + 1
     words, pairs, starts = counted(lambda x: x > 1)
     n, v = sum(words.values()), len(words)
     held = [(h, w) for i, t in tokens.items() if fold[i] == 1 for h, w in zip([0, *t], t, strict=False)]
-    mu, lam = 0.5, np.full(24, 0.5)
+    mu, lam = 0.5, np.full(64, 0.5)
     for _ in range(200):
         share = [mu * words[w] / n / (mu * words[w] / n + (1 - mu) / (v + 1)) for _, w in held]
         mu = min(max(sum(share) / len(share), 1e-6), 1 - 1e-6)
@@ -433,7 +481,7 @@ def test_language_model_equals_brute_force(spark, docs):
     seen = lambda h: starts if h == 0 else words[h]
     cells = [(bucket(seen(h)), pairs[h, w] / seen(h), low(w)) for h, w in held if seen(h)]
     for _ in range(200):
-        total, part = np.zeros(24), np.zeros(24)
+        total, part = np.zeros(64), np.zeros(64)
         for b, hi, lo in cells:
             part[b] += lam[b] * hi / (lam[b] * hi + (1 - lam[b]) * lo)
             total[b] += 1
@@ -449,6 +497,17 @@ def test_language_model_equals_brute_force(spark, docs):
         assert r.score == pytest.approx(score, rel=5e-3)
 
 
+def test_block_and_part_sizes_change_no_score(spark, docs, monkeypatch):
+    one = {r.doc_id: (r.base_score, r.score) for r in language_model.score_documents(docs).collect()}
+    monkeypatch.setattr(language_model, "BLOCK_TOKENS", 700)
+    monkeypatch.setattr(language_model, "PART_ENTRIES", 900)
+    monkeypatch.setattr(language_model, "SIZED_TOKENS", 5_000)
+    two = {r.doc_id: (r.base_score, r.score) for r in language_model.score_documents(docs.repartition(3)).collect()}
+    assert one.keys() == two.keys() and all(one[i] == pytest.approx(two[i]) for i in one)
+    messages = [(t / (1e6 * language_model.growth(t))) * (t / (2e6 * language_model.growth(t))) for t in (1e10, 1e12)]
+    assert messages[1] / messages[0] <= 100**1.5 * 1.01
+
+
 def test_packed_arrays_come_back():
     rng = np.random.default_rng(1)
     values = np.sort(rng.integers(0, 2**64, 1000, dtype=np.uint64))
@@ -493,6 +552,69 @@ def test_held_out_labels_are_not_read(spark):
     assert all(abs(a[i] - b[i]) < 1e-9 for i in a)
 
 
+def test_label_model_equals_enumeration():
+    """Posteriors of the fitted tree by summing its joint distribution out, for a few voters."""
+    rng = random.Random(5)
+    patterns = Counter()
+    for _ in range(4000):
+        toxic = rng.random() < 0.2
+        votes = [rng.random() < (0.8 if toxic else 0.03) for _ in range(3)]
+        votes.append(votes[0] if rng.random() < 0.9 else not votes[0])
+        patterns[sum(1 << i for i, v in enumerate(votes) if v)] += 1
+    model = toxicity.LabelModel(dict(patterns), voters=4)
+    for key, post in zip(model.keys, model.post, strict=True):
+        joint = []
+        for y in range(2):
+            p = model.prior if y else 1 - model.prior
+            for j, parent in enumerate(model.parents):
+                yes = model.tables[j, key >> parent & 1 if parent >= 0 else 0, y]
+                p *= yes if key >> j & 1 else 1 - yes
+            joint.append(p)
+        assert post == pytest.approx(joint[1] / sum(joint), abs=1e-4)
+    assert 0.1 < model.prior < 0.3
+
+
+def test_newton_equals_gradient_of_zero(spark):
+    """At the fitted weights the gradient of the penalised likelihood vanishes, computed densely."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, len(toxicity.FEATURES)))
+    keys = rng.integers(0, 4, 300)
+    model = toxicity.LabelModel({0: 200, 1: 50, 2: 40, 3: 10}, voters=2)
+    frame = spark.createDataFrame([(int(k), row.tolist()) for k, row in zip(keys, x, strict=True)], "votes int, features array<double>")
+    w = toxicity.fit_logistic(frame, model)
+    design = np.hstack([np.ones((300, 1)), x])
+    p = 1 / (1 + np.exp(-design @ w))
+    penalty = np.full(len(w), 1.0)
+    penalty[0] = 1e-6
+    assert np.abs(design.T @ (model.posteriors(keys) - p) - penalty * w).max() < 1e-2
+
+
+def test_ridge_equals_least_squares_on_all_rows(spark):
+    rng = np.random.default_rng(7)
+    d = len(quality_classifier.STATISTICS)
+    x = rng.normal(size=(200, d))
+    y = (x[:, 0] + rng.normal(size=200) > 0).astype(float)
+    frame = spark.createDataFrame([(row.tolist(), float(v)) for row, v in zip(x, y, strict=True)], "features array<double>, label double").repartition(5)
+    model = quality_classifier.fit(frame, features=40)
+    z = model.design(x)
+    penalty = np.sqrt(np.full(z.shape[1], quality_classifier.RIDGE * 200))
+    penalty[0] = np.sqrt(1e-9 * 200)
+    want = np.linalg.lstsq(np.vstack([z, np.diag(penalty)]), np.concatenate([y, np.zeros(z.shape[1])]), rcond=None)[0]
+    assert np.abs(model.design(x) @ (model.weights - want)).max() < 1e-6
+
+
+def test_isotonic_is_the_best_monotone_fit():
+    """Pooled shares equal the max-min formula of isotonic regression."""
+    rng = np.random.default_rng(2)
+    totals = rng.integers(1, 9, 30).astype(float)
+    positives = np.minimum(totals, rng.integers(0, 9, 30)).astype(float)
+    at, shares = quality_classifier.isotonic(np.arange(30.0), positives, totals)
+    mean = lambda a, b: positives[a : b + 1].sum() / totals[a : b + 1].sum()
+    want = [max(min(mean(a, b) for b in range(i, 30)) for a in range(i + 1)) for i in range(30)]
+    assert sorted(set(np.round(want, 12))) == pytest.approx(sorted(set(np.round(shares, 12))))
+    assert (np.diff(at) > 0).all()
+
+
 def test_isotonic_is_monotone():
     _, y = quality_classifier.isotonic(np.arange(5.0), np.array([1, 0, 3, 1, 4.0]), np.array([2, 2, 4, 4, 4.0]))
     assert (np.diff(y) >= 0).all()
