@@ -311,8 +311,9 @@ def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def bucket_links(key: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places (i, j) of links that connect the fingerprints of each key as all pairs at LONG_DISTANCE or less do. Rows are
-    sorted by key. Small keys are compared by shifts, all at once; a large one grows its components from member to member and
-    yields one link for each member that is reached."""
+    sorted by key, then fingerprint. Small keys are compared by shifts, all at once, and of their near pairs a spanning forest is
+    taken; a large key grows its components from member to member. So a key yields fewer links than it has members, and as both
+    begin with the smallest fingerprints, the many keys of one group yield much the same links."""
     new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
     sizes = np.diff(np.append(new, len(key)))
     small = np.repeat(sizes <= SHIFTS, sizes)
@@ -322,13 +323,31 @@ def bucket_links(key: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.nd
         at = at[_far(prints[at], prints[at + shift]) <= LONG_DISTANCE]
         left.append(at)
         right.append(at + shift)
+    if left:
+        one, two = np.concatenate(left), np.concatenate(right)
+        order = np.lexsort((two, one))
+        at: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while at.setdefault(x, x) != x:
+                at[x] = at[at[x]]
+                x = at[x]
+            return x
+
+        forest = []
+        for i, j in zip(one[order].tolist(), two[order].tolist(), strict=True):
+            a, b = root(i), root(j)
+            if a != b:
+                at[max(a, b)] = min(a, b)
+                forest.append((i, j))
+        left, right = ([np.asarray([p[k] for p in forest], dtype=np.int64)] for k in (0, 1))
     for start, n in zip(new[sizes > SHIFTS].tolist(), sizes[sizes > SHIFTS].tolist(), strict=True):
         own, rest = prints[start : start + n], np.arange(1, n)
         front = [0]
         while len(rest) or front:
             if not front:
                 front, rest = [int(rest[0])], rest[1:]
-            i = front.pop()
+            i = front.pop(0)
             near = _far(own[rest], own[i]) <= LONG_DISTANCE
             reached = rest[near]
             left.append(np.full(len(reached), start + i))
@@ -371,7 +390,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     prints = materialise(first.withColumn("node", F.monotonically_increasing_id()), "long_nodes")
     met = prints.select(*PRINT).mapInArrow(_meetings, "key int, " + ", ".join(f"{p} long" for p in PRINT))
     schema = ", ".join(f"{side}{p} long" for side in "uv" for p in PRINT)
-    linked = materialise(met.repartition("key").sortWithinPartitions("key").mapInArrow(_meeting_links, schema).distinct(), "long_links")
+    linked = materialise(met.repartition("key").sortWithinPartitions("key", *PRINT).mapInArrow(_meeting_links, schema).distinct(), "long_links")
     named = lambda side: prints.select(*[F.col(p).alias(f"{side}{p}") for p in PRINT], F.col("node").alias(side))
     edges = linked.join(named("u"), [f"u{p}" for p in PRINT]).join(named("v"), [f"v{p}" for p in PRINT]).select("u", "v")
     roots = connected_components(edges)
