@@ -11,8 +11,8 @@ Marks that end a word after a letter are a unit of their own, as both pre-tokeni
 the content of an added token (such as an end mark), which the library turns into that token's id, is encoded whole. Any other
 tokenizer encodes whole texts. Texts are split and their units numbered by Arrow; only distinct units are looked up, in a
 memo of two generations of at most MEMO_UNITS units (a unit met again moves to the young one, the old one is given up when
-the young one is full), which bounds a worker's memory and changes no result. New units are encoded together in one text,
-with a sentinel between them whose token no unit contains. The ids of a text are gathered by number.
+the young one is full), which bounds a worker's memory and changes no result. New units are encoded together, UNITS_AT_ONCE in a
+text, with a sentinel between them whose token no unit contains. The ids of a text are gathered by number.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ import pyarrow.compute as pc
 
 MEMO_UNITS = 300_000
 LONGEST_UNIT = 64
+#: New units that share one call of the library, whose tokens take many times the memory of their ids.
+UNITS_AT_ONCE = 8192
 ROUND_BYTES = 6 << 20
 #: RE2 patterns. What makes a byte-level text be encoded whole; marks that end a word after A-Z, a-z or U+00C0 to U+00FF.
 ODD_BLANKS = "[\\x00\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200d}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{2060}\\x{3000}\\x{feff}]|^[ \\n]|  | \\n|\\n |\\n\\n| $"
@@ -120,7 +122,9 @@ class Encoder:
             else:
                 young[units[i]] = out[i] = ids
         if new:
-            found = self._encode_units(new)
+            found: dict[bytes, bytes] = {}
+            for first in range(0, len(new), UNITS_AT_ONCE):
+                found.update(self._encode_units(new[first : first + UNITS_AT_ONCE]))
             for i in at:
                 if out[i] is None:
                     out[i] = found[units[i]]

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from signalloom.llm import exact_dedup, html_extract, language_model, mixing, packing, quality_classifier, quality_rules, registry, simhash, token_files, toxicity
+from signalloom.llm import exact_dedup, html_extract, language_model, mixing, packing, quality_classifier, quality_rules, registry, simhash, token_files, tokenise, toxicity
 from signalloom.llm.common import fold_of
 from signalloom.llm.components import connected_components
 from signalloom.llm.tokenise import Encoder, tokenizer_path
@@ -266,6 +266,19 @@ def test_added_tokens_have_the_ids_that_a_fresh_library_tokenizer_gives(name):
     assert fresh.token_to_id("<|endoftext|>") in mine[0].tolist()
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_sizes_of_rounds_and_memo_change_no_id(name, monkeypatch):
+    rng = random.Random(3)
+    parts = ["foo", " ", "\n", "é", ".", "Bar", "0", "a9", "x", "  ", "'s"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(1000)]
+    for constant, value in (("UNITS_AT_ONCE", 5), ("MEMO_UNITS", 40), ("ROUND_BYTES", 500)):
+        monkeypatch.setattr(tokenise, constant, value)
+    encoder, mine = Encoder(tokenizer_path(name)), []
+    for _, ids, counts in encoder.encode(pa.array(texts)):
+        mine += np.split(ids, np.cumsum(counts)[:-1])
+    assert [x.tolist() for x in mine] == [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_packing_round_trip(spark, docs):
     encoder = Encoder(tokenizer_path(packing.VOCABULARY))
     ids = {i: np.asarray([*e.ids, 0], dtype="<u4") for (i, _), e in zip(plain(docs).items(), encoder.tokenizer.encode_batch(list(plain(docs).values()), add_special_tokens=False), strict=True)}
