@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalloom.llm import exact_dedup, hard_negatives, html_extract, language_model, lexical_search, mixing, oracle, packing, quality_classifier, quality_rules, simhash, token_files, toxicity
+from signalloom.llm import exact_dedup, hard_negatives, html_extract, jaccard_join, language_model, lexical_search, mixing, oracle, packing, quality_classifier, quality_rules, simhash, token_files, toxicity
 from signalloom.llm.common import table
 
 
@@ -60,6 +60,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extract": op1_html_extract,
@@ -74,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_language_model": op10_language_model,
         "op11_lexical_search": op11_lexical_search,
         "op12_hard_negatives": op12_hard_negatives,
+        "op13_jaccard_join": op13_jaccard_join,
     }
 
 
