@@ -326,6 +326,7 @@ def mine(vectors: DataFrame) -> DataFrame:
     places = anchors.select("block", "ids").mapInArrow(_anchor_ids, "block int, anchor_id long, place long")
     gathered = positives.join(places, "anchor_id").groupBy("block").agg(*[F.collect_list(c).alias(n) for n, c in zip(PAIRS, ("place", "positive_id", "positive_score"), strict=True)])
     pairs = materialise(gathered.mapInArrow(_pack_pairs, "block int, " + ", ".join(f"{c} binary" for c in PAIRS)), "anchor_pairs")
-    found = _meeting(anchors.join(pairs, "block"), blocks, Negatives, width, turn, "anchor_id long, positive_id long, positive_score long, negative_id long, negative_score long")
+    paired = anchors.join(pairs, "block", "left").withColumns({c: F.coalesce(c, F.lit(b"")) for c in PAIRS})
+    found = _meeting(paired, blocks, Negatives, width, turn, "anchor_id long, positive_id long, positive_score long, negative_id long, negative_score long")
     best = _best(found, ["anchor_id", "positive_id", "positive_score"], "negative_score", "negative_id", NEGATIVES)
     return best.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")

@@ -791,4 +791,4 @@ def test_nothing_else_imports_this_package():
             if name.endswith(".py") and "/llm" not in folder:
                 with open(f"{folder}/{name}") as f:
                     assert "signalloom.llm" not in f.read(), name
-    assert json.dumps(sorted(registry.queries())) and len(registry.queries()) == 10
+    assert json.dumps(sorted(registry.queries())) and len(registry.queries()) == 13
