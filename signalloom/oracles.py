@@ -265,6 +265,19 @@ COMPOSITES = TEMPORAL + """, cp AS (SELECT *, document_size_entropy * 0.3 + avg_
  entropy_cross_rank / nullif(max(entropy_cross_rank) OVER (PARTITION BY filing_date), 0) AS relative_complexity_position, entropy_rolling_std AS information_volatility FROM tf)"""
 SEVEN = ("information_complexity", "information_change_intensity", "information_anomaly", "information_density", "information_momentum", "relative_complexity_position", "information_volatility")
 COMPOSITES_Q = COMPOSITES + " SELECT qid, filing_date, " + ", ".join(SEVEN) + " FROM cp"
+_UNPIVOTED = COMPOSITES + ", fx AS (SELECT qid, filing_date, date_trunc('month', filing_date)::DATE AS month, lead(avg_vocabulary_diversity) OVER (PARTITION BY qid ORDER BY filing_date) - avg_vocabulary_diversity AS y, " + ", ".join(f"round({c} + {2.0**-30!r}::DOUBLE, 6) + 0.0::DOUBLE AS {c}" for c in SEVEN) + """ FROM cp),
+lo AS (UNPIVOT fx ON """ + ", ".join(SEVEN) + """ INTO NAME f VALUE x), fs AS (SELECT unnest(""" + str(list(SEVEN)) + """) AS f),
+cm AS (SELECT a.f AS feature, b.f AS other, count(*) AS n, CASE WHEN min(a.x) < max(a.x) AND min(b.x) < max(b.x) THEN corr(a.x, b.x) END AS correlation
+ FROM lo a JOIN lo b ON a.qid = b.qid AND a.filing_date = b.filing_date AND a.f < b.f GROUP BY ALL),
+co AS (SELECT a.f AS feature, b.f AS other, coalesce(n, 0) AS n, correlation FROM fs a JOIN fs b ON a.f < b.f LEFT JOIN cm ON feature = a.f AND other = b.f)"""
+CORRELATIONS = _UNPIVOTED + " SELECT * FROM co"
+SCREENING = _UNPIVOTED + """, rk AS (SELECT month, f, rank() OVER (PARTITION BY month, f ORDER BY x) + (count(*) OVER (PARTITION BY month, f, x) - 1) / 2.0::DOUBLE AS rx,
+ rank() OVER (PARTITION BY month, f ORDER BY y) + (count(*) OVER (PARTITION BY month, f, y) - 1) / 2.0::DOUBLE AS ry FROM lo WHERE y IS NOT NULL),
+ic AS (SELECT f AS feature, avg(v) AS ic, count(v) AS n_periods FROM (SELECT month, f, CASE WHEN min(rx) < max(rx) AND min(ry) < max(ry) THEN corr(rx, ry) END AS v FROM rk GROUP BY ALL) GROUP BY f),
+pa AS (SELECT f, list(o) AS o FROM (SELECT feature AS f, other AS o FROM co WHERE abs(correlation) >= 0.8 UNION ALL SELECT other, feature FROM co WHERE abs(correlation) >= 0.8) GROUP BY f),
+qu AS (SELECT feature, coalesce(o, []) AS o, row_number() OVER (ORDER BY abs(ic) DESC, feature) AS k FROM ic LEFT JOIN pa ON f = feature WHERE abs(ic) > 0.02),
+pk AS (SELECT 0::BIGINT AS k, []::VARCHAR[] AS kept UNION ALL SELECT qu.k, CASE WHEN list_has_any(kept, o) THEN kept ELSE list_append(kept, feature) END FROM pk JOIN qu ON qu.k = pk.k + 1)
+SELECT feature, ic, n_periods, coalesce(abs(ic) > 0.02, false) AS informative, list_contains((SELECT arg_max(kept, k) FROM pk), feature) AS kept FROM ic"""
 NORM_COLS = ("information_complexity", "information_density", "relative_complexity_position")
 ROBUST_NORM = COMPOSITES + ", md AS (SELECT *, " + ", ".join(f"median({c}) OVER (PARTITION BY filing_date) AS m_{c}" for c in NORM_COLS) + " FROM cp), ma AS (SELECT *, " + ", ".join(
     f"median(abs({c} - m_{c})) OVER (PARTITION BY filing_date) AS d_{c}" for c in NORM_COLS
@@ -414,6 +427,8 @@ SELECT word, arg_max(m, k) AS score FROM f GROUP BY word"""
 
 #: The columns of each query that hold doubles, which twins round.
 DOUBLES = {
+    "correlation_matrix": "correlation",
+    "feature_screening": "ic",
     "entropy_engine": "word_entropy length_entropy filing_freq_entropy semantic_entropy word_entropy_rolling_mean word_entropy_rolling_std length_entropy_rolling_mean word_entropy_change length_entropy_change composite_entropy info_change_intensity info_complexity word_entropy_anomaly info_density info_volatility info_trend word_entropy_rank length_entropy_rank filing_freq_entropy_rank semantic_entropy_rank composite_entropy_rank info_change_intensity_rank info_complexity_rank info_density_rank info_volatility_rank info_trend_rank word_entropy_zscore length_entropy_zscore filing_freq_entropy_zscore semantic_entropy_zscore composite_entropy_zscore info_change_intensity_zscore info_complexity_zscore info_density_zscore info_volatility_zscore info_trend_zscore",
     "scalable_entropy_engine": "document_size_entropy avg_vocabulary_diversity std_vocabulary_diversity filing_punctuation_complexity filing_conjunction_complexity filing_avg_sentence_length filing_std_sentence_length approx_word_entropy entropy_rolling_mean entropy_rolling_std diversity_rolling_mean entropy_change_rate diversity_change_rate entropy_cross_rank diversity_cross_rank entropy_momentum diversity_momentum information_complexity information_change_intensity information_anomaly information_density information_momentum relative_complexity_position information_volatility information_complexity_rank information_change_intensity_rank information_anomaly_rank information_density_rank information_momentum_rank relative_complexity_position_rank information_volatility_rank information_complexity_robust_zscore information_change_intensity_robust_zscore information_anomaly_robust_zscore information_density_robust_zscore information_momentum_robust_zscore relative_complexity_position_robust_zscore information_volatility_robust_zscore",
     "semantic_entropy": "semantic_entropy",

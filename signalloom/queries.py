@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from signalloom import oracles as Q
 from signalloom.adapters import cte, frame
-from signalloom.operators import backtest, calendars, event_study, execution, filings, intervals, lexicon_sentiment, semantic, signals, text_features
+from signalloom.operators import backtest, calendars, event_study, execution, filings, intervals, lexicon_sentiment, screening, semantic, signals, text_features
 from signalloom.operators.ewma import irregular_ewma
 from signalloom.plans import pipelines
 from signalloom.sources import lexicons
@@ -232,6 +232,17 @@ def _(r):
     return rows.select("qid", "filing_date", *[f"{c}_{x}" for c in Q.NORM_COLS for x in ("rank", "robust_zscore")])
 
 
+def _factors(r):
+    """The composite factors, rounded: ranks and correlations of a factor that is constant but for rounding would be noise."""
+    rows = _composites(r)
+    ahead = F.lead("avg_vocabulary_diversity").over(Window.partitionBy("qid").orderBy("filing_date")) - F.col("avg_vocabulary_diversity")
+    return rows.select("qid", F.trunc("filing_date", "month").alias("month"), ahead.alias("y"), *[(F.round(F.col(c) + NUDGE, 6) + 0.0).alias(c) for c in Q.SEVEN])
+
+
+query("correlation_matrix", "sentences", Q.CORRELATIONS)(lambda r: screening.correlation_matrix(_factors(r), Q.SEVEN))
+
+
+query("feature_screening", "sentences", Q.SCREENING)(lambda r: screening.screen_features(_factors(r), Q.SEVEN, "y", "month"))
 query("semantic_entropy", "sentences", Q.SEMANTIC)(lambda r: semantic.semantic_entropy(_clean(r)))
 query("entropy_engine", "sentences", Q.ENTROPY_ENGINE, 4)(lambda r: pipelines.entropy_engine(r("sentences")))
 query("scalable_entropy_engine", "sentences", Q.SCALABLE_ENGINE, 4)(lambda r: pipelines.scalable_entropy_engine(r("sentences")))
