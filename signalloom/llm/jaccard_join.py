@@ -53,6 +53,8 @@ HUBS = 3
 SKETCH = 8
 #: Bits of the map of survivors that every task holds while it reads the texts: at most 2^(MAP_BITS - 6) rows of 64 bits.
 MAP_BITS = 24
+#: Pairs whose ids (16 bytes each) may travel to every task.
+FEW_PAIRS = 500_000
 SEED = 42
 ODD = np.uint64(0x9E3779B97F4A7C15)
 CLASS_BITS = np.int64(3)
@@ -92,7 +94,7 @@ def slack(n):
 
 def shared_least(n):
     """Tokens that prefixes of slack + this many share with any linked set's."""
-    return slack(n) // 2 + 1
+    return slack(n) + 1
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -196,7 +198,7 @@ def survivors(sets: DataFrame) -> DataFrame:
     groups = sets.filter(F.col("n") >= LEAST).groupBy("digest", "key", "n").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count(F.lit(1)).alias("copies"))
     # every copy of a set has posted the same tokens; a partner may be smaller and so share no more than its own least
     smaller = F.ceil(F.col("n") * PERCENT / 100)
-    least = F.floor(F.floor(smaller * (100 - PERCENT) / 100) / 2) + 1
+    least = F.floor(smaller * (100 - PERCENT) / 100) + 1
     found = groups.join(hits, "key").filter(F.col("hits") >= least * F.col("copies"))
     return materialise(found.select(F.monotonically_increasing_id().alias("node"), "digest", "first.doc_id", "first.text_hash"), "jaccard_survivors")
 
@@ -233,9 +235,12 @@ def may_link(a: str, b: str) -> Column:
 
 
 def verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
-    """The (u, v) whose sets link."""
-    one = full.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("tokens").alias("tu"))
-    two = full.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("tokens").alias("tv"))
+    """The (u, v) whose sets link. Only sets that stand in a pair are shuffled where their ids are few enough to travel."""
+    pairs = materialise(pairs, "jaccard_pairs")
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    few = pairs.count() <= FEW_PAIRS
+    own = full.select("node", "n", "tokens").join(F.broadcast(asked), "node", "left_semi") if few else full.select("node", "n", "tokens")
+    one, two = (own.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}")) for x in "uv")
     both = pairs.join(one, "u").join(two, "v").withColumn("common", F.size(F.array_intersect("tu", "tv")))
     return materialise(both.filter((100 + PERCENT) * F.col("common") >= PERCENT * (F.col("nu") + F.col("nv"))).select("u", "v"), "jaccard_links")
 
