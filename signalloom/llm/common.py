@@ -16,6 +16,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 TOTAL_BUCKETS = 4096
 
 
+#: Small rows that one file of a written table may hold.
+ROWS_A_FILE = 500_000
+
+
+def files_for(rows: int) -> int:
+    """Files for a table of at most `rows` small rows: few of them where a shuffle would leave many all but empty ones."""
+    return max(1, -(-rows // ROWS_A_FILE))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

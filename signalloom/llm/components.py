@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalloom.llm.common import materialise
+from signalloom.llm.common import files_for, materialise
 
 
 def _star(edges: DataFrame, larger: bool) -> DataFrame:
@@ -32,9 +32,9 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of (u, v): root is the smallest node that it reaches."""
     edges = materialise(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    state = None
+    state, files = None, files_for(edges.count())
     while True:
-        edges = materialise(_star(_star(edges, True), False), "edges")
+        edges = materialise(_star(_star(edges, True), False).repartition(files), "edges")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break

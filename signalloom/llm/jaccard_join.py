@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalloom.llm.common import bounded_batches, join_groups, materialise, text_bytes
+from signalloom.llm.common import bounded_batches, files_for, join_groups, materialise, text_bytes
 from signalloom.llm.components import connected_components
 
 SIZE = 3
@@ -53,6 +53,8 @@ HUBS = 3
 SKETCH = 8
 #: Bits of the map of survivors that every task holds while it reads the texts: at most 2^(MAP_BITS - 6) rows of 64 bits.
 MAP_BITS = 24
+#: Text that is split into words at a time.
+PART_BYTES = 1 << 20
 #: Pairs whose ids (16 bytes each) may travel to every task.
 FEW_PAIRS = 500_000
 SEED = 42
@@ -87,6 +89,18 @@ def token_sets(texts: list[bytes], size: int = SIZE) -> list[np.ndarray]:
     return out
 
 
+def sets_of(texts: list[bytes]) -> list[np.ndarray]:
+    """`token_sets` over parts of about PART_BYTES, so that few words are held as objects at a time."""
+    out, part, size = [], [], 0
+    for text in texts:
+        part.append(text)
+        size += len(text)
+        if size >= PART_BYTES:
+            out += token_sets(part)
+            part, size = [], 0
+    return out + token_sets(part)
+
+
 def slack(n):
     """How many tokens of a set of n may be missing in a linked set."""
     return n * (100 - PERCENT) // 100
@@ -110,7 +124,7 @@ def digest(tokens: np.ndarray) -> bytes:
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, text_hash, n, digest of the set, key (the digest's first half), and the tokens of the first prefix."""
     for batch in batches:
-        sets = token_sets(text_bytes(batch.column(2)))
+        sets = sets_of(text_bytes(batch.column(2)))
         digests = [digest(s) for s in sets]
         n = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
         prefix = [s[: slack(len(s)) + shared_least(len(s))] if len(s) >= LEAST else s[:0] for s in sets]
@@ -121,7 +135,7 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """node, n, tokens, parity sketch of each survivor."""
     for batch in batches:
-        sets = token_sets(text_bytes(batch.column(1)))
+        sets = sets_of(text_bytes(batch.column(1)))
         sketch = np.zeros((len(sets), SKETCH * 64), dtype=np.uint8)
         for row, own in zip(sketch, sets, strict=True):
             row += (np.bincount((mix(own.view(np.uint64)) % np.uint64(SKETCH * 64)).astype(np.int64), minlength=SKETCH * 64) & 1).astype(np.uint8)
@@ -200,7 +214,8 @@ def survivors(sets: DataFrame) -> DataFrame:
     smaller = F.ceil(F.col("n") * PERCENT / 100)
     least = F.floor(smaller * (100 - PERCENT) / 100) + 1
     found = groups.join(hits, "key").filter(F.col("hits") >= least * F.col("copies"))
-    return materialise(found.select(F.monotonically_increasing_id().alias("node"), "digest", "first.doc_id", "first.text_hash"), "jaccard_survivors")
+    few = found.select("digest", "first.doc_id", "first.text_hash").repartition(files_for(sets.count()))
+    return materialise(few.withColumn("node", F.monotonically_increasing_id()), "jaccard_survivors")
 
 
 def full_sets(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -238,11 +253,14 @@ def verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
     """The (u, v) whose sets link. Only sets that stand in a pair are shuffled where their ids are few enough to travel."""
     pairs = materialise(pairs, "jaccard_pairs")
     asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    few = pairs.count() <= FEW_PAIRS
-    own = full.select("node", "n", "tokens").join(F.broadcast(asked), "node", "left_semi") if few else full.select("node", "n", "tokens")
+    asked_pairs = pairs.count()
+    own = full.select("node", "n", "tokens")
+    if asked_pairs <= FEW_PAIRS:
+        own = own.join(F.broadcast(asked), "node", "left_semi")
     one, two = (own.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}")) for x in "uv")
     both = pairs.join(one, "u").join(two, "v").withColumn("common", F.size(F.array_intersect("tu", "tv")))
-    return materialise(both.filter((100 + PERCENT) * F.col("common") >= PERCENT * (F.col("nu") + F.col("nv"))).select("u", "v"), "jaccard_links")
+    found = both.filter((100 + PERCENT) * F.col("common") >= PERCENT * (F.col("nu") + F.col("nv"))).select("u", "v")
+    return materialise(found.repartition(files_for(asked_pairs)), "jaccard_links")
 
 
 def linked(full: DataFrame, lists: DataFrame) -> DataFrame:
