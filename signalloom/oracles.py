@@ -180,6 +180,9 @@ st AS (SELECT e.qid, e.date, (SELECT list(f.length ORDER BY f.date, f.document_i
 sg AS (SELECT qid, date, CASE WHEN len(l) >= 2 THEN l[-1] - l[-2] END AS signal, coalesce(len(l), 0) AS n_filings_in_window FROM st),
 lg AS (SELECT *, lag(signal) OVER (PARTITION BY qid ORDER BY date) AS p FROM sg)
 SELECT qid, date, signal, n_filings_in_window FROM lg WHERE signal IS DISTINCT FROM p"""
+#: The streams leave the days within their lateness of the last row open.
+STREAM_EWMA = EWMA + " WHERE date < (SELECT max(date) FROM uncertainty) - 5"
+STREAM_DELTA = DELTA_CLOSED.replace(" WHERE signal IS DISTINCT", " WHERE date < (SELECT max(date) FROM filings) - 30 AND signal IS DISTINCT")
 ASOF_LOOKUP = HALFOPEN_E + """, hd AS (SELECT qid, date, arg_max(coalesce(signal, 'Infinity'::DOUBLE), coalesce(signal, '-Infinity'::DOUBLE)) AS s FROM he GROUP BY qid, date),
 qs AS (SELECT DISTINCT o_custkey AS qid, CAST(l_shipdate AS DATE) AS date FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
 SELECT q.qid, q.date, CASE WHEN isinf(h.s) THEN NULL ELSE h.s END AS signal FROM qs q ASOF LEFT JOIN hd h ON q.qid = h.qid AND q.date >= h.date"""
@@ -468,6 +471,8 @@ DOUBLES = {
     "rebalance": "weight",
     "shares": "notional",
     "irregular_ewma": "value ewma",
+    "stream_irregular_ewma": "value ewma",
+    "stream_filing_delta": "signal",
     "filing_delta_halfopen": "signal",
     "filing_delta_closed": "signal",
     "signal_asof_lookup": "signal",

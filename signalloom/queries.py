@@ -14,6 +14,7 @@ from signalloom.operators import backtest, calendars, event_study, execution, fi
 from signalloom.operators.ewma import irregular_ewma
 from signalloom.plans import pipelines
 from signalloom.sources import lexicons
+from signalloom.streaming import stateful
 
 
 @dataclass(frozen=True)
@@ -168,6 +169,9 @@ query("irregular_ewma", "uncertainty", Q.EWMA)(lambda r: irregular_ewma(r("uncer
 query("filing_delta_halfopen", "filings", Q.DELTA_HALFOPEN, 2)(lambda r: filings.filing_delta_halfopen(r("filings")))
 query("filing_delta_closed", "filings", Q.DELTA_CLOSED, 2)(lambda r: filings.filing_delta_closed(r("filings")))
 
+query("stream_irregular_ewma", "uncertainty", Q.STREAM_EWMA)(lambda r: stateful.replay(r("uncertainty"), lambda s: stateful.stream_irregular_ewma(s, "qid", "date", "value", 5, "ewma", "5 days"), "ewma_stream"))
+query("stream_filing_delta", "filings", Q.STREAM_DELTA, 2)(lambda r: stateful.replay(r("filings"), stateful.stream_filing_delta, "delta_stream"))
+
 
 @query("signal_asof_lookup", ["filings", "reports"], Q.ASOF_LOOKUP, 2)
 def _(r):
