@@ -13,12 +13,11 @@ batch stored keeps its first holder, so all rows of a later batch with that dige
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalloom.llm.common import free_names, join_groups, materialise, shared_path
+from signalloom.llm.common import free_names, join_groups, materialise
+from signalloom.sources.shared import scratch_table, shared_path
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -28,13 +27,18 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 class DigestIndex:
-    """The persistent index: digest, keep_id, group_size, in `buckets` buckets sorted by digest at `location`."""
+    """The persistent index: digest, keep_id, group_size, in `buckets` buckets sorted by digest at `location`.
+
+    An index that is to last has a name and a location: later sessions that share the catalog open it by its name, and nothing of this library deletes
+    it. Without a name it serves one run, lies in the shared folder and goes with it, catalog entry included."""
 
     def __init__(self, spark: SparkSession, name: str | None = None, location: str | None = None, buckets: int | None = None):
+        if name and not location:
+            raise ValueError("a named index needs a location of its own: the shared folder is cleared")
         self.spark = spark
-        self.name = name or f"digest_index_{uuid.uuid4().hex}"
+        self.name = name or scratch_table(spark)
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        location = location or shared_path(spark, self.name)
+        location = location or shared_path(spark, "digest_index")
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, keep_id BIGINT, group_size BIGINT) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{location}'"

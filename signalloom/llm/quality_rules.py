@@ -2,8 +2,10 @@
 
 References. For each value of `lang`, the characters of all documents are counted by class and their words by word; the
 COMMON most frequent words of a language, with one bin for all others, make its word histogram. Counts cover every document
-and every copy of it, whatever the number of rows, and are pre-aggregated in each task; the references are one short row per
-language.
+and every copy of it, whatever the number of rows, and are pre-aggregated in each task. A value of lang with fewer than
+MIN_REFERENCE_WORDS words is too short to show a language's habits and is no reference; nothing else decides that, so rows of
+other languages never remove one. References travel to the tasks while they take at most REFERENCE_BYTES; beyond that they go in groups,
+each in a pass of its own, and a document takes the nearest over all passes: the same verdicts.
 
 Verdict. A document that passes the base rules is compared with every reference by Jensen-Shannon distance (base 2, so 0 to
 1), and the nearest language decides. Both distances must lie below their limits. Short texts scatter more, so a limit grows
@@ -11,7 +13,8 @@ by SCATTER (characters) or WORD_SCATTER (words) / sqrt(n), and a histogram of fe
 
 Cases: null and empty texts have zero counts and fail the base rules; very long texts are counted whole; words of equal
 frequency rank by their bytes, languages at equal distance by name; lang may be null (a reference of its own) and is used for
-nothing but the references; a value of lang with less than 1 / LANGUAGE_SHARE of all words is no reference; an empty table gives an empty result; rows that repeat an id are judged each for itself;
+nothing but the references; documents of a language that is no reference are compared with those that are, and without any
+reference only the base rules decide; an empty table gives an empty result; rows that repeat an id are judged each for itself;
 columns besides doc_id, text and lang are ignored.
 """
 
@@ -37,7 +40,10 @@ WORD_SCATTER = 1.5
 MIN_BASE_WORDS = 50
 HELD_WORDS = 200_000
 SALTS = 64
-LANGUAGE_SHARE = 1000
+MIN_REFERENCE_WORDS = 1000
+#: What the references may take in a task and on the driver; a row of one is a word or a class with its count.
+REFERENCE_BYTES = 16 << 20
+ROW_BYTES = 256
 SYMBOLS = b"#*$%&|<>"
 CLASSES = ("lower", "upper", "digit", "blank", "newline", "stop", "mark", "symbol", "control", "letter_beyond_ascii")
 
@@ -124,8 +130,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def references(docs: DataFrame, common: int = COMMON) -> DataFrame:
-    """lang, kind, word, n: class counts (word null) and the `common` most frequent words of each language with `total`."""
+def references(docs: DataFrame, common: int = COMMON, least_words: int = 0) -> DataFrame:
+    """lang, kind, word, n: class counts (word null) and the `common` most frequent words with `total` of each language of at
+    least `least_words` words."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     counted = rows.mapInArrow(_count, "lang string, word binary, kind int, n long")
@@ -136,10 +143,7 @@ def references(docs: DataFrame, common: int = COMMON) -> DataFrame:
     order, salt = [F.col("n").desc(), F.col("word")], F.pmod(F.xxhash64("word"), F.lit(SALTS))
     ranked = words.withColumn("salt", salt).withColumn("nth", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).filter(F.col("nth") <= common)
     ranked = ranked.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("nth") <= common).drop("salt")
-    totals = words.groupBy(F.col("lang").alias("__lang")).agg(F.sum("n").alias("total"))
-    # a value of lang with hardly any words is no language; so there are fewer references than LANGUAGE_SHARE, whatever the column holds
-    whole = totals.agg(F.sum("total").alias("__whole"))  # one row
-    totals = totals.crossJoin(F.broadcast(whole)).filter(F.col("total") * LANGUAGE_SHARE > F.col("__whole")).drop("__whole")
+    totals = words.groupBy(F.col("lang").alias("__lang")).agg(F.sum("n").alias("total")).filter(F.col("total") >= least_words)
     top = ranked.join(totals, F.col("lang").eqNullSafe(F.col("__lang"))).drop("nth", "__lang")
     classes = classes.join(totals.select("__lang"), F.col("lang").eqNullSafe(F.col("__lang")), "left_semi")
     return classes.unionByName(top)
@@ -160,6 +164,7 @@ class References:
     def __init__(self, rows: list):
         langs = sorted({r["lang"] for r in rows}, key=lambda x: (x is None, x or ""))
         place = {lang: i for i, lang in enumerate(langs)}
+        self.langs = langs
         self.chars = np.zeros((len(langs), len(CLASSES)))
         self.words: list[dict[bytes, int]] = [{} for _ in langs]
         counts: list[list[float]] = [[] for _ in langs]
@@ -176,9 +181,9 @@ class References:
         self.word_shares = [np.asarray([*c, t - sum(c)]) / max(t, 1) for c, t in zip(counts, totals, strict=True)]
         self.all_words = {w for x in self.words for w in x}
 
-    def distances(self, seen: np.ndarray, words: list[bytes]) -> tuple[float, float]:
-        """Character and word distance to the nearest language (by their sum)."""
-        best = (0.0, 0.0)
+    def distances(self, seen: np.ndarray, words: list[bytes]) -> tuple[float, float, str | None]:
+        """Character and word distance to the nearest language (by their sum), and that language."""
+        best = (0.0, 0.0, None)
         classes = seen @ BYTE_CLASS
         total, n = classes.sum(), len(words)
         if not len(self.words) or not total:
@@ -192,8 +197,8 @@ class References:
                     own[index[w]] = c
             own[-1] = n - own.sum()
             far = float(jensen_shannon(own / max(n, 1), self.word_shares[i])) if n else 0.0
-            if not i or near[i] + far < sum(best):
-                best = float(near[i]), far
+            if not i or near[i] + far < best[0] + best[1]:
+                best = float(near[i]), far, self.langs[i]
         return best
 
 
@@ -202,29 +207,47 @@ def accept(n_chars: int, n_words: int, chars: float, words: float) -> bool:
     return char_ok and (n_words < MIN_WORDS or words <= MAX_WORD_DISTANCE + WORD_SCATTER / n_words**0.5)
 
 
-RESULT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double"
+RESULT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double, nearest string"
 
 
 def _judge(known: References):
+    """Columns before the last stay as they are; the last is a text, which is judged."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in RESULT.split(", ")]
+        kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2 + [pa.string()]
+        names = [x.split()[0] for x in RESULT.split(", ")][1:]
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
+            for text in text_bytes(batch.columns[-1]):
                 words, seen = text.split(), byte_histogram(text)
                 base = base_counts(text, words, seen)
-                chars, far = known.distances(seen, words)
-                kept = not base[-1] and accept(base[1], base[0], chars, far)
-                rows.append((doc_id, *base, kept, chars, far))
+                chars, far, lang = known.distances(seen, words)
+                rows.append((*base, not base[-1] and accept(base[1], base[0], chars, far), chars, far, lang))
             columns = zip(*rows, strict=True) if rows else [()] * len(names)
-            kinds = [pa.int64()] * 6 + [pa.bool_()] * 2 + [pa.float64()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+            arrays = [*batch.columns[:-1], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:-1], *names])
 
     return run
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """Base counts, verdict and both distances of every document."""
-    known = References(references(docs).collect())  # COMMON words and ten classes for each language
-    rows = text_rows(docs)
-    return rows.mapInArrow(_judge(known), RESULT)
+def judge_in_groups(docs: DataFrame, known: DataFrame, groups: int) -> DataFrame:
+    """Judged by one group of languages after the other; the nearest of all decides, at equal distance the first by name."""
+    numbered = materialise(text_rows(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "judged_texts")
+    judged = None
+    for g in range(groups):
+        own = References(known.filter(F.pmod(F.xxhash64("lang"), F.lit(groups)) == g).collect())
+        if own.langs or (g == groups - 1 and judged is None):
+            part = materialise(numbered.mapInArrow(_judge(own), f"row long, {RESULT}"), "judged")
+            judged = part if judged is None else judged.unionByName(part)
+    order = F.struct(F.col("char_distance") + F.col("word_distance"), F.col("nearest").isNull(), "nearest")
+    columns = [x.split()[0] for x in RESULT.split(", ")]
+    return judged.groupBy("row").agg(F.min_by(F.struct(*columns), order).alias("x")).select("x.*")
+
+
+def judge(docs: DataFrame, reference_bytes: int = REFERENCE_BYTES) -> DataFrame:
+    """Base counts, verdict, both distances and the nearest language of every document."""
+    known = materialise(references(docs, least_words=MIN_REFERENCE_WORDS), "references")  # COMMON words and ten classes for each language
+    groups = -(-known.count() * ROW_BYTES // reference_bytes)
+    if groups > 1:
+        return judge_in_groups(docs, known, groups)
+    return text_rows(docs).mapInArrow(_judge(References(known.collect())), RESULT)
