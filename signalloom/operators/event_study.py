@@ -131,21 +131,39 @@ def tilt_test(table: DataFrame, high: str = "Q5", low: str = "Q1") -> DataFrame:
     return rows.mapInPandas(p_values, "horizon string, spread double, t_stat double, df long, p_value double").withColumn("stars", stars(F.col("p_value")))
 
 
-#: Weights of a Poisson bootstrap: a unit number below the n-th bound gives weight n (probabilities exp(-1) / n!).
-POISSON_BOUNDS = tuple(sum(math.exp(-1) / math.factorial(i) for i in range(n + 1)) for n in range(8))
+#: A unit number is drawn from so many hexadecimal digits of a hash.
+UNIT_DIGITS = 13
+#: Events are numbered within buckets of their hash's first digits.
+BUCKET_DIGITS = 3
+
+
+def numbered_events(legs: DataFrame) -> DataFrame:
+    """`legs` (quantile, x, event) with each event's place from 1 in its leg, in order of hash, and the leg's size. Places are
+    counted within buckets of the hash, before which come the sizes of the buckets before: no task orders a whole leg."""
+    rows = legs.withColumn("h", F.md5(F.col("event").cast("binary"))).withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS))
+    sizes = rows.groupBy("quantile", "bucket").count()
+    leg = Window.partitionBy("quantile")  # a row for each bucket
+    before = F.coalesce(F.sum("count").over(leg.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("quantile", "bucket", before.alias("before"), F.sum("count").over(leg).alias("size"))
+    nth = F.row_number().over(Window.partitionBy("quantile", "bucket").orderBy("h", "event"))
+    return rows.withColumn("nth", nth).join(sizes, ["quantile", "bucket"]).select("quantile", "x", "event", (F.col("before") + F.col("nth")).alias("place"), "size")
+
+
+def resampled(legs: DataFrame, draws: int = DRAWS) -> DataFrame:
+    """quantile, draw, n, mean: in every draw a leg of n events is n events drawn from it with replacement. Each event
+    draws one, by a hash of its name and the draw, so the result depends on nothing but the events and their names."""
+    numbered = numbered_events(legs)
+    slots = numbered.select("quantile", "event", "size", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    unit = F.conv(F.substring(F.md5(F.concat_ws(":", "event", "draw").cast("binary")), 1, UNIT_DIGITS), 16, 10).cast("double") / F.lit(16.0**UNIT_DIGITS)
+    chosen = slots.select("quantile", "draw", (F.floor(unit * F.col("size")) + 1).alias("place"))
+    values = numbered.select("quantile", "place", "x")
+    return chosen.join(values, ["quantile", "place"]).groupBy("quantile", "draw").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"))
 
 
 def bootstrap_spread(tilts: DataFrame, value: str = "tilt_long", high: str = "Q5", low: str = "Q1", draws: int = DRAWS, seed: int = SEED) -> DataFrame:
-    """D-63: 5% and 95% points of the mean spread over resampled events.
-
-    A Poisson bootstrap: in each draw an event counts as often as a Poisson number of mean 1, taken from a seeded hash of the
-    event and the draw, says. Events need no numbers and never meet: each task sums its own events for every draw, and only
-    those sums travel."""
-    legs = tilts.filter(F.col("quantile").isin(high, low)).select("quantile", F.col(value).alias("x"), F.concat_ws(":", F.lit(str(seed)), "qid", "data_date").alias("__event"))
-    spread = legs.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    unit = F.conv(F.substring(F.md5(F.concat_ws(":", "__event", "draw").cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
-    weight = sum((F.when(unit >= b, 1).otherwise(0) for b in POISSON_BOUNDS), F.lit(0))
-    weighted = spread.withColumn("w", weight)
-    mean = lambda q: safe_div(F.sum(F.when(F.col("quantile") == q, F.col("x") * F.col("w"))), F.sum(F.when(F.col("quantile") == q, F.col("w"))))
-    means = weighted.groupBy("draw").agg((mean(high) - mean(low)).alias("s"))
+    """D-63: 5% and 95% points of the mean spread over draws in which each leg is resampled to its own size."""
+    event = F.concat_ws(":", F.lit(str(seed)), "qid", "data_date")
+    legs = tilts.filter(F.col("quantile").isin(high, low) & F.col(value).isNotNull()).select("quantile", F.col(value).alias("x"), event.alias("event"))
+    side = lambda q: F.max(F.when(F.col("quantile") == q, F.col("mean")))
+    means = resampled(legs, draws).groupBy("draw").agg((side(high) - side(low)).alias("s"))
     return means.agg(F.percentile("s", F.lit(0.05)).alias("ci_low"), F.percentile("s", F.lit(0.95)).alias("ci_high"), F.count("s").alias("draws"))

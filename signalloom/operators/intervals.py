@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,10 +40,36 @@ def interval_overlaps(intervals: DataFrame) -> DataFrame:
     return intervals.withColumn("next_start", nxt).filter("next_start is not null and endDate >= next_start")
 
 
-def pit_join(sentiment: DataFrame, intervals: DataFrame) -> DataFrame:
-    """D-13: each observation with the weights valid on its day. An equality join on the entity; the dates are a residual."""
+def binned_pairs(left: DataFrame, right: DataFrame, on: Sequence[str], left_span: tuple[str, str], right_span: tuple[str, str], bin_days: int) -> DataFrame:
+    """The pairs of a key that share a time bin, each once: what `overlap_join` looks at. Bins are `bin_days` days long; a row
+    stands in every bin that its span touches, and a pair counts only in the first bin that both touch. Spans are cut to the
+    days on which the other side has anything, so that open ends cost no bins. A hot key is dealt by its bins."""
+    days = lambda df, span, a, b: df.agg(F.min(day(span[0])).alias(a), F.max(day(span[1])).alias(b))
+    bounds = days(left, left_span, "__la", "__lb").crossJoin(days(right, right_span, "__ra", "__rb"))  # one row
+    bounds = F.broadcast(bounds.select(F.greatest("__la", "__ra").alias("__from"), F.least("__lb", "__rb").alias("__to")))
+
+    def binned(df: DataFrame, span: tuple[str, str], first: str) -> DataFrame:
+        low, high = F.greatest(day(span[0]), F.col("__from")), F.least(day(span[1]), F.col("__to"))
+        there = df.crossJoin(bounds).filter((F.col(span[0]) <= F.col(span[1])) & (low <= high))
+        there = there.withColumns({first: F.floor(low / bin_days), "__last": F.floor(high / bin_days)})
+        return there.withColumn("__bin", F.explode(F.sequence(first, "__last"))).drop("__last", "__from", "__to")
+
+    met = binned(left, left_span, "__fl").join(binned(right, right_span, "__fr"), [*on, "__bin"])
+    return met.filter(F.col("__bin") == F.greatest("__fl", "__fr")).drop("__bin", "__fl", "__fr")
+
+
+def overlap_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_span: tuple[str, str], right_span: tuple[str, str], bin_days: int = 30) -> DataFrame:
+    """Interval join: the pairs of a key whose spans (first and last date, both included) share a day. The sides' other columns
+    have different names. Bins as long as the shorter spans keep what is looked at near what is found. Rows with a null bound
+    or a span that ends before it begins join with nothing."""
+    pairs = binned_pairs(left, right, on, left_span, right_span, bin_days)
+    return pairs.filter((F.col(left_span[0]) <= F.col(right_span[1])) & (F.col(right_span[0]) <= F.col(left_span[1])))
+
+
+def pit_join(sentiment: DataFrame, intervals: DataFrame, bin_days: int = 30) -> DataFrame:
+    """D-13: each observation with the weights valid on its day."""
     held = intervals.select("sectorId", F.col("qid").alias("id"), "startDate", "endDate", "weight")
-    joined = sentiment.join(held, "id").filter(F.col("date").between(F.col("startDate"), F.col("endDate")))
+    joined = overlap_join(sentiment, held, ["id"], ("date", "date"), ("startDate", "endDate"), bin_days)
     return joined.select("sectorId", "id", "documentid", "date", "sentiment", "weight", (F.col("sentiment") * F.col("weight")).alias("weighted_sentiment"))
 
 

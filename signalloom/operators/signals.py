@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalloom.functions.columns import average_rank, last_rows, over_days, safe_div, zscore
+from signalloom.functions.order_statistics import rolling_quantile
 from signalloom.operators.asof import asof_backward, asof_dates
 from signalloom.operators.calendars import daily_calendar, entity_grid, weekdays
 
@@ -77,10 +78,7 @@ def longterm_percentile(df: DataFrame, entity: str = "qid", date: str = "date",
     rolled = df.withColumn("long_ma", F.avg(value).over(over_days([entity], date, mean_days, "left")))
     ranked = rolled.withColumn("__rank", average_rank("long_ma", [date]))
     ranked = ranked.withColumn("percentile", safe_div(F.col("__rank"), F.max("__rank").over(Window.partitionBy(date))))
-    seen = F.array_sort(F.collect_list("percentile").over(over_days([entity], date, median_days, "right")))
-    ranked = ranked.withColumn("__seen", seen)
-    at = F.floor((F.size("__seen") - 1) * 0.5 + 0.5).cast("int")
-    ranked = ranked.withColumn("rolling_median", F.when(F.size("__seen") > 0, F.try_element_at("__seen", at + 1)))
+    ranked = rolling_quantile(ranked, [entity], date, "percentile", median_days, 0.5, "rolling_median")
     p = F.col("percentile")
     quintile = F.when(p <= 0.2, 1).when(p <= 0.4, 2).when(p <= 0.6, 3).when(p <= 0.8, 4).otherwise(5)
     ranked = ranked.withColumn("z", zscore("long_ma", [date]))

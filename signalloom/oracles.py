@@ -364,10 +364,10 @@ TILT_SIGNIFICANCE = TILTS + ", tw AS (" + TILT_TEST[len(TILTS) :] + """), pv AS
  list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * pow(1 + pow(abs(t_stat) * i / 2000, 2) / df, -(df + 1) / 2.0::DOUBLE)))) AS p_value FROM tw)
 SELECT *, CASE WHEN p_value < 0.01 THEN '***' WHEN p_value < 0.05 THEN '**' WHEN p_value < 0.10 THEN '*' ELSE '' END AS stars FROM pv"""
 BOOTSTRAP = TILTS + """, lg AS (SELECT quantile, tilt_long AS x, concat_ws(':', '42', qid::VARCHAR, data_date::VARCHAR) AS event FROM tl WHERE quantile IN ('Q1', 'Q5')),
-un AS (SELECT *, ('0x' || substr(md5(event || ':' || draw), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM lg CROSS JOIN (SELECT unnest(range(1, 501)) AS draw)),
-po AS (SELECT *, len(list_filter([{bounds}], lambda b: u >= b)) AS w FROM un),
-mn AS (SELECT draw, sum(x * w) FILTER (quantile = 'Q5') / nullif(sum(w) FILTER (quantile = 'Q5'), 0) - sum(x * w) FILTER (quantile = 'Q1') / nullif(sum(w) FILTER (quantile = 'Q1'), 0) AS s FROM po GROUP BY draw)
-SELECT quantile_cont(s, 0.05) AS ci_low, quantile_cont(s, 0.95) AS ci_high, count(s) AS draws FROM mn""".replace("{bounds}", ", ".join(f"{sum(math.exp(-1) / math.factorial(i) for i in range(n + 1))!r}::DOUBLE" for n in range(8)))
+nb AS (SELECT *, row_number() OVER (PARTITION BY quantile ORDER BY md5(event), event) AS place, count(*) OVER (PARTITION BY quantile) AS size FROM lg),
+un AS (SELECT quantile, draw, floor(('0x' || substr(md5(event || ':' || draw), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE * size)::BIGINT + 1 AS place FROM nb CROSS JOIN (SELECT unnest(range(1, 501)) AS draw)),
+mn AS (SELECT draw, avg(x) FILTER (quantile = 'Q5') - avg(x) FILTER (quantile = 'Q1') AS s FROM un JOIN nb USING (quantile, place) GROUP BY draw)
+SELECT quantile_cont(s, 0.05) AS ci_low, quantile_cont(s, 0.95) AS ci_high, count(s) AS draws FROM mn"""
 
 LEX = {"the": 0.2, "of": -0.1, "thing": 0.6, "that": -0.3, "stupid": -1.0, "worthless": -0.9, "der": 0.1, "die": -0.2, "und": 0.3, "de": 0.1, "la": -0.1, "que": 0.4, "les": 0.5, "con": -0.4, "end": -0.6}
 NEGATIONS = ("a", "in", "ist", "un", "el")
@@ -402,6 +402,19 @@ SIGNAL_GRID = {
     "exact": GRID.replace("{pick}", "(SELECT max(review_date) FROM lv WHERE lv.company_id = c.company_id AND review_date <= fr.signal_date AND review_date IN (SELECT signal_date FROM fr))"),
     "asof": GRID.replace("{pick}", "(SELECT max(review_date) FROM lv WHERE lv.company_id = c.company_id AND review_date <= fr.signal_date)"),
 }
+PATTERNS = {"policy": ("tion", "the th", "der", "que"), "hedge": HEDGES, "future": ("en ", "ará"), "past": ("ed", "ado", "st")}
+
+
+def _count(p: str) -> str:
+    return f"(length(wlb) - length(replace(wlb, '{p}', ''))) // {len(p)}"
+
+
+DENSITIES = ", pd AS (SELECT review_id, company_id, review_date, len(regexp_extract_all(wlb, '[^ \\t\\n\\x0B\\f\\r]+'))::BIGINT AS n_words, " + ", ".join("(" + " + ".join(map(_count, ps)) + f")::BIGINT AS {g}_count" for g, ps in PATTERNS.items()) + """ FROM reviews),
+de AS (SELECT *, """ + ", ".join(f"{g}_count / nullif(n_words, 0)::DOUBLE AS {g}_density" for g in PATTERNS) + ", future_count / nullif(past_count, 0)::DOUBLE AS orientation FROM pd)"
+PATTERN_DENSITY = DENSITIES + " SELECT review_id, n_words, " + ", ".join(f"{g}_count, {g}_density" for g in PATTERNS) + " FROM de"
+POLICY_SIGNALS = DENSITIES + """, rt AS (SELECT review_id, company_id, review_date, policy_density, orientation, policy_density / nullif(avg(policy_density) OVER h, 0) AS policy_ratio, orientation / nullif(avg(orientation) OVER h, 0) AS orientation_ratio FROM de
+ WINDOW h AS (PARTITION BY company_id ORDER BY review_date RANGE BETWEEN INTERVAL 730 DAYS PRECEDING AND INTERVAL 1 DAY PRECEDING))
+SELECT *, CASE WHEN policy_density IS NOT NULL THEN rank() OVER (PARTITION BY review_date ORDER BY policy_density NULLS LAST) + (count(*) OVER (PARTITION BY review_date, policy_density) - 1) / 2.0::DOUBLE END AS policy_rank FROM rt"""
 REVIEW_COLUMNS = ("wlb", "long_term_development", "reason_to_quit")
 
 
@@ -431,6 +444,8 @@ SELECT word, arg_max(m, k) AS score FROM f GROUP BY word"""
 #: The columns of each query that hold doubles, which twins round.
 DOUBLES = {
     "correlation_matrix": "correlation",
+    "pattern_density": "policy_density hedge_density future_density past_density",
+    "policy_signals": "policy_density orientation policy_ratio orientation_ratio policy_rank",
     "feature_screening": "ic",
     "entropy_engine": "word_entropy length_entropy filing_freq_entropy semantic_entropy word_entropy_rolling_mean word_entropy_rolling_std length_entropy_rolling_mean word_entropy_change length_entropy_change composite_entropy info_change_intensity info_complexity word_entropy_anomaly info_density info_volatility info_trend word_entropy_rank length_entropy_rank filing_freq_entropy_rank semantic_entropy_rank composite_entropy_rank info_change_intensity_rank info_complexity_rank info_density_rank info_volatility_rank info_trend_rank word_entropy_zscore length_entropy_zscore filing_freq_entropy_zscore semantic_entropy_zscore composite_entropy_zscore info_change_intensity_zscore info_complexity_zscore info_density_zscore info_volatility_zscore info_trend_zscore",
     "scalable_entropy_engine": "document_size_entropy avg_vocabulary_diversity std_vocabulary_diversity filing_punctuation_complexity filing_conjunction_complexity filing_avg_sentence_length filing_std_sentence_length approx_word_entropy entropy_rolling_mean entropy_rolling_std diversity_rolling_mean entropy_change_rate diversity_change_rate entropy_cross_rank diversity_cross_rank entropy_momentum diversity_momentum information_complexity information_change_intensity information_anomaly information_density information_momentum relative_complexity_position information_volatility information_complexity_rank information_change_intensity_rank information_anomaly_rank information_density_rank information_momentum_rank relative_complexity_position_rank information_volatility_rank information_complexity_robust_zscore information_change_intensity_robust_zscore information_anomaly_robust_zscore information_density_robust_zscore information_momentum_robust_zscore relative_complexity_position_robust_zscore information_volatility_robust_zscore",

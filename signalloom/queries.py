@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from signalloom import oracles as Q
 from signalloom.adapters import cte, frame
-from signalloom.operators import backtest, calendars, event_study, execution, filings, intervals, lexicon_sentiment, screening, semantic, signals, text_features
+from signalloom.operators import backtest, calendars, event_study, execution, filings, intervals, lexicon_sentiment, pattern_density, screening, semantic, signals, text_features
 from signalloom.operators.ewma import irregular_ewma
 from signalloom.plans import pipelines
 from signalloom.sources import lexicons
@@ -311,6 +311,22 @@ query("signal_grid_exact", "reviews", Q.SIGNAL_GRID["exact"])(lambda r: _grid(r,
 query("signal_grid_asof", "reviews", Q.SIGNAL_GRID["asof"])(lambda r: _grid(r, "asof"))
 
 
+def _densities(r, *keep):
+    return pattern_density.pattern_density(r("reviews"), "wlb", Q.PATTERNS, keep)
+
+
+query("pattern_density", "reviews", Q.PATTERN_DENSITY)(lambda r: _densities(r, "review_id"))
+
+
+@query("policy_signals", "reviews", Q.POLICY_SIGNALS)
+def _(r):
+    rows = pattern_density.temporal_orientation(_densities(r, "review_id", "company_id", "review_date"), "future_count", "past_count")
+    for value, out in (("policy_density", "policy_ratio"), ("orientation", "orientation_ratio")):
+        rows = pattern_density.against_history(rows, "company_id", "review_date", value, out)
+    rows = pattern_density.density_rank(rows, "review_date", "policy_density", "policy_rank")
+    return rows.select("review_id", "company_id", "review_date", "policy_density", "orientation", "policy_ratio", "orientation_ratio", "policy_rank")
+
+
 @query("review_pipeline", "review_texts", Q.REVIEW_PIPELINE)
 def _(r):
     reviews = r("review_texts")
