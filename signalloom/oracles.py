@@ -192,6 +192,14 @@ cur AS (SELECT q.qid, c.date, (SELECT max(nth) FROM nm WHERE nm.qid = q.qid AND
 SELECT c.qid, c.date, any_value(n.length) AS length, any_value(n.length) - arg_max(h.length, h.nth) AS diff_vs_previous, any_value(n.length) - avg(h.length) AS diff_vs_avg_previous
 FROM cur c LEFT JOIN nm n ON c.qid = n.qid AND c.nth = n.nth LEFT JOIN nm h ON h.qid = c.qid AND h.nth < c.nth AND h.date >= c.date - 180 GROUP BY c.qid, c.date"""
 
+ALL_DIFFERENCES = """, nm AS (SELECT qid, date, length, row_number() OVER w AS nth, sum(length) OVER w AS total, lag(length) OVER w AS before, lag(date) OVER w AS before_date FROM filings
+ WINDOW w AS (PARTITION BY qid ORDER BY date, length ROWS UNBOUNDED PRECEDING)),
+nd AS (SELECT qid, date, max(nth) AS nth, arg_max(length, nth) AS length, arg_max(total, nth) AS total, arg_max(before, nth) AS before, arg_max(before_date, nth) AS before_date FROM nm GROUP BY qid, date),
+gr AS (SELECT q.qid, c.date, c.date - 181 AS edge FROM (SELECT DISTINCT qid FROM filings) q CROSS JOIN (SELECT unnest(generate_series((SELECT min(date) FROM filings), (SELECT max(date) FROM filings), INTERVAL 1 DAY))::DATE AS date) c),
+cu AS (SELECT g.qid, g.date, g.edge, n.nth, n.length, n.total, n.before, n.before_date FROM gr g ASOF LEFT JOIN nd n ON g.qid = n.qid AND g.date >= n.date)
+SELECT c.qid, c.date, c.length, c.length - CASE WHEN c.before_date > c.edge THEN c.before END AS diff_vs_previous,
+ c.length - CASE WHEN c.nth - 1 - coalesce(o.nth, 0) > 0 THEN (c.total - c.length - coalesce(o.total, 0)) / (c.nth - 1 - coalesce(o.nth, 0)) END AS diff_vs_avg_previous
+FROM cu c ASOF LEFT JOIN nd o ON c.qid = o.qid AND c.edge >= o.date"""
 SECTION_LIST = """ SELECT id, date, section, array_to_string(list_transform(list_sort(list({'d': date, 's': section}) OVER w), lambda x: x.s), '|') AS sections
 FROM sections WINDOW w AS (PARTITION BY id ORDER BY date RANGE BETWEEN INTERVAL 180 DAYS PRECEDING AND CURRENT ROW)"""
 SECTION_DISTINCT = """ SELECT DISTINCT id, date, array_to_string(list_sort(list_distinct(list(section) OVER w)), '|') AS sections, count(section) OVER w AS total_count, len(list_distinct(list(section) OVER w)) AS unique_count

@@ -178,8 +178,7 @@ def _(r):
     return filings.signal_asof(r("reports").select("qid", "date").distinct(), filings.filing_delta_halfopen(r("filings")))
 
 
-# no twin: Q.DAILY_DIFFERENCES covers three months only; tests/test_goldens.py compares them
-query("daily_differences", "filings", None, 2)(lambda r: filings.daily_differences(r("filings")))
+query("daily_differences", "filings", Q.ALL_DIFFERENCES, 2)(lambda r: filings.daily_differences(r("filings")))
 _joined = lambda df: df.withColumn("sections", F.array_join("sections", "|"))
 query("rolling_sections_list", "sections", Q.SECTION_LIST)(lambda r: _joined(filings.rolling_sections_list(r("sections"))))
 query("rolling_sections_distinct", "sections", Q.SECTION_DISTINCT)(lambda r: _joined(filings.rolling_sections_distinct(r("sections"))))
