@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,10 +38,28 @@ def from_rows(spark: SparkSession, rows: Sequence[dict], schema: T.StructType |
     return spark.createDataFrame(list(rows), schema)
 
 
-def cache_result(df: DataFrame, path: str, key: str) -> DataFrame:
-    """Result cache named by the caller: computed and written once, then read. The key must name input and parameters."""
+def content_key(df: DataFrame, *parts: str) -> str:
+    """A name for what `df` computes: its schema, its canonical plan (in which names of expressions and their order do not
+    count), and path, length and time of change of every file that it reads; `parts` are the caller's own. A plan with Python functions is
+    known by those very function objects, so it is a new one in each session."""
     spark = df.sparkSession
-    target = f"{path.rstrip('/')}/{key}"
+    said = hashlib.sha256("\x00".join([str(df.semanticHash()), df.schema.json(), *parts]).encode())
+    hadoop, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    files = sorted(df.inputFiles())
+    for folder in sorted({f.rpartition("/")[0] for f in files}):
+        at = path(spark._jvm.java.net.URI(folder))
+        for found in sorted(f"{x.getPath()} {x.getLen()} {x.getModificationTime()}" for x in at.getFileSystem(hadoop).listStatus(at) if x.isFile()):
+            said.update(found.encode())
+    for f in files:  # which of a folder's files are read
+        said.update(f.encode())
+    return said.hexdigest()[:32]
+
+
+def cache_result(df: DataFrame, path: str, key: str = "") -> DataFrame:
+    """Result cache: computed and written once below `path`, then read while plan and input files stay what they were. A changed
+    file, parameter or `key` computes anew; what is no longer asked for stays until `clear_cache`."""
+    spark = df.sparkSession
+    target = f"{path.rstrip('/')}/{content_key(df, key)}"
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")
     if not jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
         df.write.mode("overwrite").parquet(target)

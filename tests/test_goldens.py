@@ -266,7 +266,7 @@ def test_result_cache_and_csv(spark, tmp_path):
     df = io.from_columns(spark, {"a": [1, 2], "b": ["x", None]}, "a long, b string")
     root = f"file://{tmp_path}/cache"
     assert io.cache_result(df, root, "k1").count() == 2
-    assert io.cache_result(df.limit(0), root, "k1").count() == 2
+    assert io.cache_result(df.limit(0), root, "k1").count() == 0
     assert io.cache_info(spark, root)["files"] > 0
     io.clear_cache(spark, root)
     assert io.cache_info(spark, root)["files"] == 0
@@ -274,6 +274,21 @@ def test_result_cache_and_csv(spark, tmp_path):
     assert io.read_csv(spark, f"{tmp_path}/csv", "a long, b string").orderBy("a").collect() == df.orderBy("a").collect()
 
 
+def test_result_cache_follows_plan_and_files(spark, tmp_path):
+    data, root = f"{tmp_path}/data", f"file://{tmp_path}/cache"
+    spark.range(10).coalesce(1).write.parquet(data)
+    asked = lambda limit: io.cache_result(spark.read.parquet(data).filter(F.col("id") < limit), root)
+    files = lambda: io.cache_info(spark, root)["files"]
+    assert asked(5).count() == 5
+    once = files()
+    assert asked(5).count() == 5 and files() == once  # an equal plan built anew reads
+    assert asked(6).count() == 6 and files() > once  # a changed parameter
+    twice = files()
+    spark.range(3).coalesce(1).write.mode("append").parquet(data)  # a changed input
+    assert asked(5).count() == 8 and files() > twice
+    assert io.cache_result(spark.read.parquet(data).filter(F.col("id") < 5), root, "other").count() == 8
+
+
 def test_streaming_windows(spark, tmp_path):
     schema = "ts timestamp, sectorId string, sentiment double, weight double, weighted_sentiment double"
     frame(spark, [(dt.datetime(2024, 1, 10), "s", 0.5, 2.0, 1.0)], schema).write.parquet(f"{tmp_path}/in")

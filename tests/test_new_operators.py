@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from signalloom.functions.order_statistics import BASE, rolling_quantile
-from signalloom.operators import event_study, intervals, pattern_density, signals
+from signalloom.operators import calendars, event_study, intervals, pattern_density, semantic, signals
 
 DAY0 = dt.date(2020, 1, 1)
 
@@ -116,3 +116,28 @@ def test_every_draw_has_the_size_of_its_leg(spark):
         means = np.asarray([r["mean"] for r in got if r.quantile == leg])
         assert abs(means.mean() - x.mean()) < 4 * x.std() / math.sqrt(len(x) * 200)
         assert 0.8 < means.std() / (x.std() / math.sqrt(len(x))) < 1.2
+
+
+@pytest.mark.parametrize("part", [1, 3, 7])
+def test_components_by_parts_equal_those_of_one_task(spark, part, monkeypatch):
+    rng = random.Random(9)
+    words = ["alpha", "été", "gamma", "delta9", "omega", "zeta", "kappa", "übung", "x_y"]
+    rows = [(f"q{rng.randint(0, 40)}", after(rng.randint(0, 30)), " ".join(rng.choice(words[: 2 + k % 8]) for _ in range(5))) for k in range(160)]
+    rows += [("alone", after(200), "alpha beta"), ("two", after(400), "same words"), ("three", after(400), "other text"), ("empty", after(5), "")]
+    sentences = spark.createDataFrame(rows, "qid string, date date, sentence string")
+    dates = calendars.daily_calendar(sentences).filter("date <= '2020-01-20' or date = '2020-07-19' or date = '2021-02-04'")
+    run = lambda **more: {(r.date, r.qid): r for r in semantic.rolling_components(sentences, dates, max_features=15, lookback_days=20, **more).collect()}
+    monkeypatch.setattr(semantic, "PART_SUMS", 4)
+    whole, parts = run(), run(part_entities=part)
+    assert whole.keys() == parts.keys() and {r.status for r in whole.values()} == {"success", "insufficient_data", "pca_failed"}
+    for at, r in whole.items():
+        o = parts[at]
+        assert (r.status, r.n_qids) == (o.status, o.n_qids)
+        for a, b in ((r.pc_1, o.pc_1), (r.pc_2, o.pc_2)):
+            assert (a is None) == (b is None) and (a is None or abs(a - b) < 1e-7), (at, r, o)
+
+
+def test_words_are_letters_digits_and_underscores_of_any_script(spark):
+    df = spark.createDataFrame([(1, "Élan 3D x a1_b, über-Maß; 日本 the")], "k int, t string")
+    got = {r.term for r in semantic.terms(df, "t", ["k"]).collect()}
+    assert {"élan", "3d", "a1_b", "über", "maß", "日本", "élan 3d"} <= got and "x" not in got and "the" not in got
