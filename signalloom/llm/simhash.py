@@ -53,6 +53,8 @@ SEGMENT_BITS = 24
 LONG_SEGMENTS = LONG_WORDS * 64 // SEGMENT_BITS
 LONG_DISTANCE = 34
 SHIFTS = 32
+#: Fingerprints of one key that a task links at once; a larger key is dealt into chunks of that many.
+FULL = 4096
 
 
 def shingle_hashes(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -359,26 +361,91 @@ def bucket_links(key: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.nd
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
 
 
-def _meeting_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key; the last key of a batch may go on in the next."""
-    rest_key, rest = np.zeros(0, dtype=np.int32), np.zeros((0, LONG_WORDS), dtype=np.uint64)
+#: Columns of what a task returns: a link (u, v), or with `full` a row of a key that is too large for a task, its key in place of v's first word.
+LINKED = ("full", *(f"{side}{p}" for side in "uv" for p in PRINT))
 
-    def out(key, prints):
+
+def _meeting_links(full: int):
+    """Rows come sorted by key; the last key of a batch may go on in the next. A key of more than `full` rows is not linked
+    but handed on row by row, so a task holds no more of a key than that and a batch."""
+
+    def out(of_full: bool, pairs: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array(np.ascontiguousarray(pairs[:, k]).view(np.int64)) for k in range(2 * LONG_WORDS)]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), of_full)), *columns], names=list(LINKED))
+
+    def handed_on(key: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
+        rows = np.zeros((len(key), 2 * LONG_WORDS), dtype=np.uint64)
+        rows[:, :LONG_WORDS], rows[:, LONG_WORDS] = prints, key.astype(np.int64).view(np.uint64)
+        return out(True, rows)
+
+    def linked(key: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
         i, j = bucket_links(key, prints)
-        pairs = np.unique(np.concatenate([prints[i], prints[j]], axis=1), axis=0) if len(i) else np.zeros((0, 2 * LONG_WORDS), dtype=np.uint64)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k]).view(np.int64)) for k in range(2 * LONG_WORDS)], names=[f"{side}{p}" for side in "uv" for p in PRINT])
+        return out(False, np.unique(np.concatenate([prints[i], prints[j]], axis=1), axis=0) if len(i) else np.zeros((0, 2 * LONG_WORDS), dtype=np.uint64))
 
-    for batch in batches:
-        if batch.num_rows:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest_key, rest, over = np.zeros(0, dtype=np.int32), np.zeros((0, LONG_WORDS), dtype=np.uint64), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
             key = np.concatenate([rest_key, batch.column(0).to_numpy()])
             prints = np.concatenate([rest, np.stack([batch.column(1 + k).to_numpy() for k in range(LONG_WORDS)], axis=1).view(np.uint64)])
-            cut = int(np.searchsorted(key, key[-1]))  # where the last key begins
-            yield out(key[:cut], prints[:cut])
-            rest_key, rest = key[cut:], prints[cut:]
-    yield out(rest_key, rest)
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            sizes = np.diff(np.append(starts, len(key)))
+            last = key[-1]
+            large = np.repeat((sizes > full) | (key[starts] == over), sizes)
+            if large.any():
+                yield handed_on(key[large], prints[large])
+            over = last if large[-1] else None
+            open_key = (key == last) & ~large  # may go on in the next batch
+            closed = ~large & ~open_key
+            yield linked(key[closed], prints[closed])
+            rest_key, rest = key[open_key], prints[open_key]
+        yield linked(rest_key, rest)
+
+    return run
 
 
-def similar_groups(docs: DataFrame) -> DataFrame:
+def _full_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links within groups (key, one, two) of at most two chunks; rows come sorted by group."""
+    held: list[np.ndarray] = []
+    group = None
+
+    def linked():
+        prints = np.concatenate(held)
+        i, j = bucket_links(np.zeros(len(prints), dtype=np.int32), prints)
+        pairs = np.concatenate([prints[i], prints[j]], axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k]).view(np.int64)) for k in range(2 * LONG_WORDS)], names=list(LINKED[1:]))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
+        prints = np.stack([batch.column(3 + k).to_numpy() for k in range(LONG_WORDS)], axis=1).view(np.uint64)
+        starts = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]).any(1)]))
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(at)], strict=True):
+            if group is not None and tuple(at[a]) != group:
+                yield linked()
+                held = []
+            group = tuple(at[a])
+            held.append(prints[a:b])
+    if held:
+        yield linked()
+
+
+def full_key_links(rows: DataFrame, chunk: int) -> DataFrame:
+    """Links among the rows (key, fingerprint) of keys too large for a task: a key's rows are dealt into chunks of about `chunk` by
+    a hash, and every two chunks meet in a task of their own. What connects a key's fingerprints connects them here, too, as
+    each pair is together in some task."""
+    sizes = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("long").alias("chunks"))
+    own = rows.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64(*PRINT), F.col("chunks")))
+    met = own.select("key", *PRINT, "own", "chunks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
+    met = met.filter("own != other or chunks = 1")  # of several chunks, each meets itself when it meets another
+    met = met.select("key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), *PRINT)
+    schema = ", ".join(f"{c} long" for c in LINKED[1:])
+    return met.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", *PRINT).mapInArrow(_full_links, schema)
+
+
+def similar_groups(docs: DataFrame, full: int = FULL) -> DataFrame:
     """doc_id, digest, component (struct of doc_id and digest): every document with the first one of its group of near copies.
 
     Documents are near copies when the fingerprints of their LONG_SHINGLE-word shingles differ in at most LONG_DISTANCE of
@@ -389,8 +456,12 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     first = rows.groupBy(*PRINT).agg(F.min(F.struct("doc_id", "digest")).alias("first"))
     prints = materialise(first.withColumn("node", F.monotonically_increasing_id()), "long_nodes")
     met = prints.select(*PRINT).mapInArrow(_meetings, "key int, " + ", ".join(f"{p} long" for p in PRINT))
-    schema = ", ".join(f"{side}{p} long" for side in "uv" for p in PRINT)
-    linked = materialise(met.repartition("key").sortWithinPartitions("key", *PRINT).mapInArrow(_meeting_links, schema).distinct(), "long_links")
+    schema = "full boolean, " + ", ".join(f"{c} long" for c in LINKED[1:])
+    found = materialise(met.repartition("key").sortWithinPartitions("key", *PRINT).mapInArrow(_meeting_links(full), schema).distinct(), "long_links")
+    linked, large = found.filter("not full").drop("full"), found.filter("full")
+    if not large.isEmpty():
+        crowded = large.select(F.col(f"v{PRINT[0]}").alias("key"), *[F.col(f"u{p}").alias(p) for p in PRINT])
+        linked = materialise(linked.unionByName(full_key_links(crowded, full)).distinct(), "long_links")
     named = lambda side: prints.select(*[F.col(p).alias(f"{side}{p}") for p in PRINT], F.col("node").alias(side))
     edges = linked.join(named("u"), [f"u{p}" for p in PRINT]).join(named("v"), [f"v{p}" for p in PRINT]).select("u", "v")
     roots = connected_components(edges)
