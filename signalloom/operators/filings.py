@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalloom.functions.columns import day, over_days, safe_div
 from signalloom.operators.asof import asof_backward
 from signalloom.operators.calendars import daily_calendar, entity_grid, weekdays
+from signalloom.operators.intervals import overlap_join
+
+#: Length of the time bins in which days meet the stretches that hold them.
+SECTION_BIN_DAYS = 90
 
 
 def _event_stream(filings: DataFrame, leave_after: int, frame_days: int, keep_repeats: bool) -> DataFrame:
@@ -76,37 +80,57 @@ def rolling_sections_list(sections: DataFrame, days: int = 180) -> DataFrame:
     return rows.select("id", "date", "section", F.col("__all.section").alias("sections"))
 
 
+def _stretches(facts: DataFrame, last: Column) -> DataFrame:
+    """(id, date, sections, total_count): what a window holds from `date` on until the next row of its id. A fact stands in the
+    windows of its day to `last`.
+
+    The days on which a section is there merge into stretches; a set is built only where one of these begins or ends, from the
+    stretches that hold that day; the number of facts is a running sum of what enters and leaves."""
+    spans = facts.select("id", "section", F.col("date").alias("from"), last.alias("to"))
+    own = Window.partitionBy("id", "section").orderBy("from")
+    begins = F.coalesce(F.col("from") > F.date_add(F.max("to").over(own.rowsBetween(Window.unboundedPreceding, -1)), 1), F.lit(True))
+    islands = spans.distinct().withColumn("island", F.sum(begins.cast("int")).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    stretches = islands.groupBy("id", "section", "island").agg(F.min("from").alias("from"), F.max("to").alias("to")).drop("island")
+    moves = F.array(F.struct(F.col("from").alias("at"), F.lit(1).alias("n")), F.struct(F.date_add("to", 1).alias("at"), F.lit(-1).alias("n")))
+    points = spans.select("id", F.inline(moves)).groupBy("id", "at").agg(F.sum("n").alias("n"))
+    points = points.withColumn("total_count", F.sum("n").over(Window.partitionBy("id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))).drop("n")
+    held = overlap_join(points.select("id", "at"), stretches, ["id"], ("at", "at"), ("from", "to"), SECTION_BIN_DAYS)
+    sets = held.groupBy("id", "at").agg(F.array_sort(F.collect_set("section")).alias("sections"))
+    none = F.array().cast("array<string>")
+    return points.join(sets, ["id", "at"], "left").select("id", F.col("at").alias("since"), F.coalesce("sections", none).alias("sections"), "total_count")
+
+
+def _on_days(days: DataFrame, facts: DataFrame, last: Column) -> DataFrame:
+    """The (id, date) rows of `days` with the sections of their window, in order, their number, and the number of facts."""
+    found = asof_backward(days, _stretches(facts, last), ["id"], "date", "since", ["sections", "total_count"])
+    none = F.array().cast("array<string>")
+    found = found.select("id", "date", F.coalesce("sections", none).alias("sections"), F.coalesce("total_count", F.lit(0)).cast("long").alias("total_count"))
+    return found.withColumn("unique_count", F.size("sections"))
+
+
 def rolling_sections_distinct(sections: DataFrame, days: int = 180) -> DataFrame:
     """D-35b, c and D-37: per (id, date), the distinct sections of the window in order, their number, and the number of rows."""
-    frame = over_days(["id"], "date", days, "both")
-    rows = sections.filter("section is not null").select("id", "date", F.array_sort(F.collect_set("section").over(frame)).alias("sections"), F.count("section").over(frame).alias("total_count"))
-    return rows.distinct().withColumn("unique_count", F.size("sections"))
+    facts = sections.filter("section is not null")
+    return _on_days(facts.select("id", "date").distinct(), facts, F.date_add("date", days))
 
 
 def rolling_sections_grid(sections: DataFrame, days: int = 180, per_entity: bool = False) -> DataFrame:
     """D-36: the same on business days, between the global or each entity's first and last date; days without any are left out."""
-    facts = sections.filter("section is not null").select("id", "date", "section", F.lit(False).alias("__grid"))
-    if per_entity:
-        grid = weekdays(daily_calendar(facts, "date", ["id"]))
-    else:
-        grid = entity_grid(facts, ["id"], weekdays(daily_calendar(facts)))
-    grid = grid.select("id", "date", F.lit(None).cast("string").alias("section"), F.lit(True).alias("__grid"))
-    frame = over_days(["id"], "date", days, "both")
-    rows = facts.unionByName(grid).withColumns({"sections": F.array_sort(F.collect_set("section").over(frame)), "total_count": F.count("section").over(frame)})
-    return rows.filter("__grid and total_count > 0").select("id", "date", "sections", "total_count", F.size("sections").alias("unique_count"))
+    facts = sections.filter("section is not null").select("id", "date", "section")
+    grid = weekdays(daily_calendar(facts, "date", ["id"])) if per_entity else entity_grid(facts, ["id"], weekdays(daily_calendar(facts)))
+    return _on_days(grid.select("id", "date"), facts, F.date_add("date", days)).filter("total_count > 0")
 
 
 def rolling_sections_months(sections: DataFrame, months: int = 6) -> DataFrame:
     """D-38: calendar months instead of days, on the business days of the whole calendar, empty lists kept.
 
-    The window's length in days varies with the month, so the frame is the longest one possible, filtered per row."""
-    facts = sections.filter("section is not null").select("id", "date", "section", F.lit(False).alias("__grid"))
-    grid = entity_grid(facts, ["id"], weekdays(daily_calendar(facts))).select("id", "date", F.lit(None).cast("string").alias("section"), F.lit(True).alias("__grid"))
-    frame = over_days(["id"], "date", 31 * months, "both")
-    seen = F.collect_set(F.when(F.col("section").isNotNull(), F.struct("date", "section"))).over(frame)
-    rows = facts.unionByName(grid).withColumn("__seen", seen).filter("__grid").withColumn("__from", F.add_months("date", -months))
-    inside = F.filter("__seen", lambda x: x["date"] >= F.col("__from"))
-    return rows.select("id", "date", F.array_sort(F.array_distinct(F.transform(inside, lambda x: x["section"]))).alias("sections")).withColumn("unique_count", F.size("sections"))
+    The windows that hold a day end with the last day that is no more than so many months later: the same day of the month, or
+    where the day ends its month, the end of that month."""
+    facts = sections.filter("section is not null").select("id", "date", "section")
+    grid = entity_grid(facts, ["id"], weekdays(daily_calendar(facts))).select("id", "date")
+    later = F.add_months("date", months)
+    last = F.when(F.col("date") == F.last_day("date"), F.last_day(later)).otherwise(later)
+    return _on_days(grid, facts, last).drop("total_count")
 
 
 def window_labels(rows: DataFrame, window_days: int = 90, key: str = "qid", date: str = "date") -> DataFrame:
