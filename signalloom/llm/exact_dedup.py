@@ -5,7 +5,7 @@ the shuffle), anti-joined with the index by sort-merge, and the digests that are
 of the text's UTF-8 bytes; a null text counts as empty. Texts are read and hashed once; all else works on (id, digest). Rows
 find their group without a shuffle where a digest holds many of them (`join_groups`).
 
-Cases: an empty table gives an empty result; equal texts form one group whatever their other columns; the row with the
+Cases: an empty table gives an empty result; very long texts are hashed whole; equal texts form one group whatever their other columns; the row with the
 largest doc_id of a group stays (a null id is smaller than any other); rows that repeat both id and text are one document
 and share its verdict; columns besides doc_id and text are ignored, so their names never clash. A digest that an earlier
 batch stored keeps its first holder, so all rows of a later batch with that digest are dropped.

@@ -10,7 +10,7 @@ Every use leaves some length with less than the pattern needs, so the plan has a
 Pieces then find their place by rank among pieces of their length: a distributed running count, and a binary search in the
 plan, whose size is bounded by the window (it is what the tasks carry along, whatever the input).
 
-Cases: null and empty texts are the end id alone; rows that repeat an id are packed as documents of their own; an empty
+Cases: null and empty texts are the end id alone; very long texts are cut into as many windows as they fill; rows that repeat an id are packed as documents of their own; an empty
 table gives an empty result; ties of length are ordered by (hash, id, start); columns besides doc_id and text are ignored.
 """
 

@@ -8,7 +8,7 @@ turned into a probability by isotonic regression on a histogram of the training
 Labels are read from the rows whose fold is not 0 and serve for nothing else; lang, source and doc_id are no inputs. The model
 is fitted to at most about TRAINING_ROWS of them, chosen by hash of the id.
 
-Cases: null and empty texts have all-zero statistics and get a score like any other; without labelled rows, or with labels
+Cases: very long texts are measured whole; rows of equal statistics get equal scores, so ties decide nothing; null and empty texts have all-zero statistics and get a score like any other; without labelled rows, or with labels
 of one kind only, every score is that share (one half if there is none); repeated rows get equal scores; a doc_id with more
 than one label takes the smallest; an empty table gives an empty result; columns besides doc_id and text are ignored.
 """

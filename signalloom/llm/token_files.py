@@ -8,7 +8,7 @@ documents decodes a few pages, and a reader of metadata never touches the ids.
 `offset` counts the ids of earlier documents in the same file part; the position in the whole corpus adds the totals of
 earlier parts, of which there is one number per file.
 
-Cases: a null text is empty and has the end id only; a null doc_id sorts first; rows that repeat an id are ordered by text
+Cases: very long texts are one row with all their ids; a null text is empty and has the end id only; a null doc_id sorts first; rows that repeat an id are ordered by text
 and all kept; an empty table gives files without rows; columns besides doc_id and text are ignored.
 """
 

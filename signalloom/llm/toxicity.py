@@ -1,7 +1,7 @@
 """Toxicity by weak supervision: voters, a generative label model, and a linear classifier on its posteriors.
 
 Voters. Some are fixed (a short list of insults, shouting); the lexicons of the others (whole words and word beginnings that
-occur almost only in texts marked toxic) are mined from at most MINING_ROWS labelled documents whose fold is not 0. Each
+occur almost only in texts marked toxic: all with MIN_SUPPORT and MIN_PRECISION) are mined from at most MINING_ROWS labelled documents whose fold is not 0. Each
 voter says yes or no to every document.
 
 Label model. The votes of all documents of the training folds are counted by pattern (at most 2 ** voters of them). The
@@ -13,7 +13,8 @@ evidence for it, and in the clean class a yes is taken to be rare (CLEAN_YES, wo
 Classifier. Logistic regression over hit counts and rates, fitted to the posteriors of all documents of the training folds
 by Newton steps whose sums are taken over partitions.
 
-Cases: null and empty texts have no hits and get a score like any other; without labels only the fixed voters can say yes;
+Cases: null and empty texts have no hits and get a score like any other; very long texts are looked at whole; units of equal
+support are all kept, so ties decide nothing; without labels only the fixed voters can say yes;
 repeated rows get equal scores; a doc_id with several labels takes the largest; an empty table gives an empty result;
 columns besides doc_id and text are ignored.
 """
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalloom.llm.common import fold, materialise, text_rows
@@ -35,7 +36,6 @@ from signalloom.llm.linear import matrix, partition_sums
 FOLDS = 5
 THRESHOLD = 0.5
 MINING_ROWS = 40_000
-LEXICON_SIZE = 4_000
 MIN_SUPPORT = 4
 MIN_PRECISION = 0.75
 HELD_UNITS = 300_000
@@ -106,9 +106,9 @@ def mine_lexicons(docs: DataFrame, labels: DataFrame, rows: int = MINING_ROWS) -
     counted = joined.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(_mine, "kind int, unit string, toxic long, clean long")
     summed = counted.groupBy("kind", "unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     strong = summed.filter((F.col("toxic") >= MIN_SUPPORT) & (F.col("toxic") / (F.col("toxic") + F.col("clean") + 0.5) >= MIN_PRECISION))
-    best = Window.partitionBy("kind").orderBy(F.col("toxic").desc(), "unit")
-    rows = strong.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= LEXICON_SIZE).select("kind", "unit").collect()
-    return [frozenset(r["unit"] for r in rows if r["kind"] == i) for i in range(len(KINDS))]
+    # every unit of support and precision; what the rows of the sample hold, by MIN_SUPPORT, bounds their number at any size of the corpus
+    found = strong.select("kind", "unit").collect()
+    return [frozenset(r["unit"] for r in found if r["kind"] == i) for i in range(len(KINDS))]
 
 
 class Voters:
