@@ -44,6 +44,9 @@ RELATIONS: dict[str, str] = {
     "market_returns": "SELECT CAST(l_shipdate AS DATE) AS date, round((avg(l_discount) - 0.05) / 5.0 + 0.00000000001, 8) AS mkt_ret FROM {lineitem} GROUP BY CAST(l_shipdate AS DATE)",
     "event_signals": """SELECT c_nationkey AS qid, CAST(o_orderdate AS DATE) AS date, max(o_totalprice) AS value, CAST(date_trunc('month', o_orderdate) AS DATE) AS data_date
         FROM {orders} JOIN {customer} ON o_custkey = c_custkey GROUP BY c_nationkey, CAST(o_orderdate AS DATE), CAST(date_trunc('month', o_orderdate) AS DATE)""",
+    "sector_panel": """SELECT c_mktsegment AS sector, c_nationkey AS qid, CAST(date_trunc('month', o_orderdate) AS DATE) AS date, round(avg(o_totalprice) / 100000.0 - 1.5 + 0.000000001, 6) AS value
+        FROM {orders} JOIN {customer} ON o_custkey = c_custkey GROUP BY c_mktsegment, c_nationkey, CAST(date_trunc('month', o_orderdate) AS DATE)""",
+    "delays": """SELECT o_custkey AS qid, o_orderkey AS document_id, CAST(o_orderdate AS DATE) AS date, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS period_end FROM {orders}""",
     "panel_values": """SELECT c_nationkey AS qid, CAST(date_trunc('month', o_orderdate) AS DATE) AS date, round(avg(o_totalprice) + 0.0001, 2) AS value, round(sum(o_totalprice) + 0.0001, 2) AS weight
         FROM {orders} JOIN {customer} ON o_custkey = c_custkey GROUP BY c_nationkey, CAST(date_trunc('month', o_orderdate) AS DATE)""",
     "review_texts": """SELECT doc_id AS review_id, source AS company_id, lang AS sector, DATE '2020-01-01' + CAST(doc_id * 13 % 700 AS INT) AS review_date, text AS wlb,

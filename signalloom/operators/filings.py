@@ -144,7 +144,7 @@ def window_labels(rows: DataFrame, window_days: int = 90, key: str = "qid", date
 
 
 def filing_delay(filings: DataFrame, period_end: str = "period_end", filed: str = "date") -> DataFrame:
-    """Days from the end of the period to the filing, against the entity's own average before."""
-    w = Window.partitionBy("qid").orderBy(filed).rowsBetween(Window.unboundedPreceding, -1)
+    """Days from the end of the period to the filing, against the entity's own average over the filings of earlier days."""
+    w = Window.partitionBy("qid").orderBy(day(filed)).rangeBetween(Window.unboundedPreceding, -1)
     rows = filings.withColumn("delay", F.datediff(filed, period_end))
     return rows.withColumn("relative_delay", safe_div(F.col("delay"), F.avg("delay").over(w)))

@@ -229,6 +229,17 @@ CROSS_SECTION = """, s AS (SELECT *, weight / nullif(sum(weight) OVER (PARTITION
 SELECT date, sum(sh * value) AS index_value, stddev_samp(value) AS dispersion, max(value) - min(value) AS spread, sum(sh * sh) AS hhi, count(*) FILTER (value > 0) / count(*) AS breadth, count(value) / count(*) AS coverage FROM s GROUP BY date"""
 MOMENTUM = " SELECT qid, date, value, value - avg(value) OVER (PARTITION BY qid ORDER BY date RANGE BETWEEN INTERVAL 120 DAYS PRECEDING AND INTERVAL 1 DAY PRECEDING) AS momentum FROM panel_values"
 
+SECTOR_DAYS = """, sd AS (SELECT sector, date, avg(value) AS signal, stddev_samp(value) AS spread, count(*) FILTER (value > 0) / count(value)::DOUBLE AS breadth FROM sector_panel WHERE value IS NOT NULL GROUP BY ALL)"""
+DISPERSION = SECTOR_DAYS + " SELECT date, avg(spread) AS within, stddev_samp(signal) AS cross, count(*) AS n_sectors, avg(spread) / nullif(stddev_samp(signal), 0) AS ratio FROM sd GROUP BY date".replace(" AS cross", ' AS "cross"')
+DIVERGENCE = SECTOR_DAYS + """, ix AS (SELECT date, v - avg(v) OVER (ORDER BY date RANGE BETWEEN INTERVAL 90 DAYS PRECEDING AND INTERVAL 1 DAY PRECEDING) AS index_momentum FROM (SELECT date, avg(value) AS v FROM sector_panel GROUP BY date)),
+mo AS (SELECT sector, date, signal - avg(signal) OVER (PARTITION BY sector ORDER BY date RANGE BETWEEN INTERVAL 90 DAYS PRECEDING AND INTERVAL 1 DAY PRECEDING) AS momentum FROM sd)
+SELECT sector, date, momentum, index_momentum, momentum - index_momentum AS divergence FROM mo JOIN ix USING (date)"""
+BREADTH_INDEX = SECTOR_DAYS + " SELECT date, sum(signal * breadth) AS index_signal, sum(signal * breadth) / nullif(sum(breadth), 0) AS normalised FROM sd GROUP BY date"
+PRECISION = r""", pn AS (SELECT sector, review_date AS date, sum(len(regexp_extract_all(wlb, '[0-9]+([.,][0-9]+)*')))::BIGINT AS n_numbers, sum(len(regexp_extract_all(wlb, '[^ \t\n\x0B\f\r]+')))::BIGINT AS n_words FROM reviews GROUP BY ALL),
+pd AS (SELECT *, n_numbers / nullif(n_words, 0)::DOUBLE AS density FROM pn)
+SELECT *, CASE WHEN density IS NOT NULL THEN rank() OVER (PARTITION BY date ORDER BY density DESC NULLS LAST) + (count(*) OVER (PARTITION BY date, density) - 1) / 2.0::DOUBLE END AS precision_rank FROM pd"""
+FILING_DELAY = """, dl AS (SELECT qid, document_id, date, period_end, (date - period_end)::INTEGER AS delay FROM delays)
+SELECT *, delay / nullif(avg(delay) OVER (PARTITION BY qid ORDER BY date RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING), 0) AS relative_delay FROM dl"""
 CLEAN = r""", pp AS (SELECT *, trim(regexp_replace(regexp_replace(lower(sentence_text), '[^a-zA-Z\s]', ' ', 'g'), '\s+', ' ', 'g')) AS clean_text FROM sentences),
 pw AS (SELECT *, len(string_split(clean_text, ' ')) AS word_count FROM pp),
 wd AS (SELECT qid, filing_date, unnest(string_split(clean_text, ' ')) AS word FROM pp)"""
@@ -452,6 +463,11 @@ SELECT word, arg_max(m, k) AS score FROM f GROUP BY word"""
 #: The columns of each query that hold doubles, which twins round.
 DOUBLES = {
     "correlation_matrix": "correlation",
+    "dispersion_structure": "within \"cross\" ratio",
+    "momentum_divergence": "momentum index_momentum divergence",
+    "breadth_index": "index_signal normalised",
+    "precision_ranking": "density precision_rank",
+    "filing_delay": "relative_delay",
     "pattern_density": "policy_density hedge_density future_density past_density",
     "policy_signals": "policy_density orientation policy_ratio orientation_ratio policy_rank",
     "feature_screening": "ic",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from signalloom import oracles as Q
 from signalloom.adapters import cte, frame
-from signalloom.operators import backtest, calendars, event_study, execution, filings, intervals, lexicon_sentiment, pattern_density, screening, semantic, signals, text_features
+from signalloom.operators import backtest, calendars, event_study, execution, filings, intervals, lexicon_sentiment, market_structure, pattern_density, screening, semantic, signals, text_features
 from signalloom.operators.ewma import irregular_ewma
 from signalloom.plans import pipelines
 from signalloom.sources import lexicons
@@ -198,6 +198,12 @@ query("longterm_percentile", "panel_values", Q.LONGTERM)(lambda r: signals.longt
 query("cross_section_summary", "panel_values", Q.CROSS_SECTION, 4)(lambda r: signals.cross_section_summary(r("panel_values"), ["date"]))
 query("momentum", "panel_values", Q.MOMENTUM, 4)(lambda r: signals.momentum(r("panel_values").drop("weight"), days=120))
 
+query("dispersion_structure", "sector_panel", Q.DISPERSION)(lambda r: market_structure.dispersion_structure(r("sector_panel")))
+query("momentum_divergence", "sector_panel", Q.DIVERGENCE)(lambda r: market_structure.momentum_divergence(r("sector_panel"), 90))
+query("breadth_index", "sector_panel", Q.BREADTH_INDEX)(lambda r: market_structure.breadth_weighted_index(r("sector_panel")))
+query("precision_ranking", "reviews", Q.PRECISION)(lambda r: market_structure.precision_ranking(r("reviews").withColumnRenamed("review_date", "date"), "wlb"))
+query("filing_delay", "delays", Q.FILING_DELAY)(lambda r: filings.filing_delay(r("delays")))
+
 # --- text features
 
 
