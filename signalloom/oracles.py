@@ -154,6 +154,13 @@ path AS (SELECT 0::BIGINT AS k, NULL::DATE AS date, MAP {}::MAP(VARCHAR, DOUBLE)
    (SELECT y.key, y.v, sum(y.v) OVER () AS t FROM (SELECT e.key AS key, CASE WHEN abs(e.value - coalesce(p.w[e.key], 0)) > 0.02 THEN e.value ELSE coalesce(p.w[e.key], 0) END AS v
      FROM (SELECT unnest(map_entries(d.w)) AS e)) y) x) FROM path p JOIN days d ON d.k = p.k + 1)
 SELECT date, e.key AS sector_id, e.value AS weight FROM (SELECT date, unnest(map_entries(w)) AS e FROM path WHERE date IS NOT NULL)"""
+REBALANCE_PORTFOLIOS = """, wt AS (SELECT sector AS portfolio, qid::VARCHAR AS sector_id, date, (value + 2) / sum(value + 2) OVER (PARTITION BY sector, date) AS weight FROM sector_panel WHERE value IS NOT NULL),
+days AS (SELECT portfolio, date, row_number() OVER (PARTITION BY portfolio ORDER BY date) AS k, map_from_entries(list((sector_id, weight) ORDER BY sector_id)) AS w FROM wt GROUP BY portfolio, date),
+path AS (SELECT DISTINCT portfolio, 0::BIGINT AS k, NULL::DATE AS date, MAP {}::MAP(VARCHAR, DOUBLE) AS w FROM days UNION ALL
+ SELECT d.portfolio, d.k, d.date, (SELECT map_from_entries(list((x.key, x.v / nullif(x.t, 0)) ORDER BY x.key)) FROM
+   (SELECT y.key, y.v, sum(y.v) OVER () AS t FROM (SELECT e.key AS key, CASE WHEN abs(e.value - coalesce(p.w[e.key], 0)) > 0.02 THEN e.value ELSE coalesce(p.w[e.key], 0) END AS v
+     FROM (SELECT unnest(map_entries(d.w)) AS e)) y) x) FROM path p JOIN days d ON d.portfolio = p.portfolio AND d.k = p.k + 1)
+SELECT portfolio, date, e.key AS sector_id, e.value AS weight FROM (SELECT portfolio, date, unnest(map_entries(w)) AS e FROM path WHERE date IS NOT NULL)"""
 REBALANCE_STEP = weights("rank_linear") + """, pw AS (SELECT sector_id, weight AS p FROM wt WHERE date = (SELECT min(date) FROM wt)),
 st AS (SELECT t.sector_id, date, signal_value, CASE WHEN abs(weight - coalesce(p, 0)) > 0.02 THEN weight ELSE coalesce(p, 0) END AS v FROM wt t LEFT JOIN pw USING (sector_id))
 SELECT sector_id, date, signal_value, v / nullif(sum(v) OVER (PARTITION BY date), 0) AS weight FROM st"""
@@ -468,6 +475,7 @@ DOUBLES = {
     "breadth_index": "index_signal normalised",
     "precision_ranking": "density precision_rank",
     "filing_delay": "relative_delay",
+    "rebalance_portfolios": "weight",
     "pattern_density": "policy_density hedge_density future_density past_density",
     "policy_signals": "policy_density orientation policy_ratio orientation_ratio policy_rank",
     "feature_screening": "ic",

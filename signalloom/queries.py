@@ -150,6 +150,15 @@ for _name in Q.WEIGHTS:
 query("rebalance", "trade_signals", Q.REBALANCE)(lambda r: execution.rebalance_path(execution.signal_to_weight(r("trade_signals"), "rank_linear")))
 
 
+@query("rebalance_portfolios", "sector_panel", Q.REBALANCE_PORTFOLIOS)
+def _(r):
+    """A portfolio of nations for each market segment; portfolios are walked side by side."""
+    raw = F.col("value") + 2
+    weight = raw / F.sum(raw).over(Window.partitionBy("sector", "date"))
+    weights = r("sector_panel").filter("value is not null").select(F.col("sector").alias("portfolio"), F.col("qid").cast("string").alias("sector_id"), "date", weight.alias("weight"))
+    return execution.rebalance_path(weights, portfolio="portfolio")
+
+
 @query("rebalance_step", "trade_signals", Q.REBALANCE_STEP)
 def _(r):
     target = execution.signal_to_weight(r("trade_signals"), "rank_linear")
