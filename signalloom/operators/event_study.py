@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from signalloom.functions.columns import bucket_by_edges, quantile_edges, safe_div
 from signalloom.operators.calendars import first_after, trading_index
+from signalloom.sources.shared import materialise
 
 PRE, SHORT, LONG, QUANTILES, GAP, DRAWS, SEED = 20, 5, 60, 5, 30, 500, 42
 
@@ -152,7 +153,7 @@ def numbered_events(legs: DataFrame) -> DataFrame:
 def resampled(legs: DataFrame, draws: int = DRAWS) -> DataFrame:
     """quantile, draw, n, mean: in every draw a leg of n events is n events drawn from it with replacement. Each event
     draws one, by a hash of its name and the draw, so the result depends on nothing but the events and their names."""
-    numbered = numbered_events(legs)
+    numbered = materialise(numbered_events(legs), "numbered_events")  # read for the draws and for the values
     slots = numbered.select("quantile", "event", "size", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
     unit = F.conv(F.substring(F.md5(F.concat_ws(":", "event", "draw").cast("binary")), 1, UNIT_DIGITS), 16, 10).cast("double") / F.lit(16.0**UNIT_DIGITS)
     chosen = slots.select("quantile", "draw", (F.floor(unit * F.col("size")) + 1).alias("place"))
