@@ -60,17 +60,29 @@ def daily_differences(records: DataFrame, start: str | None = None, end: str | N
     numbered = records.select(
         "qid", F.col("date").alias("rec_date"), "length", F.row_number().over(w).alias("nth"), F.sum("length").over(up_to).alias("total"), F.lag("length").over(w).alias("before"), F.lag("date").over(w).alias("before_date")
     )
-    bounds = records.agg(F.coalesce(F.lit(start).cast("date"), F.min("date")).alias("__a"), F.coalesce(F.lit(end).cast("date"), F.max("date")).alias("__b"))
-    days = bounds.select(F.explode(F.sequence("__a", "__b", F.expr("interval 1 day"))).alias("date"))
-    grid = entity_grid(records, ["qid"], days).withColumn("edge", F.date_sub("date", lookback_days + 1))
-    current = asof_backward(grid, numbered, ["qid"], "date", "rec_date", ["length", "nth", "total", "before", "before_date"], tie=["nth"])
-    # what lies too far back is a prefix, too: the mean of the records between is a difference of two running sums
-    old = numbered.select("qid", "rec_date", F.col("nth").alias("old_nth"), F.col("total").alias("old_total"))
-    both = asof_backward(current, old, ["qid"], "edge", "rec_date", ["old_nth", "old_total"], tie=["old_nth"])
-    n = F.col("nth") - 1 - F.coalesce("old_nth", F.lit(0))
-    mean = F.when(n > 0, safe_div(F.col("total") - F.col("length") - F.coalesce("old_total", F.lit(0.0)), n))
-    previous = F.when(F.col("before_date") > F.col("edge"), F.col("before"))
-    return both.select("qid", "date", "length", (F.col("length") - previous).alias("diff_vs_previous"), (F.col("length") - mean).alias("diff_vs_avg_previous"))
+    bounds = records.agg(F.coalesce(F.lit(start).cast("date"), F.min("date")).alias("__a"), F.coalesce(F.lit(end).cast("date"), F.max("date")).alias("__b"))  # one row
+    # answers change only where a record comes, or leaves the look-back; days are spread from these points last, so no shuffle holds the grid
+    leaves = lambda date: F.date_add(date, lookback_days + 1)
+    record, prefix = F.struct("length", "nth", "total", "before", "before_date"), F.struct("nth", "total")
+    point = lambda at, nth, now, old: F.struct(at.alias("at"), nth.alias("__nth"), now.alias("now"), old.alias("old"))
+    first, none = F.lit(None).cast("date"), F.lit(None)
+    points = F.array(point(F.col("rec_date"), F.col("nth"), record, none), point(leaves("rec_date"), F.col("nth"), none, prefix), F.when(F.col("nth") == 1, point(first, F.lit(0), none, none)))
+    moves = numbered.select("qid", F.inline(F.filter(points, lambda x: x.isNotNull())))
+    in_time = Window.partitionBy("qid").orderBy("at", "__nth")
+    so_far = in_time.rowsBetween(Window.unboundedPreceding, 0)
+    held = moves.select(
+        "qid", "at", F.lead("at").over(in_time).alias("next"), F.lead("__nth").over(in_time).isNull().alias("__last"), F.last("now", ignorenulls=True).over(so_far).alias("now"), F.last("old", ignorenulls=True).over(so_far).alias("old")
+    )
+    held = held.filter(F.col("__last") | ~F.col("next").eqNullSafe(F.col("at"))).crossJoin(F.broadcast(bounds))
+    since, until = F.greatest("at", "__a"), F.least(F.date_sub("next", 1), F.col("__b"))
+    held = held.withColumns({"__from": since, "__to": until}).filter("__from <= __to")
+    length = F.col("now.length")
+    # what lies too far back is a prefix: the mean of the records between is a difference of two running sums
+    n = F.col("now.nth") - 1 - F.coalesce("old.nth", F.lit(0))
+    mean = F.when(n > 0, safe_div(F.col("now.total") - length - F.coalesce("old.total", F.lit(0.0)), n))
+    previous = F.when(leaves("now.before_date") > F.col("__from"), F.col("now.before"))
+    rows = held.select("qid", "__from", "__to", length.alias("length"), (length - previous).alias("diff_vs_previous"), (length - mean).alias("diff_vs_avg_previous"))
+    return rows.select("qid", F.explode(F.sequence("__from", "__to", F.expr("interval 1 day"))).alias("date"), "length", "diff_vs_previous", "diff_vs_avg_previous")
 
 
 def rolling_sections_list(sections: DataFrame, days: int = 180) -> DataFrame:
