@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from signalloom.functions.columns import day, over_days, safe_div
 from signalloom.operators.asof import asof_backward
-from signalloom.operators.calendars import daily_calendar, entity_grid, weekdays
+from signalloom.operators.calendars import weekdays
 from signalloom.operators.intervals import overlap_join
 
 #: Length of the time bins in which days meet the stretches that hold them.
@@ -126,11 +126,35 @@ def rolling_sections_distinct(sections: DataFrame, days: int = 180) -> DataFrame
     return _on_days(facts.select("id", "date").distinct(), facts, F.date_add("date", days))
 
 
+def _spread(facts: DataFrame, last: Column, empty: bool, per_entity: bool = False) -> DataFrame:
+    """`_on_days` on the business days from the first to the last date of all facts, or of each id: stretches are cut to these dates and
+    spread over their days in place, so no shuffle holds a row per day. Days without facts stay if `empty`."""
+    w = Window.partitionBy("id").orderBy("since")
+    rows = _stretches(facts, last).filter("since is not null")
+    rows = rows.select("id", "since", F.date_sub(F.lead("since").over(w), 1).alias("until"), "sections", "total_count", F.row_number().over(w).alias("__nth"))
+    if not empty:
+        rows = rows.filter("total_count > 0")
+    bounds = facts.groupBy(*(["id"] if per_entity else [])).agg(F.min("date").alias("__a"), F.max("date").alias("__b"))
+    if per_entity:
+        bounds = bounds.withColumnRenamed("id", "__id")
+        rows = rows.join(bounds, F.col("id").eqNullSafe(F.col("__id")))
+    else:
+        rows = rows.crossJoin(F.broadcast(bounds))  # one row
+    span = lambda a, b, sections, n: F.struct(a.alias("from"), b.alias("to"), sections.alias("sections"), n.cast("long").alias("total_count"))
+    own = span(F.greatest("since", "__a"), F.least("until", "__b"), F.col("sections"), F.col("total_count"))
+    if empty:  # the days before an id's first
+        before = span(F.col("__a"), F.least(F.date_sub("since", 1), F.col("__b")), F.array().cast("array<string>"), F.lit(0))
+        rows = rows.select("id", F.inline(F.when(F.col("__nth") == 1, F.array(before, own)).otherwise(F.array(own))))
+    else:
+        rows = rows.select("id", own.alias("own")).select("id", "own.*")
+    days = rows.filter("`from` <= `to`").select("id", F.explode(F.sequence("from", "to", F.expr("interval 1 day"))).alias("date"), "sections", "total_count")
+    return weekdays(days).withColumn("unique_count", F.size("sections"))
+
+
 def rolling_sections_grid(sections: DataFrame, days: int = 180, per_entity: bool = False) -> DataFrame:
     """D-36: the same on business days, between the global or each entity's first and last date; days without any are left out."""
     facts = sections.filter("section is not null").select("id", "date", "section")
-    grid = weekdays(daily_calendar(facts, "date", ["id"])) if per_entity else entity_grid(facts, ["id"], weekdays(daily_calendar(facts)))
-    return _on_days(grid.select("id", "date"), facts, F.date_add("date", days)).filter("total_count > 0")
+    return _spread(facts, F.date_add("date", days), False, per_entity)
 
 
 def rolling_sections_months(sections: DataFrame, months: int = 6) -> DataFrame:
@@ -139,10 +163,9 @@ def rolling_sections_months(sections: DataFrame, months: int = 6) -> DataFrame:
     The windows that hold a day end with the last day that is no more than so many months later: the same day of the month, or
     where the day ends its month, the end of that month."""
     facts = sections.filter("section is not null").select("id", "date", "section")
-    grid = entity_grid(facts, ["id"], weekdays(daily_calendar(facts))).select("id", "date")
     later = F.add_months("date", months)
     last = F.when(F.col("date") == F.last_day("date"), F.last_day(later)).otherwise(later)
-    return _on_days(grid, facts, last).drop("total_count")
+    return _spread(facts, last, True).drop("total_count")
 
 
 def window_labels(rows: DataFrame, window_days: int = 90, key: str = "qid", date: str = "date") -> DataFrame:

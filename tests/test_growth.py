@@ -9,7 +9,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["daily_differences"])
+@pytest.mark.parametrize("name", ["daily_differences", "rolling_sections_months", "rolling_sections_grid", "rolling_sections_own_grid"])
 def test_days_are_spread_after_the_last_shuffle(spark, sf_dir, name):
     above = plan(queries.queries()[name](spark, sf_dir)).split("Exchange")[0]
     assert "Generate explode(sequence" in above
