@@ -13,3 +13,9 @@ def plan(df):
 def test_days_are_spread_after_the_last_shuffle(spark, sf_dir, name):
     above = plan(queries.queries()[name](spark, sf_dir)).split("Exchange")[0]
     assert "Generate explode(sequence" in above
+
+
+@pytest.mark.parametrize("name", ["sector_sentiment_asof", "sector_sentiment_median", "sector_sentiment_sum", "sector_panel_ffill", "sector_pivot", "signal_features"])
+def test_documents_and_entities_are_summed_without_maps(spark, sf_dir, name):
+    shown = plan(queries.queries()[name](spark, sf_dir))
+    assert "Aggregate(keys=[qid" not in shown and "distinct" not in shown
