@@ -118,6 +118,12 @@ def _balls(table: DataFrame) -> DataFrame:
     return table.selectExpr("fp as a", "seg", "val as own", f"explode(concat(array(val), {cleared})) as val")
 
 
+def meet(stored: DataFrame, index: DataFrame) -> DataFrame:
+    """Each fingerprint with the rows of the index under the values of its balls. Always by sort and merge: Spark takes a side's size from
+    the files it came from, but a ball has some 17 values, so a broadcast thought small would fill the driver."""
+    return _balls(stored).join(index.hint("merge"), ["seg", "val"])
+
+
 def _tree(values: np.ndarray, mask: int) -> np.ndarray:
     """For each value (all alike outside `mask`), the position of the root of its component at DISTANCE or less."""
     n = len(values)
@@ -225,7 +231,7 @@ def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     dense = materialise(dense, "dense")
     index = stored.join(dense, ["seg", "val"], "left_anti").select("seg", "val", F.col("fp").alias("b"), F.lit(False).alias("marked"))
     index = index.unionByName(dense.select("seg", "val", F.lit(None).cast("long").alias("b"), F.lit(True).alias("marked")))
-    met = _balls(stored).join(index, ["seg", "val"])
+    met = meet(stored, index)
     close = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE) & ((F.col("own") != F.col("val")) | (F.col("a") < F.col("b")))
     met = materialise(met.filter(F.col("marked") | close).select("a", "b", "marked"), "met")
     edges = met.filter("not marked").select(F.col("a").alias("u"), F.col("b").alias("v"))
