@@ -22,18 +22,20 @@ Text. Character references are decoded, white space inside a block becomes one s
 
 Cases: null or empty html gives empty text; text without any tag is content; pages with equal main text count once for what is
 template; a null url is a host of its own; repeated rows are answered each; equal weights in an alignment are decided for the
-earlier pair; very long pages: two child lists of more than PAIRS pairs are aligned within a band (the shorter with both ends
-of the longer, or block by block), and elements deeper than 200 become siblings, which changes no text; an empty table gives
+earlier pair; very long pages: two child lists of more than PAIRS pairs are aligned as exactly as short ones, by rows instead of a
+table of all pairs, and elements deeper than 200 become siblings, which changes no text; an empty table gives
 an empty result; columns besides page_id, url and html are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import pickle
 import re
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,8 +48,10 @@ TEMPLATE_SHARE = 0.5
 Z = 1.96
 SUMMARY = 8
 CANDIDATE_SHARE = 0.4
+#: Child lists of more pairs are aligned by `long_alignment`; contents that more pairs of runs share are part of a run's form there.
 PAIRS = 10_000
-BAND = 64
+FEW_PAIRS = 1024
+HELD_WORTHS = 4_000_000
 SALTS = 64
 HELD_NODES = 500_000
 BROADCAST_BYTES = 32 << 20
@@ -188,24 +192,92 @@ def runs_of(nodes: list[Wrapper]) -> list[tuple[int, int]]:
     return out
 
 
-def best_alignment(n: int, m: int, weight: Callable[[int, int], int]) -> list[tuple[int, int]]:
-    """The order-preserving pairs of n left and m right places with the largest sum of weights (0: they do not match)."""
-    if n * m > PAIRS:
-        short, long_ = min(n, m), max(n, m)
-        if 2 * (short + BAND) < long_ and short * 2 * (short + BAND) <= 4 * PAIRS:  # the shorter with both ends of the longer
-            ends = [*range(short + BAND), *range(long_ - short - BAND, long_)]
-            if n < m:
-                return [(i, ends[j]) for i, j in _align(n, len(ends), lambda i, j: weight(i, ends[j]))]
-            return [(ends[i], j) for i, j in _align(len(ends), m, lambda i, j: weight(ends[i], j))]
-        parts, out = -(-long_ // BAND), []
-        for k in range(parts):  # block by block
-            a, b, c, d = n * k // parts, n * (k + 1) // parts, m * k // parts, m * (k + 1) // parts
-            out += [(a + i, c + j) for i, j in _align(b - a, d - c, lambda i, j, a=a, c=c: weight(a + i, c + j))]
+def run_worth(one: list[Wrapper], two: list[Wrapper]) -> int:
+    """What the members of two runs have in common; 0 when their keys differ. Nothing that is found on the way is kept."""
+    return Matching()._members(one, two, (0, len(one)), (0, len(two)))[0] if one[0].key == two[0].key else 0
+
+
+def long_alignment(left: list[list[Wrapper]], right: list[list[Wrapper]]) -> list[tuple[int, int]]:
+    """The alignment that `best_alignment` finds, for lists of runs too long for a table of all pairs: exact, all pairs are weighed.
+
+    Contents that few pairs of runs share are looked up and such pairs are weighed one by one. The worth of all other pairs depends on
+    the forms of both runs only (keys, children, and the contents that many share), so it is found once for two forms. Rows of
+    the table are made by NumPy; every so many are kept, and the rows between are made again on the way back."""
+
+    def places(runs: list[list[Wrapper]]) -> dict[int, set[int]]:
+        where: dict[int, set[int]] = {}
+        for i, run in enumerate(runs):
+            stack = list(run)
+            while stack:
+                w = stack.pop()
+                for digest in w.seen:
+                    where.setdefault(digest, set()).add(i)
+                stack.extend(w.children)
+        return where
+
+    in_left, in_right = places(left), places(right)
+    shared = in_left.keys() & in_right.keys()
+    common = {d for d in shared if len(in_left[d]) * len(in_right[d]) > FEW_PAIRS}
+    near: dict[int, dict[int, int]] = {}
+    for i, j in {(i, j) for d in shared - common for i in in_left[d] for j in in_right[d]}:
+        near.setdefault(i, {})[j] = run_worth(left[i], right[j])
+
+    def form(w: Wrapper):
+        return w.key, frozenset(w.seen.keys() & common), tuple(form(c) for c in w.children)
+
+    def bare(w: Wrapper) -> Wrapper:
+        return Wrapper(w.key, w.pages, {d: n for d, n in w.seen.items() if d in common}, [bare(c) for c in w.children])
+
+    def forms(runs: list[list[Wrapper]]) -> tuple[np.ndarray, list[list[Wrapper]]]:
+        known, first, of = {}, [], []
+        for run in runs:
+            at = known.setdefault(tuple(form(w) for w in run), len(first))
+            if at == len(first):
+                first.append([bare(w) for w in run])
+            of.append(at)
+        return np.asarray(of), first
+
+    (of_left, left_forms), (of_right, right_forms) = forms(left), forms(right)
+    worths: dict[int, np.ndarray] = {}
+
+    def below(row: np.ndarray, i: int) -> np.ndarray:
+        kind = int(of_left[i])
+        if kind not in worths:
+            if len(worths) * len(right_forms) > HELD_WORTHS:
+                worths.clear()
+            worths[kind] = np.asarray([run_worth(left_forms[kind], y) for y in right_forms], dtype=np.int64)
+        own = worths[kind][of_right]
+        for j, worth in near.get(i, {}).items():
+            own[j] = worth
+        out = np.zeros(len(right) + 1, dtype=np.int64)
+        np.maximum.accumulate(np.maximum(row[1:], row[:-1] + own), out=out[1:])
         return out
-    return _align(n, m, weight)
+
+    step = math.isqrt(len(left)) + 1
+    kept, row = [], np.zeros(len(right) + 1, dtype=np.int64)
+    for i in range(len(left)):
+        if i % step == 0:
+            kept.append(row)
+        row = below(row, i)
+    pairs, j = [], len(right)
+    for start in reversed(range(0, len(left), step)):
+        rows = [kept.pop()]
+        for i in range(start, min(start + step, len(left))):
+            rows.append(below(rows[-1], i))
+        i = len(rows) - 1
+        while i and j:
+            if rows[i][j] == rows[i - 1][j]:
+                i -= 1
+            elif rows[i][j] == rows[i][j - 1]:
+                j -= 1
+            else:
+                pairs.append((start + i - 1, j - 1))
+                i, j = i - 1, j - 1
+    return pairs[::-1]
 
 
-def _align(n: int, m: int, weight: Callable[[int, int], int]) -> list[tuple[int, int]]:
+def best_alignment(n: int, m: int, weight: Callable[[int, int], int]) -> list[tuple[int, int]]:
+    """The order-preserving pairs of n left and m right places with the largest sum of weights (0: they do not match)."""
     worth = [[weight(i, j) for j in range(m)] for i in range(n)]
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n):
@@ -260,7 +332,9 @@ class Matching:
         if [left[i].key for i, _ in a] == [right[j].key for j, _ in b]:
             matched = [(i, i) for i in range(len(a)) if weight(i, i)]
         else:
-            matched = [(i, j) for i, j in best_alignment(len(a), len(b), weight) if weight(i, j)]
+            runs = [left[x:y] for x, y in a], [right[x:y] for x, y in b]
+            matched = long_alignment(*runs) if len(a) * len(b) > PAIRS else best_alignment(len(a), len(b), weight)
+            matched = [(i, j) for i, j in matched if weight(i, j)]
         return sum(members[x][0] for x in matched), [p for x in matched for p in members[x][1]]
 
     def _members(self, left: list[Wrapper], right: list[Wrapper], one: tuple[int, int], two: tuple[int, int]) -> tuple[int, list[tuple[int, int]]]:
@@ -286,7 +360,10 @@ class Matching:
             n = min(b - x, d - y)
             pairs += [(x + k, y + k) for k in range(n)]
             return len(pairs) + equal, pairs
-        pairs = best_alignment(b - a, d - c, lambda i, j: self.worth(left[a + i], right[c + j]))
+        if (b - a) * (d - c) > PAIRS:
+            pairs = long_alignment([[x] for x in left[a:b]], [[y] for y in right[c:d]])
+        else:
+            pairs = best_alignment(b - a, d - c, lambda i, j: self.worth(left[a + i], right[c + j]))
         return sum(self.worth(left[a + i], right[c + j]) for i, j in pairs), [(a + i, c + j) for i, j in pairs]
 
 
