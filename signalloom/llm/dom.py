@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from html import unescape
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -36,6 +37,15 @@ class Node:
         return [x for x in self.items if isinstance(x, Node)]
 
 
+def attributes(written: str) -> dict[str, str]:
+    return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(written)} if written.strip(" /\n\t\r") else {}
+
+
+#: Most pages repeat the same short attributes; the dict is shared by their elements and never changed.
+SHORT = 200
+known_attributes = lru_cache(8192)(attributes)
+
+
 def parse(html: str) -> Node:
     """The tree of a page. Never fails: what closes nothing is ignored, what is left open ends with the page."""
     root = Node("#root", {}, None)
@@ -61,7 +71,8 @@ def parse(html: str) -> Node:
             if node is not None and node.parent is not None:
                 here = node.parent
             continue
-        attrs = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(found[4])} if found[4].strip(" /\n\t\r") else {}
+        written = found[4]
+        attrs = (known_attributes if len(written) <= SHORT else attributes)(written) if written else {}
         if tag in ENDS_P:
             node = here
             while node is not None and node.tag != "p" and node.tag not in WALLS:

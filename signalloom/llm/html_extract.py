@@ -34,6 +34,7 @@ import pickle
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -81,7 +82,13 @@ def names_of(node: Node) -> list[str]:
     attrs = node.attrs
     if not attrs or not ("class" in attrs or "id" in attrs):
         return []
-    return WORDS.findall(CAMEL.sub(" ", f"{attrs.get('class', '')} {attrs.get('id', '')}").lower())
+    return name_words(f"{attrs.get('class', '')} {attrs.get('id', '')}")
+
+
+@lru_cache(4096)
+def name_words(names: str) -> list[str]:
+    """Their words; the pages of a host repeat the same names again and again. Callers leave the list as it is."""
+    return WORDS.findall(CAMEL.sub(" ", names).lower())
 
 
 def is_outside(node: Node) -> bool:
@@ -165,6 +172,8 @@ def tree_of(page: Node) -> Wrapper:
             for x in node.items:
                 if isinstance(x, str):
                     words = " ".join(x.split())
+                    if not words:  # adds nothing to the digest
+                        continue
                     digest = zlib.crc32(words.encode(), digest)
                     if in_link:
                         links += len(words)
