@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from signalloom.functions.columns import day, fill_forward, safe_div
 from signalloom.operators.ewma import irregular_ewma
+from signalloom.sources.shared import materialise
 
 OPEN_END = "2099-12-31"
 
@@ -84,18 +85,21 @@ def sliding_sector(pit: DataFrame, days: int = 30, mode: str = "forward", guard:
     adds one arrival and one departure, and a running sum of these is the distinct count.
     """
     x = F.col("sentiment")
-    daily = pit.groupBy("sectorId", "date").agg(
+    # written once: sums, spans and bounds are all taken from it, and the joins behind `pit` would run for each
+    own = pit.groupBy("sectorId", "id", "date").agg(
         F.sum("weighted_sentiment").alias("ws"), F.sum("weight").alias("w"), F.max("weight").alias("top"), F.count(x).alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("q")
     )
+    own = materialise(own, "sector_days")
+    daily = own.groupBy("sectorId", "date").agg(*[F.sum(c).alias(c) for c in ("ws", "w", "n", "s", "q")], F.max("top").alias("top"))
     before = F.lag("date").over(Window.partitionBy("sectorId", "id").orderBy("date"))
-    spans = pit.select("sectorId", "id", "date").distinct().withColumn("__p", before)
+    spans = own.select("sectorId", "id", "date").withColumn("__p", before)
     if mode == "forward":
         arrive, leave, first, last = F.greatest(F.date_sub("date", days - 1), F.date_add("__p", 1)), F.date_add("date", 1), 0, days - 1
     else:
         arrive, leave, first, last = F.greatest(F.col("date"), F.date_add("__p", days)), F.date_add("date", days), 1 - days, 0
     moves = spans.select("sectorId", F.explode(F.array(F.struct(arrive.alias("date"), F.lit(1).alias("d")), F.struct(leave.alias("date"), F.lit(-1).alias("d")))).alias("m"))
     moves = moves.groupBy("sectorId", F.col("m.date").alias("date")).agg(F.sum("m.d").alias("d"))
-    bounds = pit.groupBy("sectorId").agg(F.min("date").alias("a"), F.date_add(F.max("date"), 0 if mode == "forward" else days - 1).alias("b"))
+    bounds = own.groupBy("sectorId").agg(F.min("date").alias("a"), F.date_add(F.max("date"), 0 if mode == "forward" else days - 1).alias("b"))
     grid = bounds.select("sectorId", F.explode(F.sequence("a", "b", F.expr("interval 1 day"))).alias("date"), F.lit(True).alias("g"))
     keys = ["sectorId", "date"]
     rows = grid.join(daily, keys, "full").join(moves, keys, "full")
