@@ -14,8 +14,9 @@ within the other's range and only its missing tokens can keep it from matching.
    bucket a combination is left until c - k + 1 are missing. The prefix is extended until the tokens that must be missing to
    leave no signature exceed the slack. Buckets are as many as the size's power of two asks for; a set whose partners can have
    another power of two has signatures for both.
-4. Lists. Sets with a common signature are candidates. Long lists are first compared with HUBS of their members, so that a
-   group of near copies becomes one component by as many comparisons as it has members. Then all pairs of a list that are
+4. Lists. Sets with a common signature are candidates. Near copies share many signatures, so of the lists with the same members one is
+   kept. Long lists are first compared with HUBS of their members, so that a group of near copies becomes one component by as
+   many comparisons as it has members, with other hubs again where many pairs are left. Then all pairs of a list that are
    not yet in one component are looked at; sizes and the parity sketches of the sets (their differing bits are at most the
    tokens in which two sets differ) reject most before the sets themselves are compared.
 5. Links are verified by the sizes of intersection and union; components are found by alternating stars.
@@ -47,9 +48,11 @@ LEAST = 9
 LIMITS = (8, 1024)
 #: Tokens of a set for each bucket of a class.
 BUCKET_TOKENS = 16
-#: Lists of more sets than this are compared with HUBS members first.
-LONG_LIST = 16
+#: Lists of more sets than this are compared with HUBS members first: all whose pairs would be many more than that.
+LONG_LIST = 4
 HUBS = 3
+#: Times that other hubs are tried while lists have many pairs of sets in different components; what is left then is compared pair by pair.
+TURNS = 4
 SKETCH = 8
 #: Bits of the map of survivors that every task holds while it reads the texts: at most 2^(MAP_BITS - 6) rows of 64 bits.
 MAP_BITS = 24
@@ -232,13 +235,15 @@ def full_sets(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def signed(full: DataFrame) -> DataFrame:
-    """(sig, node) of every signature that two sets or more have, with the number of sets in its list."""
+    """(sig, node) of the signatures that two sets or more have, with the number of sets in the list; of lists with the same sets, one."""
     tokens = full.select("node", "n", F.explode("tokens").alias("token"))
     kind = F.when(F.col("sets") <= LIMITS[0], 1).when(F.col("sets") <= LIMITS[1], 2).otherwise(3)
     counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1").select("token", kind.cast("long").alias("kind"))
     coded = tokens.join(counts, "token").groupBy("node", "n").agg(F.collect_list(F.col("token").bitwiseOR(F.col("kind"))).alias("coded"))
     sigs = materialise(coded.mapInArrow(_signed, "sig long, node long"), "jaccard_signatures")
-    lists = sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    same = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"same{k}") for k in range(2)]  # 128 bits of the list's sets
+    lists = sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("members"), *same).filter("members > 1")
+    lists = lists.groupBy("members", "same0", "same1").agg(F.min("sig").alias("sig")).select("sig", "members")
     return materialise(sigs.join(lists, "sig"), "jaccard_lists")
 
 
@@ -263,22 +268,37 @@ def verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
     return materialise(found.repartition(files_for(asked_pairs)), "jaccard_links")
 
 
+def few_pairs(members: DataFrame) -> bool:
+    """The lists have some LONG_LIST pairs of different components for each of their members at most."""
+    own = members.groupBy("sig", "comp").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    pairs = own.groupBy("sig").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"))
+    n, all_pairs = pairs.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
+    return not n or all_pairs <= LONG_LIST * n
+
+
 def linked(full: DataFrame, lists: DataFrame) -> DataFrame:
     """(u, v): links that connect the nodes exactly as all links do."""
     about = full.drop("tokens")
     links = None
     members = lists.join(about, "node").withColumn("comp", F.col("node"))
-    long = members.filter(F.col("members") > LONG_LIST)
     if not lists.filter(F.col("members") > LONG_LIST).isEmpty():
-        hub = lambda k: F.min_by(F.struct("node", "n", *SKETCHES), F.xxhash64("node", F.lit(k)))
-        hubs = long.groupBy("sig").agg(F.array_distinct(F.array(*[hub(k) for k in range(HUBS)])).alias("hubs")).select("sig", F.explode("hubs").alias("h"))
-        met = long.alias("a").join(hubs.select("sig", "h.*").alias("b"), (F.col("a.sig") == F.col("b.sig")) & (F.col("a.node") != F.col("b.node")) & may_link("a", "b"))
-        star = met.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
-        links = verified(star, full)
-        roots = connected_components(links).select("node", F.col("root").alias("found"))
-        members = members.join(roots, "node", "left").withColumn("comp", F.coalesce("found", "node")).drop("found")
-        open_lists = members.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("sig")
-        members = materialise(members.join(open_lists, "sig", "left_semi"), "jaccard_open")
+        for turn in range(TURNS):
+            # at first the same sets are hubs in all their lists, then each list has its own: lists of one group try many pairs
+            own = [F.col("sig")] if turn else []
+            hub = lambda k: F.min_by(F.struct("node", "n", "comp", *SKETCHES), F.xxhash64("node", F.lit(k), *own))  # noqa: B023, E731
+            long = members.filter(F.col("members") > LONG_LIST)
+            hubs = long.groupBy("sig").agg(F.array_distinct(F.array(*[hub(turn * HUBS + k) for k in range(HUBS)])).alias("hubs")).select("sig", F.explode("hubs").alias("h"))
+            met = long.alias("a").join(hubs.select("sig", "h.*").alias("b"), (F.col("a.sig") == F.col("b.sig")) & (F.col("a.node") != F.col("b.node")) & (F.col("a.comp") != F.col("b.comp")) & may_link("a", "b"))
+            star = verified(met.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct(), full)
+            if turn and star.isEmpty():
+                break
+            links = star if links is None else links.unionByName(star)
+            roots = connected_components(links).select("node", F.col("root").alias("found"))
+            members = members.drop("comp").join(roots, "node", "left").withColumn("comp", F.coalesce("found", "node")).drop("found")
+            open_lists = members.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("sig")
+            members = materialise(members.join(open_lists, "sig", "left_semi"), "jaccard_open")
+            if few_pairs(members):
+                break
     met = members.alias("a").join(members.alias("b"), (F.col("a.sig") == F.col("b.sig")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.comp") != F.col("b.comp")) & may_link("a", "b"))
     rest = verified(met.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct(), full)
     return rest if links is None else links.unionByName(rest)
