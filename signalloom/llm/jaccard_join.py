@@ -9,17 +9,20 @@ within the other's range and only its missing tokens can keep it from matching.
    them with other sets links with nothing. Only the others go on, and of them only the text of one document each is read again.
 2. Token classes. Tokens are counted over the survivors: one of a single set is surely missing in the other and leaves the
    set, its slack along with it. The rest are class 1 (rare), 2, 3 (frequent) by LIMITS, ordered rare first.
-3. Extended prefixes. Single tokens of class 1 and combinations of k tokens of class k are signatures. Tokens of a class k > 1 fall
+3. First links. Sets with an equal band of least mixed hashes are compared with one of them, so that nearly all of a group of near copies
+   is one component before signatures are made: a list inside one component has nothing left to find and is never built. This
+   spares work only; what bands miss is found below.
+4. Extended prefixes. Single tokens of class 1 and combinations of k tokens of class k are signatures. Tokens of a class k > 1 fall
    into buckets, and only tokens of one bucket combine, so that there are some few combinations a token. Of c tokens of a
    bucket a combination is left until c - k + 1 are missing. The prefix is extended until the tokens that must be missing to
    leave no signature exceed the slack. Buckets are as many as the size's power of two asks for; a set whose partners can have
    another power of two has signatures for both.
-4. Lists. Sets with a common signature are candidates. Near copies share many signatures, so of the lists with the same members one is
+5. Lists. Sets with a common signature are candidates. Near copies share many signatures, so of the lists with the same members one is
    kept. Long lists are first compared with HUBS of their members, so that a group of near copies becomes one component by as
    many comparisons as it has members, with other hubs again where many pairs are left. Then all pairs of a list that are
    not yet in one component are looked at; sizes and the parity sketches of the sets (their differing bits are at most the
    tokens in which two sets differ) reject most before the sets themselves are compared.
-5. Links are verified by the sizes of intersection and union; components are found by alternating stars.
+6. Links are verified by the sizes of intersection and union; components are found by alternating stars.
 
 Cases: null and empty texts and texts without words have empty sets and are linked with nothing, not even each other; very long
 texts are hashed whole; rows that repeat a doc_id are documents of their own; a null id counts for a component's id only if it has no
@@ -54,6 +57,8 @@ HUBS = 3
 #: Times that other hubs are tried while lists have many pairs of sets in different components; what is left then is compared pair by pair.
 TURNS = 4
 SKETCH = 8
+#: Bands of a set and the least mixed hashes in each: of sets that link, some 0.1 % have no band in common.
+BANDS, BAND_ROWS = 4, 2
 #: Bits of the map of survivors that every task holds while it reads the texts: at most 2^(MAP_BITS - 6) rows of 64 bits.
 MAP_BITS = 24
 #: Text that is split into words at a time.
@@ -135,8 +140,20 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(digests, pa.binary()), pa.array(key, pa.int64()), _lists(prefix)], names=["doc_id", "text_hash", "n", "digest", "key", "prefix"])
 
 
+def bands(tokens: np.ndarray) -> np.ndarray:
+    """Hashes of the least tokens under BANDS * BAND_ROWS orders, BAND_ROWS to a band."""
+    own, out = tokens.view(np.uint64), []
+    for k in range(BANDS):
+        value = np.asarray([k], dtype=np.uint64)
+        for j in range(BAND_ROWS):
+            salt = mix(np.asarray([k * BAND_ROWS + j + 1], dtype=np.uint64))
+            value = mix((value + np.uint64(1)) * ODD + mix(own ^ salt).min(keepdims=True))
+        out.append(value)
+    return np.concatenate(out).view(np.int64)
+
+
 def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """node, n, tokens, parity sketch of each survivor."""
+    """node, n, tokens, bands, parity sketch of each survivor."""
     for batch in batches:
         sets = sets_of(text_bytes(batch.column(1)))
         sketch = np.zeros((len(sets), SKETCH * 64), dtype=np.uint8)
@@ -144,7 +161,7 @@ def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row += (np.bincount((mix(own.view(np.uint64)) % np.uint64(SKETCH * 64)).astype(np.int64), minlength=SKETCH * 64) & 1).astype(np.uint8)
         words = np.packbits(sketch, axis=1).view(np.int64).reshape(len(sets), SKETCH)
         n = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), _lists(sets), *(pa.array(np.ascontiguousarray(words[:, k])) for k in range(SKETCH))], names=["node", "n", "tokens", *SKETCHES])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), _lists(sets), _lists([bands(s) for s in sets]), *(pa.array(np.ascontiguousarray(words[:, k])) for k in range(SKETCH))], names=["node", "n", "tokens", "bands", *SKETCHES])
 
 
 SKETCHES = tuple(f"s{k}" for k in range(SKETCH))
@@ -198,8 +215,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [signatures(n, coded[ends[k] : ends[k + 1]]) for k, n in enumerate(batch.column(1).to_pylist())]
         for at in range(0, len(found), 256):
             part = found[at : at + 256]
-            node = np.repeat(batch.column(0).to_numpy()[at : at + 256], [len(x) for x in part])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part)), pa.array(node)], names=["sig", "node"])
+            node, comp = (np.repeat(batch.column(k).to_numpy()[at : at + 256], [len(x) for x in part]) for k in (0, 3))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part)), pa.array(node), pa.array(comp)], names=["sig", "node", "comp"])
 
 
 def _hashed(docs: DataFrame) -> DataFrame:
@@ -231,18 +248,23 @@ def full_sets(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
     met = texts.join(wanted, (F.col("text_hash") == F.col("own_hash")) & F.col("doc_id").eqNullSafe(F.col("own"))).select("node", "text")
     if not sets.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty():
         met = met.dropDuplicates(["node"])
-    return materialise(met.mapInArrow(_full, "node long, n long, tokens array<long>, " + ", ".join(f"{s} long" for s in SKETCHES)), "jaccard_sets")
+    return materialise(met.mapInArrow(_full, "node long, n long, tokens array<long>, bands array<long>, " + ", ".join(f"{s} long" for s in SKETCHES)), "jaccard_sets")
 
 
-def signed(full: DataFrame) -> DataFrame:
-    """(sig, node) of the signatures that two sets or more have, with the number of sets in the list; of lists with the same sets, one."""
+def signed(full: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """(sig, node, comp) of the signatures that two sets or more have, with the number of sets in the list; of lists with the same sets, one.
+    With `roots` (node, root) of components found so far, only lists whose sets are in several of them; comp is the component, or the node."""
     tokens = full.select("node", "n", F.explode("tokens").alias("token"))
     kind = F.when(F.col("sets") <= LIMITS[0], 1).when(F.col("sets") <= LIMITS[1], 2).otherwise(3)
     counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1").select("token", kind.cast("long").alias("kind"))
     coded = tokens.join(counts, "token").groupBy("node", "n").agg(F.collect_list(F.col("token").bitwiseOR(F.col("kind"))).alias("coded"))
-    sigs = materialise(coded.mapInArrow(_signed, "sig long, node long"), "jaccard_signatures")
+    if roots is None:
+        coded = coded.withColumn("comp", F.col("node"))
+    else:
+        coded = coded.join(roots, "node", "left").select("node", "n", "coded", F.coalesce("root", "node").alias("comp"))
+    sigs = materialise(coded.mapInArrow(_signed, "sig long, node long, comp long"), "jaccard_signatures")
     same = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"same{k}") for k in range(2)]  # 128 bits of the list's sets
-    lists = sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("members"), *same).filter("members > 1")
+    lists = sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("members"), F.min("comp").alias("low"), F.max("comp").alias("high"), *same).filter("low < high")
     lists = lists.groupBy("members", "same0", "same1").agg(F.min("sig").alias("sig")).select("sig", "members")
     return materialise(sigs.join(lists, "sig"), "jaccard_lists")
 
@@ -276,12 +298,21 @@ def few_pairs(members: DataFrame) -> bool:
     return not n or all_pairs <= LONG_LIST * n
 
 
-def linked(full: DataFrame, lists: DataFrame) -> DataFrame:
-    """(u, v): links that connect the nodes exactly as all links do."""
-    about = full.drop("tokens")
-    links = None
-    members = lists.join(about, "node").withColumn("comp", F.col("node"))
-    if not lists.filter(F.col("members") > LONG_LIST).isEmpty():
+def first_links(full: DataFrame) -> DataFrame:
+    """(u, v): links of sets with one set of each of their bands, as many comparisons as there are bands at most."""
+    rows = full.select("node", F.explode("bands").alias("band"))
+    hubs = rows.groupBy("band").agg(F.min_by("node", F.xxhash64("node")).alias("hub"), F.count(F.lit(1)).alias("members")).filter("members > 1").drop("members")
+    pairs = rows.join(hubs, "band").filter("node != hub").select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
+    about = full.drop("tokens", "bands")
+    met = pairs.join(about.alias("a"), F.col("u") == F.col("a.node")).join(about.alias("b"), F.col("v") == F.col("b.node")).filter(may_link("a", "b"))
+    return verified(met.select("u", "v"), full)
+
+
+def linked(full: DataFrame, lists: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """(u, v): links that connect the nodes exactly as all links do; `links` are those found before, with whose components `lists` were made."""
+    about = full.drop("tokens", "bands")
+    members = lists.join(about, "node")
+    if not lists.filter(F.col("members") > LONG_LIST).isEmpty() and not few_pairs(members):
         for turn in range(TURNS):
             # at first the same sets are hubs in all their lists, then each list has its own: lists of one group try many pairs
             own = [F.col("sig")] if turn else []
@@ -310,7 +341,8 @@ def components(docs: DataFrame) -> DataFrame:
     sets = materialise(_hashed(docs).mapInArrow(_described, "doc_id long, text_hash long, n long, digest binary, key long, prefix array<long>"), "jaccard_prefixes")
     nodes = survivors(sets)
     full = full_sets(docs, sets, nodes)
-    roots = connected_components(linked(full, signed(full)))
+    links = first_links(full)
+    roots = connected_components(linked(full, signed(full, connected_components(links)), links))
     rows = sets.filter("n > 0").select("doc_id", "n", "digest")
     first = rows.groupBy("digest").agg(F.min("doc_id").alias("first"))
     rooted = nodes.join(roots, "node").select("digest", "root")
