@@ -23,6 +23,23 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, header:
     return spark.read.csv(path, schema=schema, header=header)
 
 
+#: Bytes of input files for each partition of a deal.
+PART_BYTES = 1 << 20
+
+
+def partitions_for(df: DataFrame) -> int:
+    """Partitions among which to deal what is drawn from `df`, so that one is as large whatever the input: by the bytes of the files that
+    it reads, and no fewer than the cores. Adaptive execution leaves a number that is asked for as it is."""
+    spark = df.sparkSession
+    hadoop, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    files = set(df.inputFiles())
+    total = 0
+    for folder in {f.rpartition("/")[0] for f in files}:
+        at = path(spark._jvm.java.net.URI(folder))
+        total += sum(x.getLen() for x in at.getFileSystem(hadoop).listStatus(at) if x.getPath().toUri().toString().rpartition("/")[2] in {f.rpartition("/")[2] for f in files if f.rpartition("/")[0] == folder})
+    return max(spark.sparkContext.defaultParallelism, -(-total // PART_BYTES))
+
+
 def write_csv(df: DataFrame, path: str, header: bool = True, mode: str = "overwrite") -> None:
     df.write.mode(mode).csv(path, header=header)
 
